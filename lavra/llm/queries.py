@@ -30,6 +30,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return best.select("survivor_id", "act_type", "act_number", "act_year")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from lavra.llm.hash_forest import rejected_entries
+
+    return rejected_entries(table(spark, d, "manifest"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k.split("_")[0][1:].isdigit()}
 
