@@ -36,6 +36,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return rejected_entries(table(spark, d, "manifest"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from lavra.llm.shared_spans import shared_spans
+
+    return shared_spans(table(spark, d, "documents"))
+
+
+def p10_amounts(spark: SparkSession, d: str) -> DataFrame:
+    from lavra.llm.shared_spans import shared_amounts
+
+    return shared_amounts(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k.split("_")[0][1:].isdigit()}
 
