@@ -48,6 +48,45 @@ def p10_amounts(spark: SparkSession, d: str) -> DataFrame:
     return shared_amounts(table(spark, d, "documents"))
 
 
+def _sizes(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
+    """(doc_id, tokens) of ``docs``, written once."""
+    from lavra.llm.tokens import token_counts
+    from lavra.session import Scratch
+
+    return Scratch(spark, name).write(token_counts(docs, "doc_id", "text"), "sizes")
+
+
+def _specs(spark: SparkSession, d: str) -> dict[int, int]:
+    # A table of settings, one row for each kind of container.
+    return {r.spec_id: r.capacity_tokens for r in table(spark, d, "pack_specs").limit(100).collect()}
+
+
+def p8_packing(spark: SparkSession, d: str) -> DataFrame:
+    from lavra.llm.packing import pack
+
+    return pack(_sizes(spark, table(spark, d, "documents"), "p8"), _specs(spark, d))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    from lavra.llm.packing import fill_report
+
+    return fill_report(p8_packing(spark, d), _specs(spark, d))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    from lavra.llm.mixing import mix, read_targets
+
+    docs, targets = table(spark, d, "documents"), read_targets(table(spark, d, "mix_targets"))
+    wanted = docs.where(docs.source.isin([t.source for t in targets]))
+    return mix(docs, _sizes(spark, wanted, "p9"), targets)
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    from lavra.llm.mixing import read_targets, shares
+
+    return shares(p9_mix(spark, d), read_targets(table(spark, d, "mix_targets")))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k.split("_")[0][1:].isdigit()}
 
