@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lavra.operators.skew import join_counted
 from lavra.session import Scratch
 
-#: Entries in conflict up to this number are settled one after the other in one task; more, in rounds.
+#: Up to so many entries are settled one after the other in one task; more, in rounds over those in conflict.
 TAIL = 100_000
 #: So many runs are kept before they are merged.
 RUNS = 4
@@ -80,17 +80,17 @@ class HashForest:
 
     def search(self, sigs: DataFrame) -> DataFrame:
         """Those of ``sigs`` (sig, distinct) that have an accepted signature within the distance."""
-        found = None
-        run_union = self._all(self.runs)
-        # Full depth first: permutation 0 is the signature itself, reordered.
+        runs = self._all(self.runs)
+        # Full depth first: an equal signature is equal in the first permutation.
         own = sigs.select("sig", self._permuted(F.col("sig"), self.orders[0]).alias("permuted"))
-        equal = self.scratch.write(own.join(run_union.where("perm = 0").select("permuted"), "permuted", "left_semi").select("sig"), self._name("equal"))
-        rest = self.permutations(sigs.join(equal, "sig", "left_anti"))
-        near = rest.alias("q").join(run_union.alias("h"), ["perm", "prefix"]).where(
+        same = runs.where("perm = 0").select("permuted")
+        equal = own.join(same, "permuted", "left_semi").select("sig")
+        # Then the depth at which the permutations miss nothing.
+        rest = self.permutations(own.join(same, "permuted", "left_anti").select("sig"))
+        near = rest.alias("q").join(runs.alias("h"), ["perm", "prefix"]).where(
             F.bit_count(F.col("q.permuted").bitwiseXOR(F.col("h.permuted"))) <= self.distance
         )
-        found = near.select("sig").union(equal).distinct()
-        return found
+        return near.select("sig").union(equal).distinct()
 
     def pairs(self, sigs: DataFrame) -> DataFrame:
         """(sig, other) for signatures of ``sigs`` (distinct) within the distance of each other, both ways."""
@@ -134,17 +134,24 @@ class HashForest:
         rest = batch
         if self.runs:
             rest = rest.join(self._all(self.paths), "path", "left_anti")
-            counted = self.scratch.write(rest.where("sig IS NOT NULL").groupBy("sig").agg(F.count("*").alias("n")), self._name("sigs"))
-            known = self.scratch.write(self.search(counted.select("sig")), self._name("known"))
-            rest = join_counted(rest, counted.join(known.withColumn("known", F.lit(True)), "sig"), ["sig"], "n", ["id"], "left").where("known IS NULL")
+            known = self.search(rest.where("sig IS NOT NULL").select("sig").distinct())
+            rest = rest.join(known, "sig", "left_anti")
         # Of entries equal in both, only the first can be accepted.
         first = rest.where("sig IS NOT NULL AND path IS NOT NULL").groupBy("sig", "path").agg(F.min("id").alias("id"))
         rest = first.select("id", "sig", "path").union(rest.where("sig IS NULL OR path IS NULL").select("id", "sig", "path"))
         rest = self.scratch.write(rest, self._name("rest"))
-        taken = self._within(rest)
+        taken = self._settled(rest) if rest.count() <= TAIL else self._within(rest)
+        taken = self.scratch.write(taken, self._name("taken"))
         self.add(taken)
         return taken.select("id")
 
+    def _settled(self, open_: DataFrame) -> DataFrame:
+        """The greedy choice among a bounded number of entries, in one task."""
+        # A nullable BIGINT would reach pandas as a float and lose bits.
+        whole = open_.select("id", F.coalesce("sig", F.lit(0)).alias("sig"), F.col("sig").isNotNull().alias("has"), "path")
+        tail = whole.coalesce(1).sortWithinPartitions("id").mapInPandas(greedy_tail(self.distance), _ENTRY)
+        return tail.select("id", F.when(F.col("has"), F.col("sig")).alias("sig"), "path")
+
     def _within(self, rest: DataFrame) -> DataFrame:
         """The greedy choice by id among entries that history lets through."""
         by_sig = self.scratch.write(rest.where("sig IS NOT NULL").groupBy("sig").agg(F.count("*").alias("n")), self._name("bysig"))
@@ -160,12 +167,7 @@ class HashForest:
             chosen = self._round(open_, pairs)
             taken = taken.union(chosen)
             open_ = self._undecided(open_, chosen, pairs)
-        if left:
-            # A nullable BIGINT would reach pandas as a float and lose bits.
-            whole = open_.select("id", F.coalesce("sig", F.lit(0)).alias("sig"), F.col("sig").isNotNull().alias("has"), "path")
-            tail = whole.repartition(1).sortWithinPartitions("id").mapInPandas(greedy_tail(self.distance), _ENTRY)
-            taken = taken.union(tail.select("id", F.when(F.col("has"), F.col("sig")), "path"))
-        return self.scratch.write(taken, self._name("taken"))
+        return taken.union(self._settled(open_)) if left else taken
 
     def _round(self, open_: DataFrame, pairs: DataFrame) -> DataFrame:
         """The entries that come first among all they conflict with."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lavra.session import table
 
@@ -87,6 +88,19 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(p9_mix(spark, d), read_targets(table(spark, d, "mix_targets")))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from lavra.llm.main_body import main_bodies
+
+    return main_bodies(table(spark, d, "pages")).select("page_id", F.md5("block").alias("block_md5")).distinct()
+
+
+def p4_bodies(spark: SparkSession, d: str) -> DataFrame:
+    from lavra.llm.main_body import main_bodies
+
+    body = main_bodies(table(spark, d, "pages")).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("block_no", "block"))).alias("b"))
+    return body.select("page_id", F.array_join("b.block", "\n\n").alias("body"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k.split("_")[0][1:].isdigit()}
 
