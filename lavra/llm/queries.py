@@ -101,6 +101,13 @@ def p4_bodies(spark: SparkSession, d: str) -> DataFrame:
     return body.select("page_id", F.array_join("b.block", "\n\n").alias("body"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from lavra.llm.markup import structure
+
+    content = F.trim(F.regexp_replace("content", r"(?U)[\s\x1c-\x1f]+", " "))
+    return structure(table(spark, d, "menu_items")).select("item_id", "kind", content.alias("content")).distinct()
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k.split("_")[0][1:].isdigit()}
 
