@@ -4,7 +4,8 @@ The tokens are characters and the graph's edges are 64-grams. Of all edges only
 every window of 200 characters, and equal windows have the same one. Edges that stand in two documents or more
 are repeated. A repeated edge and its successor form a nonbranching step if all their occurrences go
 together; runs of such steps are compacted paths, equal in all their documents, and are shared as a whole. What lies
-at their ends and at branchings is verified window by window: source coordinates are joined on the window's hash.
+at their ends and at branchings is verified window by window, at the source coordinates, where their minimizer brings
+them together.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ from lavra.session import Scratch
 GRAM = 64
 #: Texts are worked on about so many characters at a time; longer ones in pieces that overlap.
 CHUNK = 500_000
+#: The windows of a minimizer with up to so many occurrences are verified in one task; those of others, which may stand in a
+#: large part of all documents, by an aggregation over window hashes.
+FEW = 2_000
 
 
 def _pieces(text: str, span: int, chunk: int) -> Iterator[tuple[int, str]]:
@@ -51,7 +55,10 @@ def _chunks(texts, span: int, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarr
 
 
 def edge_rows(span: int, chunk: int):
-    """mapInPandas: (doc, pos, h, step): each kept edge, and the hash of the text up to its successor's end."""
+    """mapInPandas: (doc, pos, h, step): each kept edge, and a hash of the text up to its successor's end, 0 for none.
+
+    Steps are compared only between equal edges, so 32 bits do.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -65,7 +72,7 @@ def edge_rows(span: int, chunk: int):
                 step = np.zeros(len(pos), dtype=np.uint64)
                 at = np.flatnonzero(follows)
                 step[at] = t.hashes(pos[at], pos[at + 1] - pos[at] + GRAM)
-                out = pd.DataFrame({"who": who[piece], "pos": pos - t.start[piece] + offs[piece], "h": h.view(np.int64), "step": step.view(np.int64)})
+                out = pd.DataFrame({"who": who[piece], "pos": pos - t.start[piece] + offs[piece], "h": h.view(np.int64), "step": (step >> np.uint64(32)).astype(np.uint32).view(np.int32)})
                 many = np.isin(out["who"], [w for w, o in zip(who, offs, strict=True) if len(batch["text"].iloc[w]) > chunk])
                 for w, part in out[many].groupby("who"):
                     last[w] = pd.concat([last[w], part]) if w in last else part
@@ -79,78 +86,125 @@ def edge_rows(span: int, chunk: int):
     return run
 
 
-def window_rows(span: int, chunk: int):
-    """mapInPandas: (doc, pos, h, g, n) of the windows that have to be verified.
+def _open_windows(batch: pd.DataFrame, span: int, chunk: int):
+    """The windows that have to be verified: their minimizer is repeated and no run, known to be shared, holds them.
 
-    Comes with text, ``edges`` (the repeated edges' positions and numbers of occurrences) and ``runs`` (spans that are
-    known to be shared). A window is verified if its minimizer is repeated and no run holds it.
+    Yields the texts' pieces with the windows' positions in them, their pieces, their minimizers' hashes and numbers.
+    """
+    pos_of, n_of, runs = batch["pos"].tolist(), batch["n"].tolist(), batch["runs"].tolist()
+    for who, offs, t in _chunks(batch["text"], span, chunk):
+        times = np.zeros(t.n, dtype=np.int64)
+        known = np.zeros(t.n + 1, dtype=np.int32)
+        for k, (w, o) in enumerate(zip(who, offs, strict=True)):
+            at = np.asarray(pos_of[w], dtype=np.int64) - o
+            ok = (at >= 0) & (at + GRAM <= t.sizes[k])
+            times[t.start[k] + at[ok]] = np.asarray(n_of[w], dtype=np.int64)[ok]
+            for a, b in np.asarray(runs[w], dtype=np.int64).reshape(-1, 2).tolist():
+                a, b = max(a - o, 0), min(b - o, int(t.sizes[k])) - span + 1
+                if a < b:
+                    known[t.start[k] + a] += 1
+                    known[t.start[k] + b] -= 1
+        _, _, least = minimizers(t, GRAM, span)
+        marked = np.flatnonzero(times)
+        at = np.flatnonzero((least != np.uint64(2**64 - 1)) & (np.cumsum(known[:-1]) == 0))
+        if not len(marked) or not len(at):
+            continue
+        hashes = t.hashes(marked, GRAM)
+        order = np.argsort(hashes, kind="stable")
+        keys, counts = hashes[order], times[marked][order]
+        found = np.minimum(np.searchsorted(keys, least[at]), len(keys) - 1)
+        hit = keys[found] == least[at]
+        at, n = at[hit], counts[found[hit]]
+        piece = np.searchsorted(t.end, at, side="right")
+        main = at - t.start[piece] < chunk
+        at, n, piece = at[main], n[main], piece[main]
+        yield who, offs, t, at, piece, least[at], n
+
+
+def context_rows(span: int, chunk: int, most: int):
+    """mapInPandas: (s, doc, start, context): stretches of windows with the same minimizer, with all their text.
+
+    Only minimizers with up to ``most`` occurrences.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids = batch["doc"].to_numpy()
-            pos_of, n_of, runs = batch["pos"].tolist(), batch["n"].tolist(), batch["runs"].tolist()
-            for who, offs, t in _chunks(batch["text"], span, chunk):
-                times = np.zeros(t.n, dtype=np.int64)
-                known = np.zeros(t.n + 1, dtype=np.int32)
-                for k, (w, o) in enumerate(zip(who, offs, strict=True)):
-                    at = np.asarray(pos_of[w], dtype=np.int64) - o
-                    ok = (at >= 0) & (at + GRAM <= t.sizes[k])
-                    times[t.start[k] + at[ok]] = np.asarray(n_of[w], dtype=np.int64)[ok]
-                    for a, b in zip(*[iter(np.asarray(runs[w], dtype=np.int64).tolist())] * 2, strict=True):
-                        a, b = max(a - o, 0), min(b - o, int(t.sizes[k])) - span + 1
-                        if a < b:
-                            known[t.start[k] + a] += 1
-                            known[t.start[k] + b] -= 1
-                grams = t.grams(GRAM)
-                _, _, least = minimizers(t, GRAM, span)
-                # The number of occurrences of the window's minimizer: the first one in the window.
-                marked = np.flatnonzero(times)
-                open_ = np.flatnonzero((least != np.uint64(2**64 - 1)) & (np.cumsum(known[:-1]) == 0))
-                if not len(marked) or not len(open_):
+            ids, texts = batch["doc"].to_numpy(), batch["text"].tolist()
+            for who, offs, t, at, piece, s, n in _open_windows(batch, span, chunk):
+                few = n <= most
+                at, piece, s = at[few], piece[few], s[few]
+                if not len(at):
                     continue
-                # A window's minimizer is repeated if its hash is that of a marked edge inside.
-                order = np.argsort(grams[marked], kind="stable")
-                keys, counts = grams[marked][order], times[marked][order]
-                at = np.minimum(np.searchsorted(keys, least[open_]), len(keys) - 1)
-                hit = keys[at] == least[open_]
-                open_, n = open_[hit], counts[at[hit]]
-                piece = np.searchsorted(t.end, open_, side="right")
-                local = open_ - t.start[piece]
-                main = local < chunk
-                open_, n, piece, local = open_[main], n[main], piece[main], local[main]
-                h, g = t.hashes(open_, span), t.hashes(open_, span, 1)
-                yield pd.DataFrame(
-                    {"doc": ids[who[piece]], "pos": (local + offs[piece]).astype(np.int32), "h": h.view(np.int64), "g": (g >> np.uint64(32)).astype(np.uint32).view(np.int32), "n": n}
-                )
+                first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (s[1:] != s[:-1]) | (piece[1:] != piece[:-1])])
+                last = np.r_[first[1:], len(at)] - 1
+                w = who[piece[first]]
+                start = at[first] - t.start[piece[first]] + offs[piece[first]]
+                size = at[last] - at[first] + span
+                context = [texts[i][a : a + z] for i, a, z in zip(w.tolist(), start.tolist(), size.tolist(), strict=True)]
+                yield pd.DataFrame({"s": s[first].view(np.int64), "doc": ids[w], "start": start.astype(np.int32), "context": context})
 
     return run
 
 
-def in_two_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """mapInPandas over rows sorted by (h, g, doc): the (doc, pos) of windows that stand in two documents.
+def shared_windows(span: int):
+    """mapInPandas over rows of :func:`context_rows` sorted by s: (doc, start, end) of what two documents have.
 
-    A window's rows may go on in the next batch. Those of its first document wait until a second one comes.
+    All rows of a minimizer come together; equal windows have equal minimizers.
     """
-    held, two_held = None, False
-    for batch in batches:
-        if not len(batch):
-            continue
-        n_held = 0
-        if held is not None:
-            n_held = len(held)
-            batch = pd.concat([held, batch], ignore_index=True)
-        h, g, doc = batch["h"].to_numpy(), batch["g"].to_numpy(), batch["doc"].to_numpy()
-        start = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
-        end = np.r_[start[1:], len(h)]
-        two = doc[start] != doc[end - 1]
-        two[0] |= two_held
-        give = np.repeat(two, end - start)
-        if two_held:
-            give[:n_held] = False
-        yield batch.loc[give, ["doc", "pos"]]
-        two_held = bool(two[-1])
-        held = batch.iloc[-1:] if two_held else batch.iloc[start[-1] :]
+
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        t = Texts(rows["context"].tolist())
+        count = t.sizes - span + 1
+        row = np.repeat(np.arange(len(rows)), count)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + t.start[row]
+        h, g, doc = t.hashes(at, span), t.hashes(at, span, 1), rows["doc"].to_numpy()[row]
+        order = np.lexsort((doc, g, h))
+        x, y, d = h[order], g[order], doc[order]
+        begin = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        end = np.r_[begin[1:], len(x)]
+        shared = np.zeros(len(x), dtype=bool)
+        shared[order] = np.repeat(d[begin] != d[end - 1], end - begin)
+        at, row = at[shared], row[shared]
+        if not len(at):
+            return pd.DataFrame({"doc": [], "start": [], "end": []})
+        first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])])
+        last = np.r_[first[1:], len(at)] - 1
+        r = row[first]
+        start = at[first] - t.start[r] + rows["start"].to_numpy()[r]
+        return pd.DataFrame({"doc": rows["doc"].to_numpy()[r], "start": start, "end": start + at[last] - at[first] + span})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            s = rows["s"].to_numpy()
+            # Groups are settled a few thousand rows at a time; the last one may go on in the next batch.
+            edges = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, dtype=int)
+            at = 0
+            for k, e in enumerate(edges):
+                if e > at and (e - at >= 1000 or k == len(edges) - 1):
+                    yield settle(rows.iloc[at:e])
+                    at = e
+            held = rows.iloc[at:]
+        if held is not None and len(held):
+            yield settle(held)
+
+    return run
+
+
+def window_rows(span: int, chunk: int, most: int):
+    """mapInPandas: (h, g, doc, pos): hashes of the windows whose minimizer has more than ``most`` occurrences."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids = batch["doc"].to_numpy()
+            for who, offs, t, at, piece, _, n in _open_windows(batch, span, chunk):
+                at, piece = at[n > most], piece[n > most]
+                h, g = t.hashes(at, span), t.hashes(at, span, 1)
+                pos = at - t.start[piece] + offs[piece]
+                yield pd.DataFrame({"h": h.view(np.int64), "g": g.view(np.int64), "doc": ids[who[piece]], "pos": pos.astype(np.int32)})
+
+    return run
 
 
 def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = 200, chunk: int = CHUNK) -> DataFrame:
@@ -163,14 +217,14 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span:
     """
     scratch = Scratch(docs.sparkSession, "spans")
     own = docs.where(F.length(text) >= span).select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    edges = own.mapInPandas(edge_rows(span, chunk), "doc BIGINT, pos INT, h BIGINT, step BIGINT")
+    edges = own.mapInPandas(edge_rows(span, chunk), "doc BIGINT, pos INT, h BIGINT, step INT")
     repeated = edges.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
     repeated = scratch.write(repeated.select("h", "n"), "repeated")
     marked = scratch.write(join_counted(edges, repeated, ["h"], "n", ["doc", "pos"]), "marked")
 
     # Nonbranching steps: the edge, the step and the next edge occur equally often.
-    steps = scratch.write(marked.where("step <> 0").groupBy("step").agg(F.count("*").alias("m")), "steps")
-    noted = join_counted(marked, steps.where("m > 1"), ["step"], "m", ["doc", "pos"], "left")
+    steps = scratch.write(marked.where("step <> 0").groupBy("h", "step").agg(F.count("*").alias("m")), "steps")
+    noted = join_counted(marked, steps.where("m > 1"), ["h", "step"], "m", ["doc", "pos"], "left")
     noted = noted.withColumn("joined", F.col("m") == F.col("n"))
     in_doc = Window.partitionBy("doc").orderBy("pos")
     before = F.lag(F.struct("joined", "n")).over(in_doc)
@@ -186,18 +240,17 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span:
         F.flatten(F.collect_list(F.when(whole, F.array("start", "end")))).alias("runs"),
     )
     per_doc = scratch.write(per_doc.select("doc", F.col("edges.pos").alias("pos"), F.col("edges.n").alias("n"), "runs"), "per_doc")
-    windows = own.join(per_doc, "doc").mapInPandas(window_rows(span, chunk), "doc BIGINT, pos INT, h BIGINT, g INT, n BIGINT")
-
-    total = repeated.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("n") >= max(1000, total / 1000)
-    windows = scratch.write(windows, "windows")
-    cold = windows.where(~hot).select("h", "g", "doc", "pos")
-    cold = cold.repartition("h").sortWithinPartitions("h", "g", "doc").mapInPandas(in_two_documents, "doc BIGINT, pos INT")
-    warm = windows.where(hot)
-    counts = warm.groupBy("h", "g").agg(F.count("*").alias("k"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
-    counts = scratch.write(counts.select("h", "g", "k"), "hot")
-    warm = join_counted(warm, counts, ["h", "g"], "k", ["doc", "pos"]).select("doc", "pos")
-    found = cold.union(warm).select("doc", F.col("pos").alias("start"), (F.col("pos") + span).alias("end"))
+    read = own.join(per_doc, "doc")
+    contexts = read.mapInPandas(context_rows(span, chunk, FEW), "s BIGINT, doc BIGINT, start INT, context STRING")
+    contexts = contexts.repartition("s").sortWithinPartitions("s")
+    found = contexts.mapInPandas(shared_windows(span), "doc BIGINT, start INT, end INT")
+    if repeated.where(F.col("n") > FEW).limit(1).count():
+        read = own.join(per_doc.where(F.array_max("n") > FEW), "doc")
+        windows = scratch.write(read.mapInPandas(window_rows(span, chunk, FEW), "h BIGINT, g BIGINT, doc BIGINT, pos INT"), "windows")
+        counts = windows.groupBy("h", "g").agg(F.count("*").alias("k"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
+        counts = scratch.write(counts.select("h", "g", "k"), "hot")
+        warm = join_counted(windows, counts, ["h", "g"], "k", ["doc", "pos"])
+        found = found.union(warm.select("doc", "pos", F.col("pos") + span))
     found = found.union(_run_spans(per_doc))
     return _merged(found, key)
 
