@@ -108,6 +108,30 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return structure(table(spark, d, "menu_items")).select("item_id", "kind", content.alias("content")).distinct()
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from lavra.llm.scan_repair import scan_faults
+
+    return scan_faults(table(spark, d, "pdf_conversions"), table(spark, d, "lexicon"))
+
+
+def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    from lavra.llm.scan_repair import repaired
+
+    return repaired(table(spark, d, "pdf_conversions"), table(spark, d, "lexicon"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from lavra.llm.residue import residue
+
+    return residue(table(spark, d, "md"))
+
+
+def p1_validation(spark: SparkSession, d: str) -> DataFrame:
+    from lavra.llm.residue import validation
+
+    return validation(table(spark, d, "md"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k.split("_")[0][1:].isdigit()}
 
