@@ -1,88 +1,188 @@
 """Problem 1: template residue, filler and error pages in place of content.
 
-Each line of a text is one instance for an L2-regularized logistic regression on hashed n-grams of words and
-symbol groups, with length and title features. It is trained on weak labels (response statuses and phrases of
-pages that failed, fields that were never filled, filler words; negative where a text only speaks of them) and validated on
-hosts that gave no training line. A record is found if one of its lines is.
+Each line of a text is one instance for an L2-regularized logistic regression on hashed character n-grams, with
+length and title features. It is trained on weak labels (response statuses and phrases of pages that failed, fields that
+were never filled, filler words; negative where a text only speaks of them) and validated on hosts that gave no
+training line. A record is found if one of its lines is.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
-from pyspark.sql import Column, DataFrame
+import re
+import zlib
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lavra.llm.rolling import Texts, mix
 from lavra.session import Scratch
 
-#: At most about so many lines of each of three kinds (positive, negative with a trigger, other) are fitted.
-SAMPLE = 20_000
+#: At most about so many lines of each of three kinds (positive, mention, other) are fitted, and as many again validated.
+SAMPLE = 12_000
 #: One host of so many is kept for validation.
 HELD_OUT = 5
-FEATURES = 1 << 17
-# What weak labels go by. Lower case, numbers kept.
-_LATIN = "lorem|ipsum|dolor|dolore|amet|consectetur|adipiscing|elit|eiusmod|tempor|incididunt|labore|magna|aliqua|enim|minim|veniam|quis|nostrud|exercitation|ullamco|laboris|nisi|aliquip|commodo|sed|sit"
-FIELDS = r"\{\{[^}]*\}\}|\$\{[^}]*\}|#\{[^}]*\}|\{%[^%]*%\}|<<[^>]+>>|@@\w+@@|%[\p{L}_]{3,}%|\[(inserir|preencher|informar|digitar|nome d)[^\]]*\]|\[[^\]]* aqui\]|x{4,}|__/__|r\$ 0\.000,00|nome do titular|matrícula 0{4,}|_{4,}, __ de"
-FILLER = rf"(\b({_LATIN})\b[^\p{{L}}]+){{5}}|texto de exemplo|substitua este (texto|parágrafo)|clique para editar|em breve publicaremos|^conteúdo em breve|está em construção|página em construção"
+GRAMS = (3, 6)
+BITS = 18
+CHUNK = 500_000
+# What weak labels go by. Lower case, white space as one blank.
+_LATIN = "lorem|ipsum|dolor|dolore|amet|consectetur|adipiscing|elit|eiusmod|tempor|incididunt|labore|magna|aliqua|enim|minim|veniam|quis|nostrud|exercitation|ullamco|laboris|nisi|aliquip|commodo|sed|sit|do|ut|et|ea|ex|ad"
+FIELDS = r"\{\{[^}]*\}\}|\$\{[^}]*\}|#\{[^}]*\}|\{%[^%]*%\}|<<[^>]+>>|@@\w+@@|%[^\W\d]{3,}%|\[(inserir|preencher|informar|digitar|nome d)[^\]]*\]|\[[^\]]* aqui\]|x{4,}|__/__|r\$ 0\.000,00|nome do titular|matrícula 0{4,}|_{4,}, __ de"
+FILLER = rf"(\b({_LATIN})\b[^\w]+){{6}}|texto de exemplo|substitua este (texto|parágrafo)|clique para editar|em breve publicaremos|^conteúdo em breve|está em construção|página em construção"
 STATUS = r"^[#\s]*((http|erro|error|status)\s*)?[45][0-9]{2}\b|^[#\s]*(http|erro|error)\s+[0-9]{3}|não foi encontrado no servidor|página (inexistente|não encontrada)|^acesso negado|sessão .{0,20}expirou|internal (server )?error|unable to complete your request|contact the administrator|traceback \(most recent|fatal error:|^warning: \w+|^\s*at [\w$]+(\.[\w$]+)+\(|^\s*file \"[^\"]+\", line|temporariamente indisponível|em manutenção programada|undefined undefined|\[object object\]|null/nan|undefined itens|checking your browser|link foi digitado|request id:"
 SCRIPTS = r"(habilit|ligu|ativ)\w*.{0,40}(javascript|scripts)|não executa scripts|<noscript>|enable (javascript|scripts|cookies)|depende de javascript|requires javascript|javascript is (disabled|required)"
 #: A text that speaks of such things: it quotes them, or tells of them in a sentence.
 MENTION = r"[`“”«»]|\[\.\.\.\]|aponta que|foi corrigid|norma de acessibilidade|já voltou|expressão latina|no modelo d|assinatura d|, inclusive n"
-
-_TOKEN = r"\p{L}+|[0-9]+|[^\s\p{L}0-9]+"
-
-
-def lines_of(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
-    """(key, host, line) for each line that isn't blank; lower case, white space collapsed."""
-    lines = docs.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(host).alias("host"), F.explode(F.split(text, "\n")).alias("line"))
-    return lines.withColumn("line", F.trim(F.lower(F.regexp_replace("line", r"(?U)[\s\x1c-\x1f]+", " ")))).where("line <> ''")
-
-
-def weak_label(line: Column) -> Column:
-    """1 for a trigger that isn't only spoken of, 0 for a mention, NULL without a trigger."""
-    trigger = line.rlike(FIELDS) | line.rlike(FILLER) | line.rlike(STATUS) | line.rlike(SCRIPTS)
-    return F.when(line.rlike(MENTION), F.lit(0.0)).when(trigger, F.lit(1.0))
-
-
-def _terms(lines: DataFrame) -> DataFrame:
-    """The terms of each line: words and symbol groups, their pairs and triples, its length and whether it is a title."""
-    words = F.regexp_extract_all(F.regexp_replace("line", "[0-9]+", "0"), F.lit(f"({_TOKEN})"), F.lit(1))
-    lines = lines.withColumn("w", words)
-    rest, third = F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), F.slice("w", 3, F.greatest(F.size("w"), F.lit(1)))
-    pairs = F.zip_with("w", rest, lambda a, b: F.concat(a, F.lit(" "), b))
-    triples = F.zip_with(pairs, third, lambda a, b: F.concat(a, F.lit(" "), b))
-    size = F.concat(F.lit("=size "), F.least(F.lit(8), F.floor(F.log2(F.length("line") + 1))).cast("string"))
-    title = F.when(F.col("line").startswith("#"), F.lit("=title")).otherwise(F.lit("=text"))
-    return lines.withColumn("terms", F.filter(F.concat("w", pairs, triples, F.array(size, title)), lambda t: t.isNotNull())).drop("w")
-
-
-def _features(lines: DataFrame) -> DataFrame:
-    return HashingTF(numFeatures=FEATURES, inputCol="terms", outputCol="features", binary=True).transform(_terms(lines))
-
-
-def fit(lines: DataFrame, scratch: Scratch):
-    """The model, and the labelled lines (with their host and whether they were held out)."""
-    labelled = lines.withColumn("label", weak_label(F.col("line"))).withColumn(
-        "kind", F.when(F.col("label") == 1, 1).when(F.col("label") == 0, 2).otherwise(3)
-    ).withColumn("held", F.pmod(F.xxhash64(F.coalesce("host", F.lit(""))), F.lit(HELD_OUT)) == 0)
-    counts = {(r.kind, r.held): r["count"] for r in labelled.groupBy("kind", "held").count().collect()}
-    # The same line is drawn or not whatever else there is.
-    draw = F.abs(F.xxhash64("key", "line") % 1_000_000) / 1_000_000.0
+#: Without one of these a text has no trigger.
+SEEDS = (
+    "{{ ${ #{ {% << @@ % [ xxxx __/__ 0.000,00 titular matrícula ____ ipsum lorem dolor texto|de|exemplo substitua clique|para em|breve construção "
+    "http erro 40 41 42 50 não|foi|encontrado inexistente não|encontrada acesso|negado expirou internal unable administrator traceback fatal warning "
+    "file|\" indisponível manutenção undefined object null checking digitado request javascript scripts noscript enable at|br"
+).split()
+
+
+@lru_cache(maxsize=1)
+def _automaton():
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for s in SEEDS:
+        found.add_word(s.replace("|", " "), 1)
+    found.make_automaton()
+    return found
+
+
+@lru_cache(maxsize=1)
+def _patterns() -> tuple[re.Pattern, re.Pattern]:
+    return re.compile("|".join((FIELDS, FILLER, STATUS, SCRIPTS))), re.compile(MENTION)
+
+
+def weak_label(line: str) -> int | None:
+    """1 for a trigger that isn't only spoken of, 0 for a mention of one, NULL without a trigger; ``line`` is lower case."""
+    trigger, mention = _patterns()
+    text = " ".join(line.split())
+    if trigger.search(text) is None:
+        return None
+    return 0 if mention.search(text) else 1
+
+
+def labelled(rate: float):
+    """mapInPandas over (key, host, text): (line, kind, held, draw): lines with a trigger (kind 1, or 0 for a mention), and
+    the part ``rate`` of the lines without (kind 2). ``draw`` is even in [0, 1) and depends on key and line only."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = _automaton()
+        for batch in batches:
+            rows = []
+            for key, host, text in zip(batch["key"], batch["host"], batch["text"], strict=True):
+                low = text.lower()
+                any_seed = next(automaton.iter(low), None) is not None
+                held = zlib.crc32((host or "").encode()) % HELD_OUT == 0
+                for k, line in enumerate(low.split("\n")):
+                    if not line or line.isspace():
+                        continue
+                    label = weak_label(line) if any_seed and next(automaton.iter(line), None) is not None else None
+                    draw = zlib.crc32(b"%d %d" % (key, k)) / 2**32
+                    if label is not None:
+                        rows.append((line, label, held, draw))
+                    elif draw < rate:
+                        rows.append((line, 2, held, draw / rate))
+            yield pd.DataFrame(rows, columns=["line", "kind", "held", "draw"])
+
+    return run
+
+
+class Features:
+    """Hashed n-grams of many lines: for each gram its line and its place in the weights."""
+
+    def __init__(self, lines: list[str]):
+        t = Texts([f"\n{x}\n" for x in lines])
+        digit = (t.chars >= 48) & (t.chars <= 57)
+        t.chars = np.where(digit, 48, np.where(t.chars == 160, 32, t.chars)).astype(np.uint32)
+        row = np.repeat(np.arange(len(lines)), t.sizes)
+        mask = np.uint64((1 << BITS) - 1)
+        rows, places = [], []
+        for n in GRAMS:
+            at = np.flatnonzero(np.arange(t.n) + n <= t.end_at)
+            places.append((t.hashes(at, n) & mask).astype(np.int64))
+            rows.append(row[at])
+        # Length and title features take places of their own.
+        size = np.minimum(np.log2(t.sizes).astype(np.int64), 9)
+        title = np.array([1 if x.lstrip().startswith("#") else 0 for x in lines], dtype=np.int64)
+        extra = mix((size * 2 + title + 77).astype(np.uint64)) & mask
+        self.rows = np.concatenate([*rows, np.arange(len(lines))])
+        self.places = np.concatenate([*places, extra.astype(np.int64)])
+        self.n = len(lines)
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, weights=weights[self.places], minlength=self.n) + weights[-1]
+
+
+def fit(lines: list[str], labels: np.ndarray, l2: float = 1e-4, rounds: int = 120) -> np.ndarray:
+    """Weights of a logistic regression with an L2 penalty, the intercept last; Adam over the whole sample."""
+    x = Features(lines)
+    w = np.zeros((1 << BITS) + 1)
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    # Both classes weigh the same.
+    share = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
+    for k in range(1, rounds + 1):
+        error = (1 / (1 + np.exp(-np.clip(x.scores(w), -30, 30))) - labels) * share
+        g = np.bincount(x.places, weights=error[x.rows], minlength=len(w))
+        g[-1] = error.sum()
+        g += l2 * w
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w -= 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
+    return w
+
+
+def train(docs: DataFrame, key: str, text: str, host: str, scratch: Scratch) -> tuple[np.ndarray | None, pd.DataFrame]:
+    """The weights, and the sample of labelled lines with ``held`` (of unseen hosts). The sample is all that comes to the driver."""
+    own = docs.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(host).alias("host"), F.col(text).alias("text"))
+    # Of the lines without a trigger about ten from each of so many documents are enough.
+    rate = min(1.0, SAMPLE / max(1, docs.count()))
+    lines = scratch.write(own.mapInPandas(labelled(rate), "line STRING, kind INT, held BOOLEAN, draw DOUBLE"), "labelled")
     rate = F.lit(0.0)
-    for (kind, held), n in counts.items():
-        rate = F.when((F.col("kind") == kind) & (F.col("held") == held), F.lit(min(1.0, SAMPLE / n))).otherwise(rate)
-    chosen = labelled.where(draw < rate).select("line", F.coalesce("label", F.lit(0.0)).alias("label"), "held")
-    chosen = scratch.write(chosen.coalesce(8), "labelled")
-    train = _features(chosen.where("NOT held"))
-    if chosen.where("NOT held").select("label").distinct().count() < 2:
-        return None, chosen
-    model = LogisticRegression(maxIter=40, regParam=3e-5, standardization=False, aggregationDepth=2).fit(train)
-    return model, chosen
-
-
-def _scored(model, lines: DataFrame) -> DataFrame:
-    model.setProbabilityCol("").setRawPredictionCol("")
-    return model.transform(_features(lines))
+    for r in lines.groupBy("kind", "held").agg(F.count("*").alias("n")).collect():
+        rate = F.when((F.col("kind") == r.kind) & (F.col("held") == r.held), F.lit(min(1.0, SAMPLE / r.n))).otherwise(rate)
+    sample = lines.where(F.col("draw") < rate).dropDuplicates(["line", "kind", "held"]).toPandas()
+    sample = sample.sort_values(["kind", "line"], ignore_index=True)
+    own = sample[~sample["held"]]
+    labels = (own["kind"] == 1).to_numpy().astype(float)
+    if not 0 < labels.sum() < len(labels):
+        return None, sample
+    return fit(own["line"].tolist(), labels), sample
+
+
+def _found(weights: np.ndarray | None):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys, hit = batch["key"].to_numpy(), np.zeros(len(batch), dtype=bool)
+            who, lines, n = [], [], 0
+
+            def settle() -> None:
+                if lines and weights is not None:
+                    hit[np.array(who)[Features(lines).scores(weights) > 0]] = True
+                who.clear()
+                lines.clear()
+
+            for k, text in enumerate(batch["text"]):
+                for line in text.lower().split("\n"):
+                    if line and not line.isspace():
+                        if weights is None:
+                            hit[k] |= weak_label(line) == 1
+                        who.append(k)
+                        lines.append(line)
+                        n += len(line)
+                if n > CHUNK:
+                    settle()
+                    n = 0
+            settle()
+            yield pd.DataFrame({"key": keys[hit]})
+
+    return run
 
 
 def residue(docs: DataFrame, key: str = "md_id", text: str = "body", host: str = "source") -> DataFrame:
@@ -90,23 +190,20 @@ def residue(docs: DataFrame, key: str = "md_id", text: str = "body", host: str =
     are required.
 
     NULL and empty texts are no cases. If the weak labels give no positive or no negative line, there is nothing to
-    learn from and the labels' own positives are the result. Keys must be unique; other columns are ignored.
+    learn from and the labels' own positives are the result. Keys must be unique BIGINTs; other columns are ignored.
     """
-    scratch = Scratch(docs.sparkSession, "residue")
-    lines = lines_of(docs, key, text, host)
-    model, _ = fit(lines, scratch)
-    if model is None:
-        found = lines.where(weak_label(F.col("line")) == 1)
-    else:
-        found = _scored(model, lines.select("key", "line")).where("prediction = 1")
-    return found.select(F.col("key").alias(key)).distinct()
+    weights, _ = train(docs, key, text, host, Scratch(docs.sparkSession, "residue"))
+    small = None if weights is None else weights.astype(np.float32)
+    own = docs.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return own.mapInPandas(_found(small), "key BIGINT").withColumnRenamed("key", key)
 
 
 def validation(docs: DataFrame, key: str = "md_id", text: str = "body", host: str = "source") -> DataFrame:
     """(held_out, label, prediction, lines): the model against the weak labels, on its own hosts and on unseen ones."""
-    scratch = Scratch(docs.sparkSession, "validation")
-    model, chosen = fit(lines_of(docs, key, text, host), scratch)
-    if model is None:
-        return chosen.groupBy(F.col("held").alias("held_out"), "label").agg(F.count("*").alias("lines")).withColumn("prediction", F.col("label"))
-    scored = _scored(model, chosen)
-    return scored.groupBy(F.col("held").alias("held_out"), "label", "prediction").agg(F.count("*").alias("lines"))
+    spark = docs.sparkSession
+    weights, sample = train(docs, key, text, host, Scratch(spark, "validation"))
+    label = (sample["kind"] == 1).astype(int)
+    guess = label if weights is None else pd.Series((Features(sample["line"].tolist()).scores(weights) > 0).astype(int))
+    table = pd.DataFrame({"held_out": sample["held"].astype(bool), "label": label, "prediction": guess}).value_counts().reset_index(name="lines")
+    kind = "held_out BOOLEAN, label INT, prediction INT, lines BIGINT"
+    return spark.createDataFrame([(bool(a), int(b), int(c), int(n)) for a, b, c, n in table.itertuples(index=False)], kind)
