@@ -1,9 +1,305 @@
-"""The queries over the reference operators, and their SQL."""
+"""The queries over the reference operators. Their SQL is in :mod:`lavra.catalogue_sql`."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from lavra.functions import html, legal, text, url
+from lavra.functions.yaml_map import read_yaml
+from lavra.operators import chunks, crawl, simhash, validate
+from lavra.plans import refine as plan
+from lavra.session import Scratch, table
+from lavra.streaming import incremental
+
+c = F.col
+# A site of six pages with a cycle, another host, a PDF and a missing page, and its links.
+GRAPH = [
+    ("https://a.example/", "https://a.example/x"), ("https://a.example/", "https://a.example/y"), ("https://a.example/", "https://b.example/"),
+    ("https://a.example/x", "https://a.example/"), ("https://a.example/x", "https://a.example/z"), ("https://a.example/y", "https://a.example/z"),
+    ("https://a.example/y", "https://a.example/doc.pdf"), ("https://a.example/z", "https://a.example/deep"), ("https://a.example/z", "https://sub.a.example/w"),
+    ("https://a.example/y", "https://a.example/foto.jpg"), ("https://b.example/", "https://a.example/from-b"), ("https://a.example/deep", "https://a.example/deeper"),
+]
+
+
+def _raw(s: SparkSession, d: str) -> DataFrame:
+    """The md files as texts with front matter between fences."""
+    raw = F.when(c("front_matter").isNull(), F.coalesce("body", F.lit(""))).otherwise(F.concat(F.lit("---\n"), "front_matter", F.lit("\n---\n"), F.coalesce("body", F.lit(""))))
+    return table(s, d, "md").select("md_id", "path", raw.alias("raw"))
+
+
+def _meta(s: SparkSession, d: str) -> DataFrame:
+    raw = _raw(s, d)
+    return raw.select("md_id", "path", text.simple_yaml(text.front_matter(c("raw"))).alias("meta"), text.front_matter_body(c("raw"), False).alias("body"))
+
+
+def quality_gate(s, d):
+    return table(s, d, "documents").select("doc_id", text.marker_count(c("text")).cast("int").alias("markers"), text.is_low_quality(c("text")).alias("low"))
+
+
+def quality_gate_md(s, d):
+    return table(s, d, "md").select("md_id", text.is_low_quality(text.collapse_newlines(c("body"))).alias("low"))
+
+
+def llm_useful(s, d):
+    docs = table(s, d, "documents")
+    return docs.select("doc_id", text.llm_is_useful(c("text")).alias("useful"), text.should_apply_llm(F.lit("google"), F.lit(False), c("text")).alias("always"), text.should_apply_llm(F.lit("none"), F.lit(False), c("text")).alias("never"))
+
+
+def normalized_hash(s, d):
+    return table(s, d, "documents").select("doc_id", text.content_hash(c("text")).alias("content_hash"), F.length(text.normalize_text(c("text"))).alias("chars"))
+
+
+def exact_dups(s, d):
+    from lavra.operators.skew import join_counted
+
+    own = table(s, d, "documents").select("doc_id", text.content_hash(c("text")).alias("content_hash"))
+    counts = Scratch(s, "dups").write(own.groupBy("content_hash").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1"), "counts")
+    return join_counted(own, counts, ["content_hash"], "copies", ["doc_id"]).select("doc_id", "first_id", "copies")
+
+
+def token_freq(s, d):
+    return simhash.term_frequencies(table(s, d, "documents"), "doc_id", "text", 20).select("doc_id", "token", c("weight").cast("bigint").alias("weight"), c("rank").cast("bigint").alias("rank"))
+
+
+def simhash64(s, d):
+    return simhash.simhashes(table(s, d, "documents"), "doc_id", "text")
+
+
+def _bits(s, d):
+    hashed = simhash.simhashes(table(s, d, "documents"), "doc_id", "text").where("simhash IS NOT NULL")
+    return Scratch(s, "bits").write(hashed.select("doc_id", simhash.bits_of(c("simhash")).alias("bits")), "bits")
+
+
+def near_dup_pairs(s, d):
+    pairs = simhash.near_pairs(_bits(s, d))
+    as_hex = lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))
+    return pairs.select(F.least(as_hex(c("a")), as_hex(c("b"))).alias("a"), F.greatest(as_hex(c("a")), as_hex(c("b"))).alias("b"), c("distance").cast("int").alias("distance"))
+
+
+def greedy_dedup(s, d):
+    return simhash.greedy_kept(_bits(s, d), "doc_id")
+
+
+def _urls(s, d):
+    own = table(s, d, "pages").select("url").union(table(s, d, "menu_items").select("url")).union(table(s, d, "documents").select("url")).where("url IS NOT NULL").distinct()
+    extra = ["https://Example.com/noticias/?utm_source=mail&id=42#rodape", "HTTP://A.example:80//x///y/?lang=pt&ID=1&page=#!/rota//a/", "mailto:a@b.c", "ftp://h/x", "", "https://h.example", "https://h.example/a;p=1?page=2&page=3", "https://h.example/f.tar.GZ#/x/", "/relative"]
+    return own.union(s.createDataFrame([(x,) for x in extra], "url STRING"))
+
+
+def url_normalize(s, d):
+    return _urls(s, d).select("url", url.normalize_url(c("url")).alias("normal"))
+
+
+def url_parts(s, d):
+    return _urls(s, d).select("url", url.host(c("url")).alias("host"), url.extension(c("url")).alias("ext"), url.is_pdf(c("url")).alias("pdf"), url.is_other_binary(c("url")).alias("binary"))
+
+
+def url_scope(s, d):
+    base = F.lit("h.example")
+    return _urls(s, d).select("url", url.in_scope(c("url"), base).alias("same"), url.in_scope(c("url"), base, False).alias("any"), url.blocked_request(F.lit("script"), c("url")).alias("blocked"))
+
+
+def output_names(s, d):
+    return table(s, d, "pages").select("page_id", url.output_filename(c("url"), "md").alias("name"), url.sanitize(F.coalesce("title", F.lit("")), 40).alias("title_name"), url.sanitize(F.coalesce("title", F.lit("")), 150, False).alias("menu_name"))
+
+
+def refined_names(s, d):
+    return table(s, d, "md").select("md_id", url.refined_name(c("path")).alias("out"))
+
+
+def short_hashes(s, d):
+    return table(s, d, "menu_items").select("item_id", F.substring(F.sha1("label"), 1, 10).alias("h10"), F.substring(F.sha1("label"), 1, 8).alias("h8"), F.sha1("label").alias("h"))
+
+
+def page_links(s, d):
+    return table(s, d, "pages").select("page_id", F.explode(html.links(c("html"), c("url"))).alias("link"))
+
+
+def link_scope_counts(s, d):
+    links = table(s, d, "pages").select("source", F.explode(html.links(c("html"), c("url"))).alias("link"))
+    return links.groupBy("source").agg(F.count("*").alias("links"), F.count_if(url.in_scope(c("link"), c("source"))).alias("inside"), F.count_if(url.is_pdf(c("link"))).alias("pdfs"))
+
+
+def new_links(s, d):
+    pages = table(s, d, "pages")
+    links = pages.select(F.explode(html.links(c("html"), c("url"))).alias("url")).distinct()
+    return links.join(pages.select(url.normalize_url(c("url")).alias("url")), "url", "left_anti")
+
+
+def page_heads(s, d):
+    return table(s, d, "pages").select("page_id", html.language(c("html")).alias("lang"), html.title(c("html")).alias("title"), html.modified(c("html")).alias("modified"), html.canonical(c("html"), c("url")).alias("canonical"))
+
+
+def page_text(s, d):
+    return table(s, d, "pages").select("page_id", html.plain_text("html").alias("text"))
+
+
+def page_gate(s, d):
+    pages = table(s, d, "pages").select("page_id", F.length(html.plain_text("html")).alias("chars"))
+    return pages.where(c("chars") >= html.MIN_CONTENT_CHARS)
+
+
+def page_markdown(s, d):
+    return table(s, d, "pages").select("page_id", html.to_markdown(html.main_content("html")).alias("markdown"))
+
+
+def page_saves(s, d):
+    from lavra.sources.sinks import saved_pages
+
+    title = F.coalesce(F.nullif(F.trim(F.coalesce("title", F.lit(""))), F.lit("")), html.title(c("html")), F.lit(""))
+    return saved_pages(table(s, d, "pages"), c("url"), title, html.language(c("html")), html.modified(c("html")), c("html"), "txt")
+
+
+def changed_panels(s, d):
+    return crawl.changed_panels(table(s, d, "menu_items")).select("item_id", "changed")
+
+
+def act_metadata(s, d):
+    found = table(s, d, "md").select("md_id", legal.legal_metadata(F.coalesce("body", F.lit(""))).alias("m"))
+    return found.select("md_id", "m.act_type", "m.act_number", "m.act_year", "m.act_date", F.coalesce("m.doe.numero", F.lit("")).alias("doe_number"), "m.status", F.array_join("m.aliases", "|").alias("aliases"))
+
+
+def act_dates(s, d):
+    rows = ["14 de julho de 2026", "31 de fevereiro de 2026", "1 de MARCO de 2001, 2/3/2004", "5 de foo de 2001 e 3/4/2005", "em 09-11-1999", "31/02/2020", "sem data", ""]
+    own = s.createDataFrame([(x,) for x in rows], "t STRING").union(table(s, d, "pdf_conversions").select(F.coalesce(F.regexp_extract("body", "^([^\n]*)", 1), F.lit("")).alias("t")).distinct())
+    return own.select("t", legal.portuguese_date(c("t")).alias("iso"))
+
+
+def front_matter_split(s, d):
+    raw = _raw(s, d)
+    return raw.select("md_id", text.front_matter(c("raw")).alias("yaml"), F.sha1(text.front_matter_body(c("raw"))).alias("refiner_body"), F.sha1(text.front_matter_body(c("raw"), False)).alias("reader_body"))
+
+
+def front_matter_yaml(s, d):
+    raw = _raw(s, d).select("md_id", read_yaml(text.front_matter(c("raw"))).alias("meta"))
+    return raw.select("md_id", F.size("meta").alias("keys"), F.to_json("meta").alias("meta"))
+
+
+def enrich_merge(s, d):
+    own = plan.enriched(_meta(s, d), "meta", "body", owner="arquivo")
+    pick = [F.coalesce(F.element_at("meta", k), F.lit("")).alias(k) for k in ("act_type", "act_number", "act_year", "act_date", "owner")]
+    return own.select("md_id", *pick, "changed")
+
+
+def validate_rules(s, d):
+    own = validate.validated(_meta(s, d))
+    return own.select("md_id", "result.act_type", "result.act_number", "result.act_year", "result.act_date", "result.heading_type", F.array_join("result.issues", ";").alias("issues"), "result.content_hash")
+
+
+def _audit(s, d):
+    own = validate.validated(_meta(s, d))
+    return validate.with_duplicates(own.select("md_id", "path", "result.*"), "md_id")
+
+
+def audit(s, d):
+    return validate.report_rows(_audit(s, d))
+
+
+def audit_summary(s, d):
+    return validate.issue_summary(_audit(s, d))
+
+
+def audit_results(s, d):
+    own = table(s, d, "validation_results")
+    return validate.with_duplicates(own, "result_id").select("result_id", F.array_join("issues", ";").alias("issues"))
+
+
+def audit_report(s, d):
+    return validate.markdown_report(_audit(s, d), "dados").select("section", "line")
+
+
+def chunk_text(s, d):
+    return chunks.chunks(table(s, d, "documents"), "doc_id", "text").select("doc_id", "chunk_no", F.length("chunk").alias("chars"), F.sha1("chunk").alias("h"))
+
+
+def strip_wrappers(s, d):
+    note = F.lit("Here is the rewritten text in markdown format:\n")
+    body = F.coalesce("html", F.lit(""))
+    made = F.when(c("item_id") % 3 == 0, F.concat(note, body)).when(c("item_id") % 3 == 1, F.concat(F.lit("```md\n"), body, F.lit("\n```"))).otherwise(body)
+    return table(s, d, "menu_items").select("item_id", F.sha1(text.strip_model_wrappers(made)).alias("h"))
+
+
+def pdf_bodies(s, d):
+    pdfs = table(s, d, "pdf_conversions")
+    own = plan.converted_pdfs(pdfs.select("pdf_id", "source_pdf", "body"), "source_pdf", "body")
+    return own.select("source_pdf", "out", F.sha1("body").alias("h"), "failed")
+
+
+def bfs_crawl(s, d):
+    links = s.createDataFrame(GRAPH + [("https://sub.a.example/w", None)], "src STRING, dst STRING")
+    policy = crawl.robots_policy("User-agent: *\nDisallow: /y\nAllow: /")
+    return crawl.crawl(links, crawl.CrawlOptions("https://a.example/", max_depth=3, max_pages=4), policy)
+
+
+def site_crawl(s, d):
+    pages = table(s, d, "pages").where("html <> ''")
+    own = pages.select(url.normalize_url(c("url")).alias("src"), F.explode_outer(html.links(c("html"), c("url"))).alias("dst"))
+    seed = own.agg(F.min("src")).first()[0] or "https://a.example/"
+    return crawl.crawl(own, crawl.CrawlOptions(seed, max_depth=2)).groupBy("depth", "outcome").agg(F.count("*").alias("urls"))
+
+
+def refine_pipeline(s, d):
+    return plan.refine(table(s, d, "md"), "md_id", "path", "body").drop("text")
+
+
+def refine_counters(s, d):
+    return plan.run_counters(plan.refine(table(s, d, "md"), "md_id", "path", "body"))
+
+
+def refine_events(s, d):
+    return plan.event_log(plan.refine(table(s, d, "md"), "md_id", "path", "body"), "path").select("event", F.to_json("fields").alias("fields"))
+
+
+def manifest_append(s, d):
+    made = plan.manifest_records(plan.refine(table(s, d, "md"), "md_id", "path", "body"), "path")
+    out = F.concat(F.lit("data/1_markdowns_limpos/"), "out")
+    return plan.new_records(made.withColumn("out", out), table(s, d, "manifest")).select("in", "out", "simhash64_hex")
+
+
+def manifest_anti_join(s, d):
+    outs = table(s, d, "md").select(F.concat(F.lit("data/1_markdowns_limpos/"), url.refined_name(c("path"))).alias("out"))
+    return outs.join(table(s, d, "manifest").where("out <> ''").select("out"), "out", "left_anti")
+
+
+def manifest_rebuild(s, d):
+    md = _meta(s, d)
+    files = md.select(F.concat(F.lit("data/1_markdowns_limpos/"), F.regexp_extract("path", r"([^/]*)\.md$", 1), F.lit("__REF.md")).alias("path"), "meta", text.strip(c("body")).alias("body"))
+    return plan.rebuilt_manifest(files, md.select("path"))
+
+
+def event_windows(s, d):
+    return incremental.windowed_counts(table(s, d, "events"), "ts", "event_type")
+
+
+def stream_gate(s, d):
+    scratch = Scratch(s, "stream")
+    docs = table(s, d, "documents")
+    to = f"{scratch.path}/gated"
+    s.createDataFrame([], docs.select("doc_id").schema).write.mode("overwrite").parquet(to)
+
+    def work(batch: DataFrame, number: int) -> None:
+        # A batch that runs again after a failure writes to the same place.
+        incremental.gate_stream(batch, "text").select("doc_id").write.mode("overwrite").parquet(f"{to}/batch={number}")
+
+    incremental.run_new_files(s, d, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"{scratch.path}/state", work, "documents.parquet")
+    return s.read.option("recursiveFileLookup", "true").schema("doc_id BIGINT").parquet(to)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    names = (
+        quality_gate, quality_gate_md, llm_useful, normalized_hash, exact_dups, token_freq, simhash64, near_dup_pairs, greedy_dedup, url_normalize, url_parts,
+        url_scope, output_names, refined_names, short_hashes, page_links, link_scope_counts, new_links, page_heads, page_text, page_gate, page_markdown, page_saves,
+        changed_panels, act_metadata, act_dates, front_matter_split, front_matter_yaml, enrich_merge, validate_rules, audit, audit_summary, audit_results, audit_report,
+        chunk_text, strip_wrappers, pdf_bodies, bfs_crawl, site_crawl, refine_pipeline, refine_counters, refine_events, manifest_append, manifest_anti_join,
+        manifest_rebuild, event_windows, stream_gate,
+    )
+    return {f.__name__: f for f in names}
+
+
+def oracle_sql() -> dict[str, str]:
+    from lavra.catalogue_sql import SQL
+
+    return SQL

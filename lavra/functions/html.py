@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lavra.functions.text import strip
 from lavra.functions.url import normalize_url, resolve
@@ -60,7 +61,7 @@ def text_of(page: str | None) -> str:
     return "\n".join(x for x in lines if x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def plain_text(pages: pd.Series) -> pd.Series:
     """:func:`text_of` of each page; '' for NULL."""
     return pages.map(text_of)
@@ -152,7 +153,7 @@ def markdown_of(page: str | None, trim_lines: bool = True) -> str:
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def to_markdown(pages: pd.Series) -> pd.Series:
     """:func:`markdown_of` of each page; '' for NULL."""
     return pages.map(markdown_of)
@@ -210,6 +211,6 @@ def main_region(page: str | None) -> str:
     return next((found[s] for s in SELECTORS if s in found and len(text_of(found[s])) >= MIN_CONTENT_CHARS), "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def main_content(pages: pd.Series) -> pd.Series:
     return pages.map(main_region)
