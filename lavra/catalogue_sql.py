@@ -48,13 +48,13 @@ def _simhash(src: str, key: str = "doc_id") -> str:
     return f"""
 sgn AS (SELECT {key}, w, ('0x' || substr(sha1(token), 1, 16))::UBIGINT AS h FROM {src}),
 bits AS (SELECT {key}, b, sum(CASE WHEN (h >> b) & 1 = 1 THEN w ELSE -w END) >= 0 AS one FROM sgn, range(64) r(b) GROUP BY {key}, b),
-hashed AS (SELECT {key}, sum(CASE WHEN one THEN (1::UBIGINT << b)::HUGEINT ELSE 0 END)::UBIGINT AS h FROM bits GROUP BY {key})"""
+hashed AS MATERIALIZED (SELECT {key}, sum(CASE WHEN one THEN (1::UBIGINT << b)::HUGEINT ELSE 0 END)::UBIGINT AS h FROM bits GROUP BY {key})"""
 
 
 def _greedy(src: str, key: str) -> str:
     """Keeps from ``src`` (key, h), in order of key, what is more than 3 bits from all kept before."""
     return f"""
-seq AS (SELECT {key} AS id, h, row_number() OVER (ORDER BY {key}) AS r FROM {src}),
+seq AS MATERIALIZED (SELECT {key} AS id, h, row_number() OVER (ORDER BY {key}) AS r FROM {src}),
 walk AS (
   SELECT 0::BIGINT AS r, []::UBIGINT[] AS kept, NULL::BIGINT AS id
   UNION ALL
