@@ -28,7 +28,7 @@ def markdown_texts(spark: SparkSession, folder: str, pattern: str = "*.md", ever
     if not everything:
         for part in EXCLUDED:
             files = files.where(~F.col("path").contains(f"/{part}/"))
-    return files.select("path", F.coalesce(F.try_validate_utf8(F.decode("content", "UTF-8")), F.lit("")).alias("raw"))
+    return files.select("path", F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.lit("")).alias("raw"))
 
 
 def markdown_documents(spark: SparkSession, folder: str, pattern: str = "*.md", trim: bool = True, everything: bool = False, recursive: bool = True) -> DataFrame:
