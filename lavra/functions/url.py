@@ -43,18 +43,31 @@ def normalize_url(url: Column) -> Column:
     return F.coalesce(F.when(good, made), F.lit(""))
 
 
+def _no_dots(url: Column) -> Column:
+    """Without the segments ``.`` and ``..`` of the path."""
+
+    def step(done: Column, x: Column) -> Column:
+        up = F.when(F.size(done) > 1, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(done)
+        return F.when(x == ".", done).when(x == "..", up).otherwise(F.concat(done, F.array(x)))
+
+    segments = F.split(part(url, 3), "/")
+    path = F.array_join(F.aggregate(segments, F.array().cast("array<string>"), step), "/")
+    head, tail = F.regexp_extract(url, "^([^:]*://[^/?#]*)", 1), F.regexp_extract(url, r"^[^?#]*([?#].*)?$", 1)
+    return F.when(part(url, 3).rlike(r"(^|/)\.{1,2}(/|$)"), F.concat(head, path, tail)).otherwise(url)
+
+
 def resolve(base: Column, link: Column) -> Column:
-    """An absolute link; relative ones against the base's scheme and host, without dot segments."""
+    """An absolute link; relative ones against the base, without dot segments."""
     root = F.concat(part(base, 1), F.lit("://"), part(base, 2))
     folder = F.regexp_replace(F.when(part(base, 3) == "", "/").otherwise(part(base, 3)), "[^/]*$", "")
     clean = F.trim(link)
     return (
         F.when(clean.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), clean)
         .when(clean.startswith("//"), F.concat(part(base, 1), F.lit(":"), clean))
-        .when(clean.startswith("/"), F.concat(root, clean))
+        .when(clean.startswith("/"), _no_dots(F.concat(root, clean)))
         .when(clean.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), clean))
         .when(clean.startswith("?"), F.concat(root, part(base, 3), clean))
-        .otherwise(F.concat(root, folder, clean))
+        .otherwise(_no_dots(F.concat(root, folder, clean)))
     )
 
 

@@ -45,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     global _local_base
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):

@@ -44,6 +44,7 @@ def test_scope_and_names(spark):
     assert name.startswith("example.com_uma_pagina__") and name.endswith(".txt")
     assert one(spark, "...", url.sanitize) == "documento" and one(spark, None, url.sanitize) == "documento"
     assert one(spark, "https://a.example/x/y?q", lambda x: url.resolve(x, F.lit("z"))) == "https://a.example/x/z"
+    assert one(spark, "https://a.example/x/y/w", lambda x: url.resolve(x, F.lit("../.././b?c#d"))) == "https://a.example/b?c#d"
 
 
 @pytest.mark.parametrize(("x", "want"), [("14 de julho de 2026", "2026-07-14"), ("31 de fevereiro de 2026", ""), ("5 de foo de 2001 e 3/4/2005", ""), ("em 3-4-2005", "2005-04-03"), (None, "")])
