@@ -56,7 +56,9 @@ def exact_dups(s, d):
     from lavra.operators.skew import join_counted
 
     own = table(s, d, "documents").select("doc_id", text.content_hash(c("text")).alias("content_hash"))
-    counts = Scratch(s, "dups").write(own.groupBy("content_hash").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1"), "counts")
+    scratch = Scratch(s, "dups")
+    own = scratch.write(own, "own")
+    counts = scratch.write(own.groupBy("content_hash").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1"), "counts")
     return join_counted(own, counts, ["content_hash"], "copies", ["doc_id"]).select("doc_id", "first_id", "copies")
 
 

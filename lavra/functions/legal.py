@@ -40,7 +40,7 @@ def first_line(x: Column) -> Column:
 
 
 def heading(x: Column) -> Column:
-    return F.when(first_heading(x) != "", first_heading(x)).otherwise(first_line(x))
+    return F.coalesce(F.nullif(first_heading(x), F.lit("")), first_line(x))
 
 
 def act_type(x: Column) -> Column:
@@ -80,11 +80,15 @@ def act_alias(kind: Column, number: Column, year: Column) -> Column:
 
 def legal_metadata(body: Column) -> Column:
     """All of it as a STRUCT with '' for what is missing, and aliases as an ARRAY."""
-    h = heading(body)
-    kind, number, year = act_type(h), act_number(h), act_year(h)
-    alias = act_alias(kind, number, year)
-    return F.struct(
-        kind.alias("act_type"), number.alias("act_number"), year.alias("act_year"), portuguese_date(h).alias("act_date"),
-        gazette(body).alias("doe"), act_status(body).alias("status"),
-        F.when(alias != "", F.array(alias)).otherwise(F.array().cast("array<string>")).alias("aliases"),
-    )
+
+    def of(h: Column, kind: Column, number: Column, year: Column) -> Column:
+        alias = act_alias(kind, number, year)
+        return F.struct(
+            kind.alias("act_type"), number.alias("act_number"), year.alias("act_year"), portuguese_date(h).alias("act_date"),
+            gazette(body).alias("doe"), act_status(body).alias("status"),
+            F.when(alias != "", F.array(alias)).otherwise(F.array().cast("array<string>")).alias("aliases"),
+        )
+
+    # The lambda's variables hold the heading and its parts, which else would be read again for every use.
+    parts = F.transform(F.array(heading(body)), lambda h: F.struct(h.alias("h"), act_type(h).alias("t"), act_number(h).alias("n"), act_year(h).alias("y")))
+    return F.transform(parts, lambda p: of(p["h"], p["t"], p["n"], p["y"]))[0]

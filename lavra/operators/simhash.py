@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lavra.functions.text import TEXT_LIMIT, TOKEN, normalize_text, tokens
-from lavra.session import Scratch
+from lavra.session import Scratch, spread
 
 # Fixed values.
 MAX_FEATURES, MAX_WEIGHT, MAX_DISTANCE = 20_000, 255, 3
@@ -30,23 +30,38 @@ def term_frequencies(docs: DataFrame, key: str, text: str, top: int = MAX_FEATUR
     return counts.withColumn("rank", rank).where(F.col("rank") <= top).select(key, "token", F.least("n", F.lit(MAX_WEIGHT)).alias("weight"), "rank")
 
 
-def simhash_bits(text: str, signs: dict[str, np.ndarray]) -> int | None:
-    """The SimHash of one text, NULL without tokens; ``signs`` keeps the tokens' bits as +1 and -1."""
-    normal = " ".join(re.sub(r"\s+", " ", text).split(" ")).strip().lower()[:TEXT_LIMIT]
-    counts = Counter(_TOKEN.findall(normal)).most_common(MAX_FEATURES)
-    if not counts:
+class TokenSigns:
+    """The bits of tokens' hashes as +1 and -1, one row a token; starts anew when it has too many."""
+
+    def __init__(self) -> None:
+        self.row: dict[str, int] = {}
+        self.signs = np.zeros((1024, 64), dtype=np.int8)
+
+    def rows(self, found: list[str]) -> np.ndarray:
+        if len(self.row) > _CACHE:
+            self.__init__()
+        at = []
+        for token in found:
+            k = self.row.get(token)
+            if k is None:
+                k = self.row[token] = len(self.row)
+                if k == len(self.signs):
+                    self.signs = np.concatenate([self.signs, np.zeros_like(self.signs)])
+                digest = hashlib.sha1(token.encode("utf-8", "surrogatepass")).digest()[:8]
+                self.signs[k] = np.unpackbits(np.frombuffer(digest, dtype=np.uint8)).astype(np.int8) * 2 - 1
+            at.append(k)
+        return self.signs[at]
+
+
+def simhash_bits(text: str, signs: TokenSigns) -> int | None:
+    """The SimHash of one text, NULL without tokens."""
+    normal = re.sub(r"\s+", " ", text).strip().lower()[:TEXT_LIMIT]
+    counts = Counter(_TOKEN.findall(normal))
+    most = counts.most_common(MAX_FEATURES) if len(counts) > MAX_FEATURES else counts.items()
+    if not most:
         return None
-    rows = []
-    for token, _ in counts:
-        row = signs.get(token)
-        if row is None:
-            if len(signs) >= _CACHE:
-                signs.clear()
-            digest = hashlib.sha1(token.encode("utf-8", "surrogatepass")).digest()[:8]
-            row = signs[token] = np.unpackbits(np.frombuffer(digest, dtype=np.uint8)).astype(np.int32) * 2 - 1
-        rows.append(row)
-    weights = np.minimum(np.array([n for _, n in counts]), MAX_WEIGHT)
-    votes = weights @ np.stack(rows)
+    weights = np.minimum(np.array([n for _, n in most], dtype=np.float64), MAX_WEIGHT)
+    votes = weights @ signs.rows([t for t, _ in most])
     return int.from_bytes(np.packbits(votes >= 0).tobytes(), "big")
 
 
@@ -55,13 +70,13 @@ def simhashes(docs: DataFrame, key: str, text: str, empty_is_ones: bool = False)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        signs: dict[str, np.ndarray] = {}
+        signs = TokenSigns()
         none = "f" * 16 if empty_is_ones else None
         for batch in batches:
             found = (simhash_bits(t, signs) if t else None for t in batch["t"])
             yield pd.DataFrame({"k": batch["k"], "simhash": [none if v is None else f"{v:016x}" for v in found]})
 
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, simhash STRING")
+    rows = spread(docs.select(F.col(key).alias("k"), F.col(text).alias("t"))).mapInPandas(run, f"k {kind}, simhash STRING")
     return rows.withColumnRenamed("k", key)
 
 

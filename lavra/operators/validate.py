@@ -24,10 +24,10 @@ def validated(docs: DataFrame, path: str = "path", meta: str = "meta", body: str
         return F.coalesce(F.element_at(meta, key), F.lit(""))
 
     text = F.coalesce(F.col(body), F.lit(""))
-    inferred = legal_metadata(text)
-    kind = strip(given("act_type"))
+    # Columns of their own, as they are used many times.
+    docs = docs.withColumns({"_inferred": legal_metadata(text), "_head": act_type(first_heading(text)), "_kind": strip(given("act_type"))})
+    inferred, kind, head = F.col("_inferred"), F.col("_kind"), F.col("_head")
     value = {k: F.coalesce(F.nullif(given(k), F.lit("")), inferred[k]) for k in ("act_number", "act_year", "act_date")}
-    head = act_type(first_heading(text))
     low = F.lower(F.col(path))
     has_page = F.coalesce(F.map_contains_key(meta, F.lit("doe")), F.lit(False))
     found = [
@@ -49,7 +49,7 @@ def validated(docs: DataFrame, path: str = "path", meta: str = "meta", body: str
             kind.alias("act_type"), *[v.alias(k) for k, v in value.items()], (page if page is not None else F.lit("")).alias("publication_page"),
             head.alias("heading_type"), F.array_compact(F.array(*found)).alias("issues"), F.sha1(text).alias("content_hash"),
         ),
-    )
+    ).drop("_inferred", "_head", "_kind")
 
 
 def logical_key(kind: Column, heading: Column, number: Column, year: Column) -> Column:

@@ -58,6 +58,7 @@ def refine(docs: DataFrame, key: str, path: str, body: str, refiner: Refiner | N
     text = F.coalesce(collapse_newlines(F.col(body)), F.lit(""))
     own = docs.select(F.col(key).alias("id"), F.col(path).alias("path"), F.col(body).isNull().alias("none"), text.alias("text"))
     own = own.withColumn("bad", F.when(F.col("none") | (F.col("text") == ""), "empty").when(is_low_quality(F.col("text")), "low quality"))
+    own = scratch.write(own, "own")
     hashed = scratch.write(simhashes(own.where("bad IS NULL"), "id", "text"), "hashes")
     kept = greedy_kept(hashed.select("id", bits_of(F.col("simhash")).alias("bits")), "id")
     done = own.join(hashed, "id", "left").join(kept.withColumn("kept", F.lit(True)), "id", "left")
