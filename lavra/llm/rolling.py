@@ -21,19 +21,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Mixed codes of the code points below U+10000, for each of the two hashes.
+_CODES = [mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(_BASE * (k + 1) & (2**64 - 1))) for k in range(2)]
+_cached: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base & (2**64 - 1), dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """The first ``n`` powers of ``base`` or more; kept, as they depend on nothing else."""
+    have = _cached.get(base)
+    if have is None or len(have) < n:
+        out = np.full(max(n, 1 << 17), base & (2**64 - 1), dtype=np.uint64)
+        out[0] = 1
+        have = _cached[base] = np.multiply.accumulate(out)
+    return have[:n]
 
 
 class Texts:
     """Texts laid end to end: ``chars``, the ``start`` and ``end`` of each, and for each position its text's end."""
 
     def __init__(self, texts: list[str]):
-        parts = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in texts]
-        self.sizes = np.array([len(p) for p in parts], dtype=np.int64)
-        self.chars = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32)
+        self.sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        self.chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         self.end = np.cumsum(self.sizes)
         self.start = self.end - self.sizes
         self.n = len(self.chars)
@@ -44,7 +52,9 @@ class Texts:
         if which not in self._sums:
             base = _ODD[which]
             inverse = pow(base, -1, 2**64)
-            code = mix(self.chars.astype(np.uint64) + np.uint64(_BASE * (which + 1) & (2**64 - 1)))
+            code = _CODES[which][np.minimum(self.chars, 0xFFFF)]
+            wide = np.flatnonzero(self.chars > 0xFFFF)
+            code[wide] = mix(self.chars[wide].astype(np.uint64) + np.uint64(_BASE * (which + 1) & (2**64 - 1)))
             sums = np.zeros(self.n + 1, dtype=np.uint64)
             if self.n:
                 np.cumsum(code * _powers(base, self.n), out=sums[1:])
@@ -57,49 +67,33 @@ class Texts:
         to = at + size
         return mix((sums[to] - sums[at]) * inverse[at] + np.asarray(size, dtype=np.uint64))
 
-    def grams(self, size: int) -> np.ndarray:
-        """The hash at every position; the largest value where the text ends before."""
-        out = np.full(self.n, np.uint64(2**64 - 1))
-        ok = np.flatnonzero(np.arange(self.n) + size <= self.end_at)
-        out[ok] = self.hashes(ok, size)
-        return out
-
 
-def sliding(x: np.ndarray, width: int, low: bool = True) -> np.ndarray:
-    """The minimum (or maximum) of x[i:i+width] for each i with a full window."""
-    n = len(x)
-    if n < width:
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of x[i:i+width] for each i with a full window."""
+    if len(x) < width:
         return x[:0]
-    take = np.minimum if low else np.maximum
-    fill = np.uint64(2**64 - 1) if low else np.uint64(0)
-    rows = -(-n // width)
-    padded = np.full(rows * width, fill)
-    padded[:n] = x
-    grid = padded.reshape(rows, width)
-    ahead = take.accumulate(grid, axis=1).ravel()
-    back = take.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return take(back[: n - width + 1], ahead[width - 1 : n])
-
-
-def minimizers(t: Texts, size: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window of ``span`` characters inside a text, the gram of ``size`` with the least hash.
-
-    Gives the positions of all such grams, their hashes, and for every position the hash of the minimizer of
-    the window that starts there (the largest value where no window starts). Equal windows have equal minimizers
-    wherever they stand.
+    have = 1
+    while have * 2 <= width:
+        x = np.minimum(x[:-have], x[have:])
+        have *= 2
+    rest = width - have
+    return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
+
+
+def minimizers(t: Texts, size: int, span: int) -> np.ndarray:
+    """For every position the place of the minimizer of the window of ``span`` characters that starts there, -1 where none does.
+
+    It is the leftmost of the window's grams of ``size`` characters with the least key, so equal windows have it at the same
+    place in them, and places never go back from one window to the next.
     """
-    width = span - size + 1
-    top = np.uint64(2**64 - 1)
-    grams = t.grams(size)
-    least = np.full(t.n, top)
+    out = np.full(t.n, -1, dtype=np.int64)
     if t.n < span:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), least
-    found = sliding(grams, width)
+        return out
+    sums, inverse = t._prefix(0)
+    mask = np.uint64((1 << int(t.n).bit_length()) - 1)
+    keys = (sums[size:] - sums[:-size]) * inverse[: t.n - size + 1]
+    keys = (keys & ~mask) | np.arange(len(keys), dtype=np.uint64)
+    found = (sliding_min(keys, span - size + 1) & mask).astype(np.int64)
     inside = np.arange(len(found)) + span <= t.end_at[: len(found)]
-    least[: len(found)] = np.where(inside, found, top)
-    # A gram is chosen if it equals the minimum of some window over it; those minima are never above it.
-    own = np.where(least == top, np.uint64(0), least)
-    padded = np.concatenate([np.zeros(width - 1, dtype=np.uint64), own])
-    most = sliding(padded, width, low=False)
-    chosen = np.flatnonzero((most == grams) & (grams != top))
-    return chosen, grams[chosen], least
+    out[: len(found)] = np.where(inside, found, -1)
+    return out

@@ -1,11 +1,11 @@
 """Problem 10: long spans that stand verbatim in more than one document, by compaction of a de Bruijn graph.
 
-The tokens are characters and the graph's edges are 64-grams. Of all edges only minimizers are kept: one of them lies in
-every window of 200 characters, and equal windows have the same one. Edges that stand in two documents or more
-are repeated. A repeated edge and its successor form a nonbranching step if all their occurrences go
-together; runs of such steps are compacted paths, equal in all their documents, and are shared as a whole. What lies
-at their ends and at branchings is verified window by window, at the source coordinates, where their minimizer brings
-them together.
+The graph's nodes are 64-grams of characters, of which only minimizers are kept: one of them lies in every window of 200
+characters, and equal windows have the same one. Its edges are the stretches of text from one kept node to the next. Nodes
+and edges that stand in two documents or more are repeated. An edge goes on without branching where it, the node it leads to
+and the edge after that occur equally often; such edges are joined into paths, and the occurrences of a path are
+compared at their source coordinates by 128-bit hashes of all their text. What lies at the paths' ends and at branchings is
+verified window by window where its node brings it together.
 """
 
 from __future__ import annotations
@@ -20,136 +20,132 @@ from pyspark.sql.window import Window
 
 from lavra.llm.rolling import Texts, minimizers
 from lavra.operators.skew import join_counted
-from lavra.session import Scratch
+from lavra.session import Scratch, spread
 
 GRAM = 64
-#: Texts are worked on about so many characters at a time; longer ones in pieces that overlap.
-CHUNK = 500_000
-#: The windows of a minimizer with up to so many occurrences are verified in one task; those of others, which may stand in a
-#: large part of all documents, by an aggregation over window hashes.
+#: Texts are worked on about so many characters at a time, which fit a core's cache; longer ones in pieces that overlap.
+CHUNK = 50_000
+#: The distinct contexts of a node, up to so many, are verified in one task; those of others by an aggregation over window hashes.
 FEW = 2_000
 
 
-def _pieces(text: str, span: int, chunk: int) -> Iterator[tuple[int, str]]:
-    over = 2 * span
-    for at in range(0, max(1, len(text)), chunk):
-        yield at, text[at : at + chunk + over]
+def _blocks(texts, span: int, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Texts]]:
+    """Texts of ``span`` characters or more, about ``chunk`` characters at a time: index of the text, place of the
+    piece in it, the first window that the piece is for, and the pieces.
 
-
-def _chunks(texts, span: int, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray, Texts]]:
-    """Index of the text, offset of the piece, and the pieces, about ``chunk`` characters at a time."""
-    who, offs, parts, n = [], [], [], 0
+    A piece is for ``chunk`` windows; it has one window before them and those of two spans after them.
+    """
+    who, offs, first, parts, n = [], [], [], [], 0
     for i, text in enumerate(texts):
         if text is None or len(text) < span:
             continue
-        for at, piece in _pieces(text, span, chunk):
+        for at in range(0, len(text), chunk):
+            begin = max(0, at - 1)
+            piece = text[begin : at + chunk + 2 * span]
+            if len(piece) < span:
+                break
             who.append(i)
-            offs.append(at)
+            offs.append(begin)
+            first.append(at)
             parts.append(piece)
             n += len(piece)
             if n >= chunk:
-                yield np.array(who), np.array(offs), Texts(parts)
-                who, offs, parts, n = [], [], [], 0
+                yield np.array(who), np.array(offs), np.array(first), Texts(parts)
+                who, offs, first, parts, n = [], [], [], [], 0
     if parts:
-        yield np.array(who), np.array(offs), Texts(parts)
-
+        yield np.array(who), np.array(offs), np.array(first), Texts(parts)
 
-def edge_rows(span: int, chunk: int):
-    """mapInPandas: (doc, pos, h, step): each kept edge, and a hash of the text up to its successor's end, 0 for none.
 
-    Steps are compared only between equal edges, so 32 bits do.
-    """
+def node_rows(span: int, chunk: int):
+    """mapInPandas: (doc, pos, h, step, to): each kept node, and the edge to the next one: a hash of all its text and the next
+    node's hash and place; 0, 0 and -1 at the end."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids = batch["doc"].to_numpy()
-            last: dict[int, pd.DataFrame] = {}
-            for who, offs, t in _chunks(batch["text"], span, chunk):
-                pos, h, _ = minimizers(t, GRAM, span)
-                piece = np.searchsorted(t.end, pos, side="right")
-                follows = np.zeros(len(pos), dtype=bool)
-                follows[:-1] = piece[1:] == piece[:-1]
-                step = np.zeros(len(pos), dtype=np.uint64)
-                at = np.flatnonzero(follows)
+            for who, offs, first, t in _blocks(batch["text"], span, chunk):
+                node = minimizers(t, GRAM, span)
+                begins = np.flatnonzero((node >= 0) & np.r_[True, node[1:] != node[:-1]])
+                pos = node[begins]
+                piece = np.searchsorted(t.end, begins, side="right")
+                h = t.hashes(pos, GRAM)
+                step, to, after = np.zeros(len(pos), dtype=np.uint64), np.zeros(len(pos), dtype=np.uint64), np.full(len(pos), -1)
+                at = np.flatnonzero(piece[1:] == piece[:-1])
                 step[at] = t.hashes(pos[at], pos[at + 1] - pos[at] + GRAM)
-                out = pd.DataFrame({"who": who[piece], "pos": pos - t.start[piece] + offs[piece], "h": h.view(np.int64), "step": (step >> np.uint64(32)).astype(np.uint32).view(np.int32)})
-                many = np.isin(out["who"], [w for w, o in zip(who, offs, strict=True) if len(batch["text"].iloc[w]) > chunk])
-                for w, part in out[many].groupby("who"):
-                    last[w] = pd.concat([last[w], part]) if w in last else part
-                out = out[~many]
-                yield pd.DataFrame({"doc": ids[out["who"]], "pos": out["pos"].astype(np.int32), "h": out["h"], "step": out["step"]})
-            for w, out in last.items():
-                # Pieces overlap by two spans: an edge may come twice, and its last row in a piece has no step.
-                out = out.sort_values(["pos", "step"], key=lambda c: c if c.name == "pos" else c == 0).drop_duplicates("pos")
-                yield pd.DataFrame({"doc": ids[w], "pos": out["pos"].astype(np.int32), "h": out["h"], "step": out["step"]})
+                to[at] = h[at + 1]
+                shift = offs[piece] - t.start[piece]
+                after[at] = pos[at + 1] + shift[at]
+                window = begins + shift
+                own = (window >= first[piece]) & (window < first[piece] + chunk)
+                yield pd.DataFrame({
+                    "doc": ids[who[piece[own]]], "pos": (pos + shift)[own].astype(np.int32), "h": h[own].view(np.int64), "step": step[own].view(np.int64),
+                    "to": to[own].view(np.int64), "after": after[own].astype(np.int32),
+                })
 
     return run
 
 
-def _open_windows(batch: pd.DataFrame, span: int, chunk: int):
-    """The windows that have to be verified: their minimizer is repeated and no run, known to be shared, holds them.
+def _first_of_runs(at: np.ndarray, *others: np.ndarray) -> np.ndarray:
+    new = np.r_[True, at[1:] != at[:-1] + 1]
+    for x in others:
+        new |= np.r_[True, x[1:] != x[:-1]]
+    return np.flatnonzero(new)
 
-    Yields the texts' pieces with the windows' positions in them, their pieces, their minimizers' hashes and numbers.
-    """
-    pos_of, n_of, runs = batch["pos"].tolist(), batch["n"].tolist(), batch["runs"].tolist()
-    for who, offs, t in _chunks(batch["text"], span, chunk):
-        times = np.zeros(t.n, dtype=np.int64)
-        known = np.zeros(t.n + 1, dtype=np.int32)
-        for k, (w, o) in enumerate(zip(who, offs, strict=True)):
-            at = np.asarray(pos_of[w], dtype=np.int64) - o
-            ok = (at >= 0) & (at + GRAM <= t.sizes[k])
-            times[t.start[k] + at[ok]] = np.asarray(n_of[w], dtype=np.int64)[ok]
-            for a, b in np.asarray(runs[w], dtype=np.int64).reshape(-1, 2).tolist():
-                a, b = max(a - o, 0), min(b - o, int(t.sizes[k])) - span + 1
-                if a < b:
-                    known[t.start[k] + a] += 1
-                    known[t.start[k] + b] -= 1
-        _, _, least = minimizers(t, GRAM, span)
-        marked = np.flatnonzero(times)
-        at = np.flatnonzero((least != np.uint64(2**64 - 1)) & (np.cumsum(known[:-1]) == 0))
-        if not len(marked) or not len(at):
-            continue
-        hashes = t.hashes(marked, GRAM)
-        order = np.argsort(hashes, kind="stable")
-        keys, counts = hashes[order], times[marked][order]
-        found = np.minimum(np.searchsorted(keys, least[at]), len(keys) - 1)
-        hit = keys[found] == least[at]
-        at, n = at[hit], counts[found[hit]]
-        piece = np.searchsorted(t.end, at, side="right")
-        main = at - t.start[piece] < chunk
-        at, n, piece = at[main], n[main], piece[main]
-        yield who, offs, t, at, piece, least[at], n
-
-
-def context_rows(span: int, chunk: int, most: int):
-    """mapInPandas: (s, doc, start, context): stretches of windows with the same minimizer, with all their text.
-
-    Only minimizers with up to ``most`` occurrences.
+
+def stretch_rows(span: int, chunk: int):
+    """mapInPandas over (doc, text, nodes, paths): (s, doc, start, size, g1, g2, context).
+
+    Occurrences of paths (s and context NULL), and stretches of windows of one repeated node that no path holds, with all their text;
+    each with two hashes of its text.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, texts = batch["doc"].to_numpy(), batch["text"].tolist()
-            for who, offs, t, at, piece, s, n in _open_windows(batch, span, chunk):
-                few = n <= most
-                at, piece, s = at[few], piece[few], s[few]
+            nodes, paths = batch["nodes"].tolist(), batch["paths"].tolist()
+            for i, own in enumerate(paths):
+                if own is not None and len(own):
+                    ends = np.asarray(own, dtype=np.int64).reshape(-1, 2)
+                    t = Texts([texts[i][a:b] for a, b in ends.tolist()])
+                    yield _stretches(None, np.full(len(ends), ids[i]), ends[:, 0], t.sizes, t, t.start, None)
+            for who, offs, first, t in _blocks(texts, span, chunk):
+                node = minimizers(t, GRAM, span)
+                repeated = np.zeros(t.n + 1, dtype=bool)
+                known = np.zeros(t.n + 1, dtype=np.int32)
+                for k, (w, o) in enumerate(zip(who.tolist(), offs.tolist(), strict=True)):
+                    at = np.asarray(nodes[w], dtype=np.int64) - o
+                    repeated[t.start[k] + at[(at >= 0) & (at < t.sizes[k])]] = True
+                    ends = np.asarray(paths[w] if paths[w] is not None else (), dtype=np.int64).reshape(-1, 2)
+                    a, b = np.maximum(ends[:, 0] - o, 0), np.minimum(ends[:, 1] - o, t.sizes[k]) - span + 1
+                    np.add.at(known, t.start[k] + a[a < b], 1)
+                    np.add.at(known, t.start[k] + b[a < b], -1)
+                piece = np.repeat(np.arange(len(who)), t.sizes)
+                window = np.arange(t.n) + (offs - t.start)[piece]
+                own = (window >= first[piece]) & (window < first[piece] + chunk)
+                at = np.flatnonzero(own & (node >= 0) & repeated[node] & (np.cumsum(known[:-1]) == 0))
                 if not len(at):
                     continue
-                first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (s[1:] != s[:-1]) | (piece[1:] != piece[:-1])])
-                last = np.r_[first[1:], len(at)] - 1
-                w = who[piece[first]]
-                start = at[first] - t.start[piece[first]] + offs[piece[first]]
-                size = at[last] - at[first] + span
-                context = [texts[i][a : a + z] for i, a, z in zip(w.tolist(), start.tolist(), size.tolist(), strict=True)]
-                yield pd.DataFrame({"s": s[first].view(np.int64), "doc": ids[w], "start": start.astype(np.int32), "context": context})
+                begin = _first_of_runs(at, node[at], piece[at])
+                last = np.r_[begin[1:], len(at)] - 1
+                start, p = at[begin], piece[at[begin]]
+                size = at[last] - start + span
+                place = start + (offs - t.start)[p]
+                context = [texts[i][a : a + z] for i, a, z in zip(who[p].tolist(), place.tolist(), size.tolist(), strict=True)]
+                yield _stretches(t.hashes(node[start], GRAM).view(np.int64), ids[who[p]], place, size, t, start, context)
 
     return run
 
 
+def _stretches(s, doc, place, size, t: Texts, start, context) -> pd.DataFrame:
+    g1, g2 = t.hashes(start, size).view(np.int64), t.hashes(start, size, 1).view(np.int64)
+    s = np.zeros(len(doc), dtype=np.int64) if s is None else s
+    return pd.DataFrame({"s": s, "doc": doc, "start": place.astype(np.int32), "size": size.astype(np.int32), "g1": g1, "g2": g2, "context": context})
+
+
 def shared_windows(span: int):
-    """mapInPandas over rows of :func:`context_rows` sorted by s: (doc, start, end) of what two documents have.
+    """mapInPandas over contexts sorted by s, each of documents from a to b: (doc, start, end) of what another has too.
 
-    All rows of a minimizer come together; equal windows have equal minimizers.
+    All contexts of a node come together; equal windows have equal nodes. Contexts of two documents or more only bear witness.
     """
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
@@ -157,32 +153,34 @@ def shared_windows(span: int):
         count = t.sizes - span + 1
         row = np.repeat(np.arange(len(rows)), count)
         at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + t.start[row]
-        h, g, doc = t.hashes(at, span), t.hashes(at, span, 1), rows["doc"].to_numpy()[row]
-        order = np.lexsort((doc, g, h))
-        x, y, d = h[order], g[order], doc[order]
+        h, g = t.hashes(at, span), t.hashes(at, span, 1)
+        order = np.argsort(h)
+        x, y, r = h[order], g[order], row[order]
         begin = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-        end = np.r_[begin[1:], len(x)]
+        a, b = rows["a"].to_numpy(), rows["b"].to_numpy()
+        both = np.minimum.reduceat(a[r], begin) < np.maximum.reduceat(b[r], begin)
         shared = np.zeros(len(x), dtype=bool)
-        shared[order] = np.repeat(d[begin] != d[end - 1], end - begin)
+        shared[order] = np.repeat(both, np.diff(np.r_[begin, len(x)]))
+        shared &= (a == b)[row]
         at, row = at[shared], row[shared]
         if not len(at):
             return pd.DataFrame({"doc": [], "start": [], "end": []})
-        first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])])
+        first = _first_of_runs(at, row)
         last = np.r_[first[1:], len(at)] - 1
         r = row[first]
         start = at[first] - t.start[r] + rows["start"].to_numpy()[r]
-        return pd.DataFrame({"doc": rows["doc"].to_numpy()[r], "start": start, "end": start + at[last] - at[first] + span})
+        return pd.DataFrame({"doc": a[r], "start": start, "end": start + at[last] - at[first] + span})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
             s = rows["s"].to_numpy()
-            # Groups are settled a few thousand rows at a time; the last one may go on in the next batch.
+            # Nodes are settled some hundred rows at a time; the last one may go on in the next batch.
             edges = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, dtype=int)
             at = 0
             for k, e in enumerate(edges):
-                if e > at and (e - at >= 1000 or k == len(edges) - 1):
+                if e > at and (e - at >= 300 or k == len(edges) - 1):
                     yield settle(rows.iloc[at:e])
                     at = e
             held = rows.iloc[at:]
@@ -192,21 +190,6 @@ def shared_windows(span: int):
     return run
 
 
-def window_rows(span: int, chunk: int, most: int):
-    """mapInPandas: (h, g, doc, pos): hashes of the windows whose minimizer has more than ``most`` occurrences."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids = batch["doc"].to_numpy()
-            for who, offs, t, at, piece, _, n in _open_windows(batch, span, chunk):
-                at, piece = at[n > most], piece[n > most]
-                h, g = t.hashes(at, span), t.hashes(at, span, 1)
-                pos = at - t.start[piece] + offs[piece]
-                yield pd.DataFrame({"h": h.view(np.int64), "g": g.view(np.int64), "doc": ids[who[piece]], "pos": pos.astype(np.int32)})
-
-    return run
-
-
 def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = 200, chunk: int = CHUNK) -> DataFrame:
     """(key, span_start, span_end): the longest stretches of characters that lie in passages of at least ``span``
     characters standing verbatim in another document too.
@@ -217,47 +200,77 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span:
     """
     scratch = Scratch(docs.sparkSession, "spans")
     own = docs.where(F.length(text) >= span).select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    edges = own.mapInPandas(edge_rows(span, chunk), "doc BIGINT, pos INT, h BIGINT, step INT")
-    repeated = edges.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
+    kind = "doc BIGINT, pos INT, h BIGINT, step BIGINT, to BIGINT, after INT"
+    nodes = scratch.write(spread(own).mapInPandas(node_rows(span, chunk), kind), "nodes")
+    repeated = nodes.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
     repeated = scratch.write(repeated.select("h", "n"), "repeated")
-    marked = scratch.write(join_counted(edges, repeated, ["h"], "n", ["doc", "pos"]), "marked")
-
-    # Nonbranching steps: the edge, the step and the next edge occur equally often.
-    steps = scratch.write(marked.where("step <> 0").groupBy("h", "step").agg(F.count("*").alias("m")), "steps")
-    noted = join_counted(marked, steps.where("m > 1"), ["h", "step"], "m", ["doc", "pos"], "left")
-    noted = noted.withColumn("joined", F.col("m") == F.col("n"))
+    marked = scratch.write(join_counted(nodes, repeated, ["h"], "n", ["doc", "pos"]), "marked")
+    scratch.drop("nodes")
+    paths = _paths(marked, repeated, span, scratch)
+    found = marked.groupBy("doc").agg(F.collect_list("pos").alias("nodes"))
+    # As long as one document at most.
+    found = found.join(paths.groupBy("doc").agg(F.flatten(F.collect_list(F.array("start", "end"))).alias("paths")), "doc", "left")
+    kind = "s BIGINT, doc BIGINT, start INT, size INT, g1 BIGINT, g2 BIGINT, context STRING"
+    read = own.join(scratch.write(found, "found"), "doc")
+    stretches = scratch.write(read.mapInPandas(stretch_rows(span, chunk), kind), "stretches")
+    return _merged(_verified(stretches, span, scratch), key)
+
+
+def _paths(marked: DataFrame, repeated: DataFrame, span: int, scratch: Scratch) -> DataFrame:
+    """(doc, start, end): every occurrence of the nonbranching paths of ``span`` characters or more.
+
+    An edge is joined with the node it leads to; where both and the edge after occur equally often, all occurrences go on
+    together, so they do in the edge's first occurrence too, in whose document the paths are put together.
+    """
+    rep = F.min(F.struct("doc", "pos", "after"))
+    edges = marked.where("after >= 0").groupBy("step", "h", "to", "n").agg(F.count("*").alias("m"), F.max("doc").alias("b"), rep.alias("rep"))
+    edges = scratch.write(edges.where("rep.doc < b").select("step", "to", "n", "m", "rep.*"), "edges")
+    leads = edges.groupBy("to").agg(F.count("*").alias("k"))
+    ends = scratch.write(leads.join(repeated.select(F.col("h").alias("to"), F.col("n").alias("n_to")), "to"), "ends")
+    linked = join_counted(edges, ends, ["to"], "k", ["step"]).withColumn("goes", F.col("m") == F.col("n_to"))
     in_doc = Window.partitionBy("doc").orderBy("pos")
-    before = F.lag(F.struct("joined", "n")).over(in_doc)
-    noted = noted.withColumn("new", ~F.coalesce(before["joined"] & (before["n"] == F.col("n")), F.lit(False)))
-    noted = noted.withColumn("run", F.sum(F.col("new").cast("int")).over(in_doc))
-    runs = noted.groupBy("doc", "run").agg(
-        F.min("pos").alias("start"), (F.max("pos") + GRAM).alias("end"), F.sort_array(F.collect_list(F.struct("pos", "n"))).alias("edges")
-    )
-    # A run has one row for each edge of one document, so it is no longer than the document.
-    whole = F.col("end") - F.col("start") >= span
-    per_doc = runs.groupBy("doc").agg(
-        F.flatten(F.collect_list("edges")).alias("edges"),
-        F.flatten(F.collect_list(F.when(whole, F.array("start", "end")))).alias("runs"),
+    before = F.lag(F.struct("goes", "after", "m")).over(in_doc)
+    on = F.coalesce(before["goes"] & (before["after"] == F.col("pos")) & (before["m"] == F.col("m")) & (F.col("m") == F.col("n")), F.lit(False))
+    numbered = linked.withColumn("new", (~on).cast("int")).withColumn("path", F.sum("new").over(in_doc))
+    whole = numbered.groupBy("doc", "path").agg(
+        F.min(F.struct("pos", "step", "m")).alias("first"), (F.max("after") + GRAM).alias("end")
+    ).where(F.col("end") - F.col("first.pos") >= span)
+    whole = scratch.write(whole.select("first.step", "first.m", (F.col("end") - F.col("first.pos")).alias("length")), "paths")
+    begun = join_counted(marked.where("after >= 0").select("doc", "pos", "step"), whole, ["step"], "m", ["doc", "pos"])
+    return begun.select("doc", F.col("pos").alias("start"), (F.col("pos") + F.col("length")).alias("end"))
+
+
+def _verified(stretches: DataFrame, span: int, scratch: Scratch) -> DataFrame:
+    """(doc, start, end) of what two documents have."""
+    on = ["s", "g1", "g2"]
+    texts = stretches.groupBy(*on).agg(
+        F.count("*").alias("k"), F.min("doc").alias("a"), F.max("doc").alias("b"), F.min(F.struct("doc", "start")).alias("rep")
     )
-    per_doc = scratch.write(per_doc.select("doc", F.col("edges.pos").alias("pos"), F.col("edges.n").alias("n"), "runs"), "per_doc")
-    read = own.join(per_doc, "doc")
-    contexts = read.mapInPandas(context_rows(span, chunk, FEW), "s BIGINT, doc BIGINT, start INT, context STRING")
-    contexts = contexts.repartition("s").sortWithinPartitions("s")
-    found = contexts.mapInPandas(shared_windows(span), "doc BIGINT, start INT, end INT")
-    if repeated.where(F.col("n") > FEW).limit(1).count():
-        read = own.join(per_doc.where(F.array_max("n") > FEW), "doc")
-        windows = scratch.write(read.mapInPandas(window_rows(span, chunk, FEW), "h BIGINT, g BIGINT, doc BIGINT, pos INT"), "windows")
-        counts = windows.groupBy("h", "g").agg(F.count("*").alias("k"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
-        counts = scratch.write(counts.select("h", "g", "k"), "hot")
-        warm = join_counted(windows, counts, ["h", "g"], "k", ["doc", "pos"])
-        found = found.union(warm.select("doc", "pos", F.col("pos") + span))
-    found = found.union(_run_spans(per_doc))
-    return _merged(found, key)
-
-
-def _run_spans(per_doc: DataFrame) -> DataFrame:
-    pairs = per_doc.where(F.size("runs") > 0).select("doc", "runs", F.explode(F.sequence(F.lit(1), F.size("runs"), F.lit(2))).alias("k"))
-    return pairs.select("doc", F.element_at("runs", F.col("k")).alias("start"), F.element_at("runs", F.col("k") + 1).alias("end"))
+    texts = scratch.write(texts.select(*on, "k", "a", "b", F.col("rep.start").alias("at")), "texts")
+    # Stretches that stand in two documents as they are.
+    whole = join_counted(stretches.drop("context"), texts.where("a < b"), on, "k", ["doc", "start"])
+    found = whole.select("doc", "start", (F.col("start") + F.col("size")).alias("end"))
+    # The others, window by window; of equal ones in two documents, one bears witness for all.
+    sizes = scratch.write(texts.where("s <> 0").groupBy("s").agg(F.sum(F.when(F.col("a") < F.col("b"), 1).otherwise(F.col("k"))).alias("rows")), "sizes")
+    single = sizes.where("rows = 1").select("s")
+    open_ = texts.where("s <> 0").join(single, "s", "left_anti")
+    contexts = join_counted(stretches.where("s <> 0"), scratch.write(open_, "open"), on, "k", ["doc", "start"])
+    contexts = contexts.where("a = b OR (doc = a AND start = at)").select("s", "a", "b", "start", "context")
+    hot = sizes.where(F.col("rows") > FEW).select("s")
+    kind = "doc BIGINT, start INT, end INT"
+    if not hot.limit(1).count():
+        return found.union(contexts.repartition("s").sortWithinPartitions("s").mapInPandas(shared_windows(span), kind))
+    contexts = scratch.write(contexts, "contexts")
+    # There are at most one in FEW as many such nodes as contexts, and more rows than that of each.
+    rest = contexts.join(hot, "s", "left_anti")
+    found = found.union(rest.repartition("s").sortWithinPartitions("s").mapInPandas(shared_windows(span), kind))
+    windows = contexts.join(hot, "s", "left_semi").select("a", "b", "start", "context", F.explode(F.sequence(F.lit(1), F.length("context") - span + 1)).alias("i"))
+    part = F.substring(F.col("context"), F.col("i"), F.lit(span))
+    windows = windows.select("a", "b", (F.col("start") + F.col("i") - 1).alias("pos"), F.xxhash64(part).alias("h"), F.xxhash64(F.lit(1), part).alias("g"))
+    windows = scratch.write(windows, "windows")
+    counts = windows.groupBy("h", "g").agg(F.count("*").alias("k"), F.min("a").alias("lo"), F.max("b").alias("hi")).where("lo < hi")
+    warm = join_counted(windows.where("a = b"), scratch.write(counts.select("h", "g", "k"), "hot"), ["h", "g"], "k", ["a", "pos"])
+    return found.union(warm.select(F.col("a").alias("doc"), F.col("pos").alias("start"), (F.col("pos") + span).alias("end")))
 
 
 def _merged(found: DataFrame, key: str) -> DataFrame:
