@@ -103,22 +103,20 @@ def stretch_rows(span: int, chunk: int):
         for batch in batches:
             ids, texts = batch["doc"].to_numpy(), batch["text"].tolist()
             nodes, paths = batch["nodes"].tolist(), batch["paths"].tolist()
-            for i, own in enumerate(paths):
-                if own is not None and len(own):
-                    ends = np.asarray(own, dtype=np.int64).reshape(-1, 2)
-                    t = Texts([texts[i][a:b] for a, b in ends.tolist()])
-                    yield _stretches(None, np.full(len(ends), ids[i]), ends[:, 0], t.sizes, t, t.start, None)
+            yield from _path_rows(ids, texts, paths, chunk)
             for who, offs, first, t in _blocks(texts, span, chunk):
                 node = minimizers(t, GRAM, span)
                 repeated = np.zeros(t.n + 1, dtype=bool)
                 known = np.zeros(t.n + 1, dtype=np.int32)
-                for k, (w, o) in enumerate(zip(who.tolist(), offs.tolist(), strict=True)):
-                    at = np.asarray(nodes[w], dtype=np.int64) - o
-                    repeated[t.start[k] + at[(at >= 0) & (at < t.sizes[k])]] = True
-                    ends = np.asarray(paths[w] if paths[w] is not None else (), dtype=np.int64).reshape(-1, 2)
-                    a, b = np.maximum(ends[:, 0] - o, 0), np.minimum(ends[:, 1] - o, t.sizes[k]) - span + 1
-                    np.add.at(known, t.start[k] + a[a < b], 1)
-                    np.add.at(known, t.start[k] + b[a < b], -1)
+                at, k = _flat(nodes, who)
+                at -= offs[k]
+                ok = (at >= 0) & (at < t.sizes[k])
+                repeated[(t.start[k] + at)[ok]] = True
+                ends, k = _flat(paths, who)
+                a, b, k = ends[::2] - offs[k[::2]], ends[1::2] - offs[k[1::2]], k[::2]
+                a, b = np.maximum(a, 0), np.minimum(b, t.sizes[k]) - span + 1
+                np.add.at(known, (t.start[k] + a)[a < b], 1)
+                np.add.at(known, (t.start[k] + b)[a < b], -1)
                 piece = np.repeat(np.arange(len(who)), t.sizes)
                 window = np.arange(t.n) + (offs - t.start)[piece]
                 own = (window >= first[piece]) & (window < first[piece] + chunk)
@@ -136,6 +134,32 @@ def stretch_rows(span: int, chunk: int):
     return run
 
 
+def _flat(lists: list, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the lists of ``who``, end to end, and whose they are, by its place in ``who``."""
+    own = [lists[w] if lists[w] is not None else () for w in who.tolist()]
+    k = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    return (np.concatenate(own) if len(k) else np.zeros(0)).astype(np.int64), k
+
+
+def _path_rows(ids: np.ndarray, texts: list[str], paths: list, chunk: int) -> Iterator[pd.DataFrame]:
+    """The occurrences of paths with the hashes of their texts, about ``chunk`` characters at a time."""
+    who, begins, parts, n = [], [], [], 0
+    for i, own in enumerate(paths):
+        ends = own.tolist() if own is not None else ()
+        for a, b in zip(ends[::2], ends[1::2], strict=True):
+            who.append(i)
+            begins.append(a)
+            parts.append(texts[i][a:b])
+            n += b - a
+            if n >= chunk:
+                t = Texts(parts)
+                yield _stretches(None, ids[who], np.array(begins), t.sizes, t, t.start, None)
+                who, begins, parts, n = [], [], [], 0
+    if parts:
+        t = Texts(parts)
+        yield _stretches(None, ids[who], np.array(begins), t.sizes, t, t.start, None)
+
+
 def _stretches(s, doc, place, size, t: Texts, start, context) -> pd.DataFrame:
     g1, g2 = t.hashes(start, size).view(np.int64), t.hashes(start, size, 1).view(np.int64)
     s = np.zeros(len(doc), dtype=np.int64) if s is None else s
