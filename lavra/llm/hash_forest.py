@@ -1,29 +1,39 @@
 """Problem 5: new batches against all history, with a prefix-tree hash forest.
 
-The forest keeps the accepted signatures in several permutations, each a table sorted by the permuted
-signature, so that the entries below one node of its prefix tree are one range. A search starts at full depth
-(equality, which settles exact copies) and then widens to the depth at which the permutations find every
-signature within the distance (pigeonhole: the recall target is 1), and verifies what it finds. New signatures
-are appended as runs; small runs are merged.
+The forest keeps the accepted signatures in several permutations, as runs sorted by (permutation, permuted signature), so that
+what lies below a node of a prefix tree is one range of a run. A run's files have fence keys, and their row groups
+statistics: a search opens only the row groups that its ranges touch. It starts at full depth (equal signatures) and widens
+the prefix of what is still undecided, up to the depth at which the recall target is met; for recall 1 that is the depth of
+the pigeonhole principle. What it finds is verified. Accepted entries are appended as a run; four runs of like size are
+merged into one. Paths are one more permutation, searched at full depth only.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
+import math
 from collections.abc import Iterator
+from dataclasses import asdict, dataclass, field
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lavra.operators.skew import join_counted
 from lavra.session import Scratch
 
-#: Up to so many entries are settled one after the other in one task; more, in rounds over those in conflict.
-TAIL = 100_000
-#: So many runs are kept before they are merged.
-RUNS = 4
-_ENTRY = "id BIGINT, sig BIGINT, has BOOLEAN, path STRING"
+#: So many runs of like size (powers of this number) are merged into one.
+TIER = 4
+#: About so many rows are in a file of a run, and so many bytes in one of its row groups.
+FILE_ROWS, GROUP_BYTES = 2_000_000, 1 << 17
+#: About so many rows of queries are searched for in one task.
+QUERY_ROWS = 50_000
+#: Candidates are verified so many at a time.
+STEP = 1 << 20
+_RUN = "perm INT, key BIGINT, more BIGINT"
+_TOP = -(2**63)
 
 
 def read_signature(hexadecimal: Column) -> Column:
@@ -40,90 +50,294 @@ def read_path(path: Column) -> Column:
     return F.nullif(F.regexp_replace(even, r"^\./", ""), F.lit(""))
 
 
+def depths(widths: list[list[int]], distance: int, recall: float, seed: int = 1) -> list[int]:
+    """For each permutation (the widths of its blocks, and how many of them come first to be whole) the prefix's depth.
+
+    At recall 1 the blocks of the pigeonhole principle; below, the longest prefixes that still meet the target for
+    signatures with ``distance`` random bits flipped (20,000 trials).
+    """
+    whole = [sum(w[: len(w) - distance]) for w in widths]
+    if recall >= 1:
+        return whole
+    places = np.random.default_rng(seed).integers(0, 64, (20_000, distance))
+    orders = [np.argsort(np.concatenate([np.arange(a, a + n) for a, n in o])) for o in _orders(len(widths[0]), distance)]
+    for more in range(64, -1, -1):
+        d = [min(64, w + more) for w in whole]
+        hit = np.zeros(len(places), dtype=bool)
+        for place, depth in zip(orders, d, strict=True):
+            hit |= (place[places] >= depth).all(axis=1)
+        if hit.mean() >= recall:
+            return d
+    return whole
+
+
+def _orders(blocks: int, distance: int) -> list[list[tuple[int, int]]]:
+    """For each permutation its blocks as (offset from the top, width)."""
+    cuts = [round(64 * k / blocks) for k in range(blocks + 1)]
+    out = []
+    for first in itertools.combinations(range(blocks), blocks - distance):
+        order = [*first, *[k for k in range(blocks) if k not in first]]
+        out.append([(cuts[k], cuts[k + 1] - cuts[k]) for k in order])
+    return out
+
+
+@dataclass
+class Run:
+    """``files``: (path, lowest perm, lowest key, highest perm, highest key)."""
+
+    path: str
+    rows: int
+    files: list[tuple[str, int, int, int, int]] = field(default_factory=list)
+
+    def tier(self) -> int:
+        return int(math.log(max(self.rows, 1), TIER))
+
+
+def _opened(uri: str):
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    where, path = fs.FileSystem.from_uri(uri)
+    return pq.ParquetFile(where.open_input_file(path))
+
+
+@lru_cache(maxsize=256)
+def _fences(uri: str) -> list[tuple[int, int, int, int]]:
+    """(lowest perm, lowest key, highest perm, highest key) of a file's row groups. Where a group has more than one permutation,
+    its keys count as all keys."""
+    meta, out = _opened(uri).metadata, []
+    for g in range(meta.num_row_groups):
+        perm, key = (meta.row_group(g).column(k).statistics for k in (0, 1))
+        one = perm.min == perm.max
+        out.append((perm.min, key.min if one else _TOP, perm.max, key.max if one else -_TOP - 1))
+    return out
+
+
+def _ranges(keys: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    low = (1 << (64 - depth)) - 1
+    return keys & np.int64(~low), keys | np.int64(low) if depth else np.full(len(keys), -_TOP - 1)
+
+
+def _below(files: list[str], perm: int, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted keys of a permutation (and what goes with them) in the row groups that a range [lo, hi] touches."""
+    keys, more = [], []
+    for uri in files:
+        wanted = []
+        for g, (p, a, q, b) in enumerate(_fences(uri)):
+            if p <= perm <= q and np.any((hi >= a) & (lo <= b)):
+                wanted.append(g)
+        if wanted:
+            t = _opened(uri).read_row_groups(wanted)
+            own = t["perm"].to_numpy() == perm
+            keys.append(t["key"].to_numpy()[own])
+            more.append(t["more"].to_numpy()[own])
+    none = np.zeros(0, dtype=np.int64)
+    return (np.concatenate(keys), np.concatenate(more)) if keys else (none, none)
+
+
+def _candidates(at: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, place) of ranges that begin at ``at``, about :data:`STEP` at a time."""
+    ends = np.cumsum(count)
+    begin = 0
+    while begin < len(count):
+        base = ends[begin - 1] if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(ends, base + STEP, side="right")))
+        n = count[begin:stop]
+        q = np.repeat(np.arange(begin, stop), n)
+        yield q, np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) + at[q]
+        begin = stop
+
+
+def permuted(sigs: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
+    """The blocks (offset from the top, width) of signatures in another order, with the top bit flipped."""
+    x, out, at = sigs.view(np.uint64), np.zeros(len(sigs), dtype=np.uint64), 64
+    for offset, width in order:
+        at -= width
+        bits = (x >> np.uint64(64 - offset - width)) & np.uint64((1 << width) - 1)
+        out |= bits << np.uint64(at)
+    return (out ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def restored(keys: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
+    """The signatures of which ``keys`` are the permutations."""
+    x, out, at = keys.view(np.uint64) ^ np.uint64(1 << 63), np.zeros(len(keys), dtype=np.uint64), 64
+    for offset, width in order:
+        at -= width
+        out |= ((x >> np.uint64(at)) & np.uint64((1 << width) - 1)) << np.uint64(64 - offset - width)
+    return out.view(np.int64)
+
+
+def permuted_rows(orders: list[list[tuple[int, int]]]):
+    """mapInPandas over (id, sig, has, h, g, named): (perm, key, more, id) of what each has."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own, at = batch[batch["has"]], batch[batch["named"]]
+            sigs, ids, zero = own["sig"].to_numpy(), own["id"].to_numpy(), np.zeros(len(own), dtype=np.int64)
+            for k, o in enumerate(orders):
+                yield pd.DataFrame({"perm": np.full(len(own), k, dtype=np.int32), "key": permuted(sigs, o), "more": zero, "id": ids})
+            yield pd.DataFrame({"perm": np.full(len(at), -1, dtype=np.int32), "key": at["h"], "more": at["g"], "id": at["id"]})
+
+    return run
+
+
+def searched(runs: list[Run], final: list[int], distance: int, pairs: bool):
+    """mapInPandas over queries (perm, key, more, id) sorted by perm and key: (id, other).
+
+    Without ``pairs`` each found id comes once a permutation, and what an earlier depth found isn't widened; with them, every other
+    signature within the distance comes, as its key in the same permutation. ``final``: the depth of each permutation.
+    """
+
+    def one(perm: int, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        rows = rows.sort_values("key")
+        key, more, ids = (rows[c].to_numpy() for c in ("key", "more", "id"))
+        steps = [64] if perm < 0 else [final[perm]] if pairs else [d for d in (64, 48, 36) if d > final[perm]] + [final[perm]]
+        lo, hi = _ranges(key, steps[-1])
+        open_ = np.ones(len(key), dtype=bool)
+        for run in runs:
+            first, last = (perm, int(lo.min())), (perm, int(hi.max()))
+            files = [f for f, p, a, q, b in run.files if (p, a) <= last and (q, b) >= first]
+            held, extra = _below(files, perm, lo, hi)
+            for depth in steps if len(held) else ():
+                own = np.flatnonzero(open_)
+                a, b = _ranges(key[own], depth)
+                begin = np.searchsorted(held, a)
+                for q, place in _candidates(begin, np.searchsorted(held, b, side="right") - begin):
+                    mine = own[q]
+                    if perm < 0:
+                        near = more[mine] == extra[place]
+                    else:
+                        near = np.bitwise_count((key[mine] ^ held[place]).view(np.uint64)) <= distance
+                    if pairs:
+                        near &= key[mine] != held[place]
+                        yield pd.DataFrame({"id": ids[mine[near]], "other": held[place[near]]})
+                    else:
+                        open_[mine[near]] = False
+        if not pairs:
+            yield pd.DataFrame({"id": ids[~open_], "other": np.zeros(int((~open_).sum()), dtype=np.int64)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for perm, rows in batch.groupby("perm"):
+                yield from one(int(perm), rows)
+
+    return run
+
+
 class HashForest:
-    """Accepted signatures and paths in a folder, as runs.
+    """Accepted signatures and paths in a folder that all executors see, as runs; a later session goes on with the same folder.
 
-    ``distance``: bits that may differ. ``blocks``: the signature is cut into so many blocks, and each
-    permutation brings another choice of ``blocks - distance`` of them to the front; more blocks mean longer
-    prefixes, so fewer false candidates, and more permutations.
+    ``distance``: bits that may differ. ``blocks``: the signature is cut into so many blocks, and each permutation brings
+    another choice of ``blocks - distance`` of them to the front; more blocks mean longer prefixes, so fewer false
+    candidates, and more permutations. Tasks open the runs' files through pyarrow's file systems.
     """
 
-    def __init__(self, spark: SparkSession, scratch: Scratch, distance: int = 3, blocks: int = 5):
-        self.spark, self.scratch, self.distance = spark, scratch, distance
-        cuts = [round(64 * k / blocks) for k in range(blocks + 1)]
-        self.orders, self.depths = [], []
-        for first in itertools.combinations(range(blocks), blocks - distance):
-            order = [*first, *[k for k in range(blocks) if k not in first]]
-            self.orders.append([(cuts[k], cuts[k + 1] - cuts[k]) for k in order])
-            self.depths.append(sum(cuts[k + 1] - cuts[k] for k in first))
-        self.runs: list[DataFrame] = []
-        self.paths: list[DataFrame] = []
+    def __init__(self, spark: SparkSession, folder: str, distance: int = 3, blocks: int = 5, recall: float = 1.0):
+        self.spark, self.folder, self.distance = spark, folder.rstrip("/"), distance
+        self.orders = _orders(blocks, distance)
+        self.depths = depths([[w for _, w in o] for o in self.orders], distance, recall)
+        self.scratch = Scratch(spark, "batch")
+        self.runs: list[Run] = []
         self.written = 0
-
-    def _permuted(self, sig: Column, order: list[tuple[int, int]]) -> Column:
-        """The blocks of ``sig`` (offset from the top, width) in another order."""
-        out, at = F.lit(0).cast("bigint"), 64
-        for offset, width in order:
-            at -= width
-            bits = F.shiftrightunsigned(sig, 64 - offset - width).bitwiseAND(F.lit((1 << width) - 1))
-            out = out.bitwiseOR(F.shiftleft(bits, at))
-        return out
-
-    def permutations(self, sigs: DataFrame) -> DataFrame:
-        """(perm, permuted, prefix) of each ``sig``; a prefix of the depth at which recall is 1."""
-        each = [
-            F.struct(F.lit(k).alias("perm"), p.alias("permuted"), F.shiftrightunsigned(p, 64 - depth).alias("prefix"))
-            for k, (order, depth) in enumerate(zip(self.orders, self.depths, strict=True))
-            for p in [self._permuted(F.col("sig"), order)]
-        ]
-        return sigs.select("*", F.inline(F.array(*each)))
-
-    def search(self, sigs: DataFrame) -> DataFrame:
-        """Those of ``sigs`` (sig, distinct) that have an accepted signature within the distance."""
-        runs = self._all(self.runs)
-        # Full depth first: an equal signature is equal in the first permutation.
-        own = sigs.select("sig", self._permuted(F.col("sig"), self.orders[0]).alias("permuted"))
-        same = runs.where("perm = 0").select("permuted")
-        equal = own.join(same, "permuted", "left_semi").select("sig")
-        # Then the depth at which the permutations miss nothing.
-        rest = self.permutations(own.join(same, "permuted", "left_anti").select("sig"))
-        near = rest.alias("q").join(runs.alias("h"), ["perm", "prefix"]).where(
-            F.bit_count(F.col("q.permuted").bitwiseXOR(F.col("h.permuted"))) <= self.distance
-        )
-        return near.select("sig").union(equal).distinct()
-
-    def pairs(self, sigs: DataFrame) -> DataFrame:
-        """(sig, other) for signatures of ``sigs`` (distinct) within the distance of each other, both ways."""
-        rows = self.scratch.write(self.permutations(sigs), self._name("self"))
-        two = rows.alias("a").join(rows.alias("b"), ["perm", "prefix"]).where(
-            (F.col("a.sig") < F.col("b.sig")) & (F.bit_count(F.col("a.permuted").bitwiseXOR(F.col("b.permuted"))) <= self.distance)
-        )
-        two = two.select(F.col("a.sig").alias("sig"), F.col("b.sig").alias("other")).distinct()
-        two = self.scratch.write(two, self._name("pairs"))
-        return two.union(two.select("other", "sig"))
-
-    def add(self, accepted: DataFrame) -> None:
-        """Appends (sig, path) of accepted entries as a run, sorted; merges when there are many runs."""
-        sigs = self.permutations(accepted.where("sig IS NOT NULL").select("sig").distinct())
-        self.runs.append(self._sorted(sigs.select("perm", "permuted", "prefix")))
-        self.paths.append(self.scratch.write(accepted.where("path IS NOT NULL").select("path").distinct(), self._name("paths")))
-        if len(self.runs) > RUNS:
-            self.runs = [self._sorted(self._all(self.runs))]
-            self.paths = [self.scratch.write(self._all(self.paths), self._name("paths"))]
-
-    def _sorted(self, rows: DataFrame) -> DataFrame:
-        return self.scratch.write(rows.repartitionByRange("perm", "permuted").sortWithinPartitions("perm", "permuted"), self._name("run"))
-
-    def _all(self, parts: list[DataFrame]) -> DataFrame:
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.union(p)
-        return out
+        if (text := self._text("forest.json")) is not None:
+            kept = json.loads(text)
+            if (kept["distance"], kept["blocks"]) != (distance, blocks):
+                raise ValueError("the folder holds a forest of another distance or number of blocks")
+            self.written = kept["written"]
+            self.runs = [Run(r["path"], r["rows"], [tuple(f) for f in r["files"]]) for r in kept["runs"]]
+        self.blocks = blocks
+
+    # -- files -------------------------------------------------------------------------------------------
+
+    def _fs(self, name: str = ""):
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _text(self, name: str) -> str | None:
+        fs, path = self._fs(name)
+        if not fs.exists(path):
+            return None
+        return "\n".join(r.value for r in self.spark.read.text(str(path.toString())).collect())
+
+    def _keep(self) -> None:
+        """The list of runs, written beside and then moved to its place."""
+        text = json.dumps({"distance": self.distance, "blocks": self.blocks, "written": self.written, "runs": [asdict(r) for r in self.runs]})
+        fs, new = self._fs("forest.new")
+        out = fs.create(new, True)
+        out.write(bytearray(text, "utf-8"))
+        out.close()
+        _, old = self._fs("forest.json")
+        fs.delete(old, False)
+        fs.rename(new, old)
 
     def _name(self, what: str) -> str:
         self.written += 1
         return f"{what}{self.written}"
 
+    def _write_run(self, rows: DataFrame, number: int, to: str) -> Run:
+        """(perm, key, more) sorted; ``number``: about how many rows."""
+        parts = max(1, -(-number // FILE_ROWS))
+        rows.repartitionByRange(parts, "perm", "key").sortWithinPartitions("perm", "key").write.option("parquet.block.size", GROUP_BYTES).option(
+            "parquet.page.row.count.limit", 4000).parquet(to)
+        fs, path = self._fs()
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(to)
+        run = Run(to, number)
+        for s in fs.listStatus(path):
+            uri = s.getPath().toString()
+            if uri.endswith(".parquet"):
+                fences = _fences(_uri(uri))
+                if fences:
+                    run.files.append((_uri(uri), fences[0][0], fences[0][1], fences[-1][2], fences[-1][3]))
+        return run
+
+    # -- signatures --------------------------------------------------------------------------------------
+
+    def _rows(self, entries: DataFrame, named: bool) -> DataFrame:
+        """(perm, key, more, id) of each signature and path of (id, sig, path), without id unless ``named``; keys' signed order
+        is the unsigned order of what they stand for."""
+        # A nullable BIGINT would reach pandas as a float and lose bits.
+        path = F.col("path")
+        own = entries.select(
+            F.coalesce(F.col("id") if named else F.lit(0), F.lit(0)).cast("bigint").alias("id"), F.coalesce("sig", F.lit(0)).alias("sig"), F.col("sig").isNotNull().alias("has"),
+            F.xxhash64("path").alias("h"), F.xxhash64(F.lit(7), path).alias("g"), path.isNotNull().alias("named"),
+        )
+        return own.mapInPandas(permuted_rows(self.orders), _RUN + ", id BIGINT")
+
+    def _search(self, entries: DataFrame, number: int, runs: list[Run], pairs: bool) -> DataFrame:
+        queries = self._rows(entries, True)
+        parts = max(1, -(-number * (len(self.orders) + 1) // QUERY_ROWS))
+        # Equal keys may come from a large part of all entries; by id they go to several tasks.
+        queries = queries.repartitionByRange(parts, "perm", "key", "id")
+        return queries.mapInPandas(searched(runs, self.depths, self.distance, pairs), "id BIGINT, other BIGINT")
+
+    def found(self, entries: DataFrame) -> DataFrame:
+        """(id) of those of ``entries`` (id, sig, path) whose path equals an accepted one or whose signature lies near one."""
+        return self._search(entries, entries.count(), self.runs, False).select("id").distinct()
+
+    def append(self, accepted: DataFrame) -> None:
+        """Adds accepted entries (sig, path) as a run; runs of like size are merged."""
+        rows = self._rows(accepted, False).drop("id")
+        number = accepted.count() * (len(self.orders) + 1)
+        if not number:
+            return
+        self.runs.append(self._write_run(rows, number, f"{self.folder}/{self._name('run')}"))
+        gone = []
+        while True:
+            by: dict[int, list[Run]] = {}
+            for r in self.runs:
+                by.setdefault(r.tier(), []).append(r)
+            like = next((x for _, x in sorted(by.items()) if len(x) >= TIER), None)
+            if like is None:
+                break
+            merged = self.spark.read.schema(_RUN).parquet(*[r.path for r in like])
+            self.runs = [r for r in self.runs if r not in like] + [self._write_run(merged, sum(r.rows for r in like), f"{self.folder}/{self._name('run')}")]
+            gone += like
+        self._keep()
+        for r in gone:
+            fs, _ = self._fs()
+            fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(r.path), True)
+
     # -- one batch ---------------------------------------------------------------------------------------
 
     def accept(self, batch: DataFrame) -> DataFrame:
@@ -131,93 +345,67 @@ class HashForest:
 
         NULL signatures and paths match nothing. History is only searched, never decided again.
         """
-        rest = batch
+        # Of entries equal in both, only the first can be accepted; those without either stand alone.
+        alone = F.when(F.col("sig").isNull() & F.col("path").isNull(), F.col("id"))
+        rest = batch.groupBy("sig", "path", alone.alias("alone")).agg(F.min("id").alias("id")).drop("alone")
         if self.runs:
-            rest = rest.join(self._all(self.paths), "path", "left_anti")
-            known = self.search(rest.where("sig IS NOT NULL").select("sig").distinct())
-            rest = rest.join(known, "sig", "left_anti")
-        # Of entries equal in both, only the first can be accepted.
-        first = rest.where("sig IS NOT NULL AND path IS NOT NULL").groupBy("sig", "path").agg(F.min("id").alias("id"))
-        rest = first.select("id", "sig", "path").union(rest.where("sig IS NULL OR path IS NULL").select("id", "sig", "path"))
-        rest = self.scratch.write(rest, self._name("rest"))
-        taken = self._settled(rest) if rest.count() <= TAIL else self._within(rest)
-        taken = self.scratch.write(taken, self._name("taken"))
-        self.add(taken)
+            rest = self.scratch.write(rest, self._name("new"))
+            rest = rest.join(self.found(rest), "id", "left_anti")
+        rest = self.scratch.write(rest.select("id", "sig", "path"), self._name("rest"))
+        taken = self._within(rest)
+        self.append(taken)
         return taken.select("id")
 
-    def _settled(self, open_: DataFrame) -> DataFrame:
-        """The greedy choice among a bounded number of entries, in one task."""
-        # A nullable BIGINT would reach pandas as a float and lose bits.
-        whole = open_.select("id", F.coalesce("sig", F.lit(0)).alias("sig"), F.col("sig").isNotNull().alias("has"), "path")
-        tail = whole.coalesce(1).sortWithinPartitions("id").mapInPandas(greedy_tail(self.distance), _ENTRY)
-        return tail.select("id", F.when(F.col("has"), F.col("sig")).alias("sig"), "path")
-
     def _within(self, rest: DataFrame) -> DataFrame:
-        """The greedy choice by id among entries that history lets through."""
-        by_sig = self.scratch.write(rest.where("sig IS NOT NULL").groupBy("sig").agg(F.count("*").alias("n")), self._name("bysig"))
-        pairs = self.scratch.write(self.pairs(by_sig.select("sig")), self._name("both"))
-        bad_sig = by_sig.join(pairs.select("sig").distinct().withColumn("near", F.lit(True)), "sig", "left").where("n > 1 OR near")
-        bad_path = self.scratch.write(rest.where("path IS NOT NULL").groupBy("path").agg(F.count("*").alias("m")).where("m > 1"), self._name("bypath"))
-        bad_sig = self.scratch.write(bad_sig.select("sig", "n"), self._name("bad"))
-        noted = join_counted(rest, bad_sig, ["sig"], "n", ["id"], "left")
-        noted = self.scratch.write(join_counted(noted, bad_path, ["path"], "m", ["id"], "left"), self._name("noted"))
-        taken = noted.where("n IS NULL AND m IS NULL").select("id", "sig", "path")
-        open_ = noted.where("n IS NOT NULL OR m IS NOT NULL").select("id", "sig", "path")
-        while (left := open_.count()) > TAIL:
-            chosen = self._round(open_, pairs)
+        """The greedy choice by id among entries that history lets through, in rounds: those first among all they conflict with
+        are taken, what conflicts with them is out, the others go on."""
+        pairs = self._pairs(rest)
+        some = "sig IS NOT NULL OR path IS NOT NULL"
+        taken, open_ = rest.where(f"NOT ({some})"), rest.where(some)
+        while True:
+            chosen = self.scratch.write(self._round(open_, pairs), self._name("chosen"))
             taken = taken.union(chosen)
-            open_ = self._undecided(open_, chosen, pairs)
-        return taken.union(self._settled(open_)) if left else taken
+            sigs = chosen.where("sig IS NOT NULL").select("sig")
+            shut = sigs.union(pairs.join(sigs, "sig", "left_semi").select("other")).distinct()
+            # A taken entry is itself out by its signature or its path.
+            open_ = open_.join(shut, "sig", "left_anti").join(chosen.where("path IS NOT NULL").select("path"), "path", "left_anti")
+            open_ = self.scratch.write(open_.select("id", "sig", "path"), self._name("open"))
+            if open_.isEmpty():
+                return taken
+
+    def _pairs(self, rest: DataFrame) -> DataFrame:
+        """(sig, other): signatures of ``rest`` within the distance of each other, both ways; found as in history."""
+        sigs = rest.where("sig IS NOT NULL").select("sig").distinct().select("sig", F.lit(None).cast("string").alias("path"))
+        own = self._write_run(self._rows(sigs, False).drop("id"), rest.count() * len(self.orders), f"{self.scratch.path}/{self._name('self')}")
+        if not own.files:
+            return self.spark.createDataFrame([], "sig BIGINT, other BIGINT")
+        # The run's rows are the queries, in its order.
+        queries = self.spark.read.schema(_RUN).parquet(own.path).withColumn("id", F.col("key"))
+        search = searched([own], self.depths, self.distance, True)
+        orders = self.orders
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for perm, rows in batch.groupby("perm"):
+                    for hit in search(iter([rows])):
+                        yield pd.DataFrame({c: restored(hit[x].to_numpy(), orders[perm]) for c, x in (("sig", "id"), ("other", "other"))})
+
+        return self.scratch.write(queries.mapInPandas(run, "sig BIGINT, other BIGINT").distinct(), self._name("pairs"))
 
     def _round(self, open_: DataFrame, pairs: DataFrame) -> DataFrame:
         """The entries that come first among all they conflict with."""
-        own = self.scratch.write(open_.where("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("n")), self._name("own"))
-        near = pairs.join(own.select(F.col("sig").alias("other"), "least"), "other").groupBy("sig").agg(F.min("least").alias("near"))
-        own = self.scratch.write(own.join(near, "sig", "left").select("sig", "n", F.least("least", F.coalesce("near", "least")).alias("head")), self._name("heads"))
-        path = self.scratch.write(open_.where("path IS NOT NULL").groupBy("path").agg(F.min("id").alias("first"), F.count("*").alias("m")), self._name("firsts"))
-        noted = join_counted(open_, own, ["sig"], "n", ["id"], "left")
-        noted = join_counted(noted, path, ["path"], "m", ["id"], "left")
-        chosen = noted.where("(sig IS NULL OR id = head) AND (path IS NULL OR id = first)").select("id", "sig", "path")
-        return self.scratch.write(chosen, self._name("chosen"))
-
-    def _undecided(self, open_: DataFrame, chosen: DataFrame, pairs: DataFrame) -> DataFrame:
-        sigs = chosen.where("sig IS NOT NULL").select("sig")
-        shut = sigs.union(pairs.join(sigs, "sig", "left_semi").select("other")).distinct()
-        shut = shut.withColumn("shut", F.lit(True))
-        counted = open_.where("sig IS NOT NULL").groupBy("sig").agg(F.count("*").alias("n"))
-        shut = self.scratch.write(counted.join(shut, "sig"), self._name("shut"))
-        left = join_counted(open_, shut, ["sig"], "n", ["id"], "left").where("shut IS NULL").select("id", "sig", "path")
-        paths = open_.where("path IS NOT NULL").groupBy("path").agg(F.count("*").alias("m"))
-        paths = self.scratch.write(paths.join(chosen.select("path").dropna().distinct(), "path").withColumn("gone", F.lit(True)), self._name("gone"))
-        left = join_counted(left, paths, ["path"], "m", ["id"], "left").where("gone IS NULL").select("id", "sig", "path")
-        left = left.join(chosen.select("id"), "id", "left_anti")
-        return self.scratch.write(left, self._name("open"))
-
-
-def greedy_tail(distance: int):
-    """The greedy choice over entries that come sorted by id, one after the other."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cuts = [round(64 * k / (distance + 1)) for k in range(distance + 2)]
-        blocks = [(64 - b, (1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
-        tables: list[dict[int, list[int]]] = [{} for _ in blocks]
-        paths: set[str] = set()
-        for part in parts:
-            keep = []
-            for sig, has, path in zip(part["sig"], part["has"], part["path"], strict=True):
-                known = path is not None and path in paths
-                keys = [(int(sig) >> s) & m for s, m in blocks] if has else []
-                value = int(sig) & (2**64 - 1)
-                known = known or any((value ^ x).bit_count() <= distance for t, k in zip(tables, keys, strict=False) for x in t.get(k, ()))
-                keep.append(not known)
-                if not known:
-                    if path is not None:
-                        paths.add(path)
-                    for t, k in zip(tables, keys, strict=False):
-                        t.setdefault(k, []).append(value)
-            yield part[keep]
+        entry = F.struct("id", "sig", "path")
+        heads = open_.where("sig IS NOT NULL").groupBy("sig").agg(F.min(entry).alias("e"))
+        near = pairs.join(heads.select(F.col("sig").alias("other"), F.col("e.id").alias("least")), "other").groupBy("sig").agg(F.min("least").alias("near"))
+        by_sig = heads.join(near, "sig", "left").where("near IS NULL OR near > e.id").select("e.*")
+        by_path = open_.where("path IS NOT NULL").groupBy("path").agg(F.min(entry).alias("e")).select("e.*")
+        both = by_sig.union(by_path).groupBy("id", "sig", "path").agg(F.count("*").alias("c"))
+        needs = F.col("sig").isNotNull().cast("int") + F.col("path").isNotNull().cast("int")
+        return both.where(F.col("c") == needs).drop("c")
 
-    return run
+
+def _uri(path: str) -> str:
+    return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
 
 
 def rejected_entries(manifest: DataFrame) -> DataFrame:
@@ -238,7 +426,7 @@ def rejected_entries(manifest: DataFrame) -> DataFrame:
     to = f"{scratch.path}/entries"
     entries.write.partitionBy("batch").parquet(to)
     entries = spark.read.schema("id BIGINT, sig BIGINT, path STRING, batch INT").parquet(to)
-    forest = HashForest(spark, scratch)
+    forest = HashForest(spark, f"{scratch.path}/runs")
     # One number for each batch, which is one load of data: the list grows with time, not with the rows.
     batches = sorted(r[0] for r in entries.select("batch").distinct().collect())
     accepted = None

@@ -75,11 +75,12 @@ def brute_rejected(rows):
     return out
 
 
-@pytest.mark.parametrize("tail", [100_000, 3])
-def test_rejected_entries(spark, monkeypatch, tail):
-    monkeypatch.setattr(hash_forest, "TAIL", tail)
-    monkeypatch.setattr(hash_forest, "RUNS", 1)
-    rng = random.Random(tail)
+@pytest.mark.parametrize("seed", [1, 3])
+def test_rejected_entries(spark, monkeypatch, seed):
+    monkeypatch.setattr(hash_forest, "TIER", 2)
+    monkeypatch.setattr(hash_forest, "QUERY_ROWS", 300)
+    monkeypatch.setattr(hash_forest, "STEP", 50)
+    rng = random.Random(seed)
     base = [rng.getrandbits(64) for _ in range(25)]
     rows = []
     for k in range(120):
@@ -89,6 +90,41 @@ def test_rejected_entries(spark, monkeypatch, tail):
     assert {r[0] for r in hash_forest.rejected_entries(own).collect()} == brute_rejected(rows)
 
 
+def signed(v):
+    return v - (1 << 64) if v >> 63 else v
+
+
+def test_forest_reads_little_of_its_history(spark, monkeypatch, tmp_path):
+    """A small batch opens few row groups, and a later session goes on with the folder."""
+    rng = random.Random(8)
+    old = [rng.getrandbits(64) for _ in range(60_000)]
+    kind = "id BIGINT, sig BIGINT, path STRING"
+    folder = f"file://{tmp_path}/forest"
+    monkeypatch.setattr(hash_forest, "GROUP_BYTES", 1 << 13)
+    forest = hash_forest.HashForest(spark, folder)
+    forest.append(spark.createDataFrame([(k, signed(v), f"p/{k}") for k, v in enumerate(old)], kind))
+    again = hash_forest.HashForest(spark, folder)
+    near = old[5] ^ 0b111
+    far = old[6] ^ 0b1111
+    batch = [(70_000, signed(near), "q/1"), (70_001, signed(far), "q/2"), (70_002, None, "p/17"), (70_003, None, "q/3")]
+    assert sorted(r.id for r in again.accept(spark.createDataFrame(batch, kind)).collect()) == [70_001, 70_003]
+    # The rows that the batch's ranges touch, of all rows.
+    run, touched = again.runs[0], 0
+    for perm, order in enumerate(again.orders):
+        keys = hash_forest.permuted(hash_forest.np.array([signed(near), signed(far)]), order)
+        lo, hi = hash_forest._ranges(keys, again.depths[perm])
+        touched += len(hash_forest._below([f[0] for f in run.files], perm, lo, hi)[0])
+    assert touched < 0.1 * run.rows
+    with pytest.raises(ValueError):
+        hash_forest.HashForest(spark, folder, distance=2)
+
+
+def test_forest_depths_meet_the_recall():
+    widths = [[w for _, w in o] for o in hash_forest._orders(5, 3)]
+    assert hash_forest.depths(widths, 3, 1.0) == [sum(w[:2]) for w in widths]
+    assert min(hash_forest.depths(widths, 3, 0.8)) > 26
+
+
 def test_rejected_entries_of_no_entries(spark):
     own = spark.createDataFrame([], "manifest_id BIGINT, batch_no INT, `in` STRING, simhash64_hex STRING")
     assert hash_forest.rejected_entries(own).count() == 0
