@@ -3,12 +3,16 @@
 Groups are the connected components of a bipartite graph: one node for each (institution, type, number, year),
 one for each (institution, content hash), and an edge for each pair of nodes that some record has together.
 A component's records are reduced to at most 288 cells (completeness x trust x attributes present, each
-with its latest record) by partial aggregation, so a group of any size fits one row; dominance layers and
-the values are taken from the cells.
+with its latest record) by partial aggregation, so a group of any size fits one row. Of the cells, dominance layers are
+computed: those that no cell dominates are the first, and so on. The survivor is chosen within the first layer, and what it lacks, or
+others know better, comes from the first layer of the cells that have it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,21 +101,22 @@ def record_groups(read: DataFrame, scratch: Scratch) -> DataFrame:
     return join_counted(noted.withColumn("node", node), sizes, ["node"], "n", ["id"]).drop("node", "n", "kid", "hid")
 
 
-def _dominates(d: Column, c: Column) -> Column:
-    no_worse = (d["complete"] >= c["complete"]) & (d["trust"] >= c["trust"]) & (d["age"] >= c["age"])
-    better = (d["complete"] > c["complete"]) | (d["trust"] > c["trust"]) | (d["age"] > c["age"])
-    return no_worse & better
+def _dominates(d: Column, c: Column, by: tuple[str, ...]) -> Column:
+    no_worse = reduce(and_, (d[x] >= c[x] for x in by))
+    return no_worse & reduce(or_, (d[x] > c[x] for x in by))
+
+
+def _first_layer(cells: Column, by: tuple[str, ...]) -> Column:
+    """The cells that no other dominates."""
+    return F.filter(cells, lambda c: ~F.exists(cells, lambda d: _dominates(d, c, by)))
 
 
 def _donor(attribute: str) -> Column:
-    """The cell whose value of ``attribute`` is taken: the most trusted, then latest, then smallest id."""
+    """The cell whose value of ``attribute`` is taken: of the first layer, over trust and recency, of the cells that have one, the most
+    trusted, then latest, then smallest id."""
     having = F.filter("cells", lambda x: x[attribute].isNotNull())
-    return F.array_max(
-        F.transform(
-            having,
-            lambda x: F.struct(x["trust"].alias("trust"), x["age"].alias("age"), x["neg"].alias("neg"), x[attribute].alias("value"), x["layer"].alias("layer")),
-        )
-    )
+    named = lambda x: F.struct(x["trust"].alias("trust"), x["age"].alias("age"), x["neg"].alias("neg"), x[attribute].alias("value"), x["layer"].alias("layer"))
+    return F.array_max(F.transform(_first_layer(having, ("trust", "age")), named))
 
 
 def best_records(records: DataFrame, origins: DataFrame) -> DataFrame:
@@ -121,9 +126,8 @@ def best_records(records: DataFrame, origins: DataFrame) -> DataFrame:
     group_size, skyline (cells no record dominates in completeness, trust and recency) and layers (dominance
     layers from which the three values came, 1 being the skyline, 0 for none).
 
-    The survivor is the head of the skyline by completeness, trust, recency and smallest id. A value that
-    it lacks comes from the next dominance layers; among the records that have the value, the most trusted,
-    then latest, then smallest id gives it. NULL times are oldest, unknown sources have trust 0, NULL
+    The survivor is the first layer's record by completeness, trust, recency and smallest id. Of the records that have a value, the
+    first layer over trust and recency gives it, there the most trusted, then latest, then smallest id. NULL times are oldest, unknown sources have trust 0, NULL
     institutions match nothing. result_id must be unique; columns besides those named are ignored.
     """
     scratch = Scratch(records.sparkSession, "best")
@@ -138,7 +142,7 @@ def best_records(records: DataFrame, origins: DataFrame) -> DataFrame:
     start = F.array().cast("array<struct<complete:int,trust:int,age:bigint,neg:bigint,act_type:string,act_number:string,act_year:string,layer:int>>")
 
     def add(done: Column, c: Column) -> Column:
-        above = F.transform(F.filter(done, lambda d: _dominates(d, c)), lambda d: d["layer"])
+        above = F.transform(F.filter(done, lambda d: _dominates(d, c, ("complete", "trust", "age"))), lambda d: d["layer"])
         return F.concat(done, F.array(c.withField("layer", F.coalesce(F.array_max(above), F.lit(0)) + 1)))
 
     layered = groups.withColumn("cells", F.aggregate("cells", start, add))
@@ -147,8 +151,10 @@ def best_records(records: DataFrame, origins: DataFrame) -> DataFrame:
         donor = _donor(c)
         values.append(F.coalesce(donor["value"], F.lit("")).alias(c))
         layers.append(F.coalesce(donor["layer"], F.lit(0)))
+    # A cell's fields are in the order of the policy.
+    survivor = F.array_max(F.filter("cells", lambda x: x["layer"] == 1))
     return layered.select(
-        (-F.col("cells")[0]["neg"]).alias("survivor_id"),
+        (-survivor["neg"]).alias("survivor_id"),
         *values,
         "group_size",
         F.size(F.filter("cells", lambda x: x["layer"] == 1)).alias("skyline"),
