@@ -1,9 +1,12 @@
 """Problem 1: template residue, filler and error pages in place of content.
 
-Each line of a text is one instance for an L2-regularized logistic regression on hashed character n-grams, with
-length and title features. It is trained on weak labels (response statuses and phrases of pages that failed, fields that
-were never filled, filler words; negative where a text only speaks of them) and validated on hosts that gave no
-training line. A record is found if one of its lines is.
+Each line of a text is one instance for an L2-regularized logistic regression on hashed character n-grams, with length and
+title features. Weak labels come from response statuses and general phrases, and from where they stand: a phrase among full
+sentences, or in quotes, is only spoken of. A first fit, in which the wordings of mentions and of messages are told apart
+by which label most of them have, cleans these labels; then the lines beside messages, which have no phrase but stand in no
+record without one, are positive too, and the model is fitted again. So it learns wordings that no phrase lists. It is
+validated on hosts that gave no training line, and with whole families of phrases left out. A record is found if
+one of its lines is.
 """
 
 from __future__ import annotations
@@ -19,29 +22,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lavra.llm.rolling import Texts, mix
-from lavra.session import Scratch
+from lavra.session import Scratch, spread
 
-#: At most about so many lines of each of three kinds (positive, mention, other) are fitted, and as many again validated.
-SAMPLE = 12_000
+#: At most about so many lines of each of four kinds (positive, mention, without a phrase, beside positive ones) are fitted, and as
+#: many again validated.
+SAMPLE = 6_000
 #: One host of so many is kept for validation.
 HELD_OUT = 5
 GRAMS = (3, 6)
 BITS = 18
-CHUNK = 500_000
-# What weak labels go by. Lower case, white space as one blank.
-_LATIN = "lorem|ipsum|dolor|dolore|amet|consectetur|adipiscing|elit|eiusmod|tempor|incididunt|labore|magna|aliqua|enim|minim|veniam|quis|nostrud|exercitation|ullamco|laboris|nisi|aliquip|commodo|sed|sit|do|ut|et|ea|ex|ad"
-FIELDS = r"\{\{[^}]*\}\}|\$\{[^}]*\}|#\{[^}]*\}|\{%[^%]*%\}|<<[^>]+>>|@@\w+@@|%[^\W\d]{3,}%|\[(inserir|preencher|informar|digitar|nome d)[^\]]*\]|\[[^\]]* aqui\]|x{4,}|__/__|r\$ 0\.000,00|nome do titular|matrícula 0{4,}|_{4,}, __ de"
-FILLER = rf"(\b({_LATIN})\b[^\w]+){{6}}|texto de exemplo|substitua este (texto|parágrafo)|clique para editar|em breve publicaremos|^conteúdo em breve|está em construção|página em construção"
-STATUS = r"^[#\s]*((http|erro|error|status)\s*)?[45][0-9]{2}\b|^[#\s]*(http|erro|error)\s+[0-9]{3}|não foi encontrado no servidor|página (inexistente|não encontrada)|^acesso negado|sessão .{0,20}expirou|internal (server )?error|unable to complete your request|contact the administrator|traceback \(most recent|fatal error:|^warning: \w+|^\s*at [\w$]+(\.[\w$]+)+\(|^\s*file \"[^\"]+\", line|temporariamente indisponível|em manutenção programada|undefined undefined|\[object object\]|null/nan|undefined itens|checking your browser|link foi digitado|request id:"
-SCRIPTS = r"(habilit|ligu|ativ)\w*.{0,40}(javascript|scripts)|não executa scripts|<noscript>|enable (javascript|scripts|cookies)|depende de javascript|requires javascript|javascript is (disabled|required)"
-#: A text that speaks of such things: it quotes them, or tells of them in a sentence.
-MENTION = r"[`“”«»]|\[\.\.\.\]|aponta que|foi corrigid|norma de acessibilidade|já voltou|expressão latina|no modelo d|assinatura d|, inclusive n"
-#: Without one of these a text has no trigger.
+CHUNK = 100_000
+#: From so many characters in sentences without a phrase on, a record has real content. A sentence is a line of at least so many
+#: characters that ends in a stop.
+REAL_CHARS, SENTENCE_CHARS = 500, 70
+#: See :func:`learn`.
+BESIDE = 0.02
+# What weak labels go by, in lower case. General wordings of servers, frameworks and templates.
+FAMILIES = {
+    "fields": r"\{\{[^}]*\}\}|\$\{[^}]*\}|#\{[^}]*\}|\{%[^%]*%\}|<<[^>]+>>|@@\w+@@|%[^\W\d]{3,}%|\[(?:inserir|preencher|informar|digitar)\b[^\]]*\]|\[[^\]]* aqui\]|x{4,}",
+    "filler": r"(?:\b(?:lorem|ipsum|dolore?|sit|amet|consectetur|adipiscing|elit|sed|do|eiusmod|tempor|incididunt|ut|labore|et|magna|aliqua)\b\W+){4}|texto de exemplo|sample text|clique para editar|click to edit|em construção|under construction|conteúdo em breve|coming soon",
+    "status": r"^[#\s]*(?:(?:http|erro|error|status)\s*)?[45][0-9]{2}\b|server error|página (?:inexistente|não encontrada)|not found|não foi encontrad|acesso negado|access denied|forbidden|(?:sessão|session)\b.{0,40}\bexpir|temporariamente indisponível|temporarily unavailable|em manutenção|under maintenance",
+    "traces": r"traceback|stack trace|fatal error|^warning:|\w(?:error|exception):|\bundefined\b|\[object object\]|\bnan\b",
+    "scripts": r"javascript|noscript|\bscripts\b|checking your browser",
+}
+#: A phrase in quotes is spoken of.
+_QUOTED = r"[`“”«»]"
+#: Every match of a family has one of these.
 SEEDS = (
-    "{{ ${ #{ {% << @@ % [ xxxx __/__ 0.000,00 titular matrícula ____ ipsum lorem dolor texto|de|exemplo substitua clique|para em|breve construção "
-    "http erro 40 41 42 50 não|foi|encontrado inexistente não|encontrada acesso|negado expirou internal unable administrator traceback fatal warning "
-    "file|\" indisponível manutenção undefined object null checking digitado request javascript scripts noscript enable at|br"
-).split()
+    "{{", "${", "#{", "{%", "<<", "@@", "%", "[inserir", "[preencher", "[informar", "[digitar", " aqui]", "xxxx", "lorem", "ipsum", "dolor", "sit ", "amet", "consectetur", "adipisc", "eiusmod", "tempor ", "incididunt", "labore", "magna ", "aliqua",
+    "texto de exemplo", "sample text", "clique para editar", "click to edit", "em construção", "under construction", "conteúdo em breve", "coming soon",
+    "40", "41", "42", "43", "44", "45", "50", "51", "52", "53", "server error", "página inexistente", "não encontrada", "not found", "não foi encontrad", "acesso negado", "access denied",
+    "forbidden", "expir", "temporariamente", "temporarily", "manutenção", "maintenance", "traceback", "stack trace", "fatal error", "warning:", "error:", "exception:",
+    "undefined", "[object", "nan", "javascript", "noscript", "scripts", "checking your browser",
+)
 
 
 @lru_cache(maxsize=1)
@@ -50,47 +63,69 @@ def _automaton():
 
     found = ahocorasick.Automaton()
     for s in SEEDS:
-        found.add_word(s.replace("|", " "), 1)
+        found.add_word(s, 1)
     found.make_automaton()
     return found
 
 
 @lru_cache(maxsize=1)
-def _patterns() -> tuple[re.Pattern, re.Pattern]:
-    return re.compile("|".join((FIELDS, FILLER, STATUS, SCRIPTS))), re.compile(MENTION)
+def _patterns() -> dict[str, re.Pattern]:
+    return {k: re.compile(v) for k, v in FAMILIES.items()}
 
 
-def weak_label(line: str) -> int | None:
-    """1 for a trigger that isn't only spoken of, 0 for a mention of one, NULL without a trigger; ``line`` is lower case."""
-    trigger, mention = _patterns()
+def families(line: str) -> list[str]:
+    """The families whose phrases ``line`` (lower case) has."""
+    if next(_automaton().iter(line), None) is None:
+        return []
     text = " ".join(line.split())
-    if trigger.search(text) is None:
-        return None
-    return 0 if mention.search(text) else 1
+    return [k for k, p in _patterns().items() if p.search(text)]
+
+
+def weak_labels(text: str) -> list[tuple[int, str, int | None]]:
+    """(line number, line, kind) of a text's lines in lower case: kind 1 positive, 0 a mention, 3 beside positive lines, NULL without a
+    phrase.
+
+    Fields that nobody filled in are positive wherever they stand unquoted; messages and filler only in a record that has
+    less than :data:`REAL_CHARS` of sentences without a phrase.
+    """
+    lines = [(k, x) for k, x in enumerate(text.lower().split("\n")) if x and not x.isspace()]
+    if next(_automaton().iter(text.lower()), None) is None:
+        return [(k, x, None) for k, x in lines]
+    held = {k: f for k, x in lines if (f := families(x))}
+    real = sum(len(x) for k, x in lines if len(x) >= SENTENCE_CHARS and x.rstrip().endswith(".") and k not in held) >= REAL_CHARS
+    out: list[tuple[int, str, int | None]] = []
+    for k, x in lines:
+        if k in held:
+            out.append((k, x, 0 if re.search(_QUOTED, x) or (real and "fields" not in held[k]) else 1))
+        else:
+            out.append((k, x, None))
+    # Only whole messages make their neighbours positive.
+    if not real and any(kind == 1 and "fields" not in held[k] for k, _, kind in out):
+        out = [(k, x, 3 if kind is None else kind) for k, x, kind in out]
+    return out
+
+
+def masked(line: str) -> str:
+    """The line without what differs from record to record: numbers and hexadecimal codes."""
+    return re.sub(r"[0-9a-f]*[0-9][0-9a-f]*", "0", " ".join(line.split()))
 
 
 def labelled(rate: float):
-    """mapInPandas over (key, host, text): (line, kind, held, draw): lines with a trigger (kind 1, or 0 for a mention), and
-    the part ``rate`` of the lines without (kind 2). ``draw`` is even in [0, 1) and depends on key and line only."""
+    """mapInPandas over (key, host, text): (key, line, kind, held, draw): lines with a kind of :func:`weak_labels`, and the part ``rate``
+    of the lines without (kind 2). ``draw`` is even in [0, 1) and depends on key and line only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = _automaton()
         for batch in batches:
             rows = []
             for key, host, text in zip(batch["key"], batch["host"], batch["text"], strict=True):
-                low = text.lower()
-                any_seed = next(automaton.iter(low), None) is not None
                 held = zlib.crc32((host or "").encode()) % HELD_OUT == 0
-                for k, line in enumerate(low.split("\n")):
-                    if not line or line.isspace():
-                        continue
-                    label = weak_label(line) if any_seed and next(automaton.iter(line), None) is not None else None
+                for k, line, kind in weak_labels(text):
                     draw = zlib.crc32(b"%d %d" % (key, k)) / 2**32
-                    if label is not None:
-                        rows.append((line, label, held, draw))
+                    if kind is not None:
+                        rows.append((key, line, kind, held, draw))
                     elif draw < rate:
-                        rows.append((line, 2, held, draw / rate))
-            yield pd.DataFrame(rows, columns=["line", "kind", "held", "draw"])
+                        rows.append((key, line, 2, held, draw / rate))
+            yield pd.DataFrame(rows, columns=["key", "line", "kind", "held", "draw"])
 
     return run
 
@@ -138,22 +173,49 @@ def fit(lines: list[str], labels: np.ndarray, l2: float = 1e-4, rounds: int = 12
     return w
 
 
-def train(docs: DataFrame, key: str, text: str, host: str, scratch: Scratch) -> tuple[np.ndarray | None, pd.DataFrame]:
-    """The weights, and the sample of labelled lines with ``held`` (of unseen hosts). The sample is all that comes to the driver."""
+def learn(own: pd.DataFrame) -> np.ndarray | None:
+    """The weights from a sample (key, line, kind); NULL without a positive or a negative line.
+
+    Labels are cleaned by models that didn't see them: each half of the records is scored by a fit on the other half. A positive
+    line that scores as a negative one is taken as a mention. A line beside messages is positive if it scores higher than all but
+    :data:`BESIDE` of the lines without a phrase, and no record without a phrase has it.
+    """
+    own = own.reset_index(drop=True)
+    kind, lines = own["kind"].to_numpy(), own["line"].tolist()
+    fitted = kind != 3
+    labels = (kind == 1).astype(float)
+    if not 0 < labels.sum() < fitted.sum():
+        return None
+    half = own["key"].map(lambda k: zlib.crc32(b"half %d" % k) % 2).to_numpy()
+    scores = np.where(labels == 1, 1.0, -1.0)
+    for h in (0, 1):
+        seen = np.flatnonzero(fitted & (half != h))
+        if 0 < labels[seen].sum() < len(seen) and (half == h).any():
+            at = np.flatnonzero(half == h)
+            scores[at] = Features([lines[k] for k in at]).scores(fit([lines[k] for k in seen], labels[seen]))
+    labels *= scores > 0
+    if not labels.sum():
+        return None
+    common = {masked(x) for x, k in zip(lines, kind, strict=True) if k == 2}
+    least = np.quantile(scores[kind == 2], 1 - BESIDE) if (kind == 2).any() else 0.0
+    confirmed = own["key"].isin(own.loc[labels > 0, "key"]).to_numpy()
+    beside = (kind == 3) & confirmed & (scores > least) & ~own["line"].map(masked).isin(common).to_numpy()
+    labels[beside] = 1.0
+    used = np.flatnonzero(fitted | beside)
+    return fit([lines[k] for k in used], labels[used])
+
+
+def sampled(docs: DataFrame, key: str, text: str, host: str, scratch: Scratch) -> pd.DataFrame:
+    """The sample of labelled lines (key, line, kind, held: of unseen hosts), which is all that comes to the driver."""
     own = docs.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(host).alias("host"), F.col(text).alias("text"))
-    # Of the lines without a trigger about ten from each of so many documents are enough.
+    # Of the lines without a phrase some from each of so many documents are enough.
     rate = min(1.0, SAMPLE / max(1, docs.count()))
-    lines = scratch.write(own.mapInPandas(labelled(rate), "line STRING, kind INT, held BOOLEAN, draw DOUBLE"), "labelled")
+    lines = scratch.write(spread(own).mapInPandas(labelled(rate), "key BIGINT, line STRING, kind INT, held BOOLEAN, draw DOUBLE"), "labelled")
     rate = F.lit(0.0)
     for r in lines.groupBy("kind", "held").agg(F.count("*").alias("n")).collect():
         rate = F.when((F.col("kind") == r.kind) & (F.col("held") == r.held), F.lit(min(1.0, SAMPLE / r.n))).otherwise(rate)
-    sample = lines.where(F.col("draw") < rate).dropDuplicates(["line", "kind", "held"]).toPandas()
-    sample = sample.sort_values(["kind", "line"], ignore_index=True)
-    own = sample[~sample["held"]]
-    labels = (own["kind"] == 1).to_numpy().astype(float)
-    if not 0 < labels.sum() < len(labels):
-        return None, sample
-    return fit(own["line"].tolist(), labels), sample
+    sample = lines.where(F.col("draw") < rate).groupBy("line", "kind", "held").agg(F.min("key").alias("key")).toPandas()
+    return sample.sort_values(["kind", "line"], ignore_index=True)
 
 
 def _found(weights: np.ndarray | None):
@@ -171,8 +233,6 @@ def _found(weights: np.ndarray | None):
             for k, text in enumerate(batch["text"]):
                 for line in text.lower().split("\n"):
                     if line and not line.isspace():
-                        if weights is None:
-                            hit[k] |= weak_label(line) == 1
                         who.append(k)
                         lines.append(line)
                         n += len(line)
@@ -190,20 +250,37 @@ def residue(docs: DataFrame, key: str = "md_id", text: str = "body", host: str =
     are required.
 
     NULL and empty texts are no cases. If the weak labels give no positive or no negative line, there is nothing to
-    learn from and the labels' own positives are the result. Keys must be unique BIGINTs; other columns are ignored.
+    learn from and no record is found. Keys must be unique BIGINTs; other columns are ignored.
     """
-    weights, _ = train(docs, key, text, host, Scratch(docs.sparkSession, "residue"))
+    sample = sampled(docs, key, text, host, Scratch(docs.sparkSession, "residue"))
+    weights = learn(sample[~sample["held"]])
     small = None if weights is None else weights.astype(np.float32)
     own = docs.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return own.mapInPandas(_found(small), "key BIGINT").withColumnRenamed("key", key)
+    return spread(own).mapInPandas(_found(small), "key BIGINT").withColumnRenamed("key", key)
 
 
 def validation(docs: DataFrame, key: str = "md_id", text: str = "body", host: str = "source") -> DataFrame:
-    """(held_out, label, prediction, lines): the model against the weak labels, on its own hosts and on unseen ones."""
+    """(left_out, held_out, label, prediction, lines): the model against the weak labels.
+
+    ``left_out`` '' is the model itself, on its own hosts and on unseen ones. Otherwise it is a model that saw no line with a phrase of
+    that family (nor lines beside such), and the lines are the positive ones of the family.
+    """
     spark = docs.sparkSession
-    weights, sample = train(docs, key, text, host, Scratch(spark, "validation"))
-    label = (sample["kind"] == 1).astype(int)
-    guess = label if weights is None else pd.Series((Features(sample["line"].tolist()).scores(weights) > 0).astype(int))
-    table = pd.DataFrame({"held_out": sample["held"].astype(bool), "label": label, "prediction": guess}).value_counts().reset_index(name="lines")
-    kind = "held_out BOOLEAN, label INT, prediction INT, lines BIGINT"
-    return spark.createDataFrame([(bool(a), int(b), int(c), int(n)) for a, b, c, n in table.itertuples(index=False)], kind)
+    sample = sampled(docs, key, text, host, Scratch(spark, "validation"))
+    sample["label"] = (sample["kind"] == 1).astype(int)
+    plain = sample[sample["kind"] != 3]
+    rows = []
+
+    def compare(name: str, own: pd.DataFrame, weights: np.ndarray | None) -> None:
+        guess = np.zeros(len(own), dtype=int) if weights is None or not len(own) else (Features(own["line"].tolist()).scores(weights) > 0).astype(int)
+        counts = pd.DataFrame({"held": own["held"].to_numpy(dtype=bool), "label": own["label"].to_numpy(), "guess": guess}).value_counts()
+        rows.extend((name, bool(h), int(a), int(b), int(n)) for (h, a, b), n in counts.items())
+
+    compare("", plain, learn(sample[~sample["held"]]))
+    kinds = plain["line"].map(families)
+    for name in FAMILIES:
+        has = kinds.map(lambda f, name=name: name in f).astype(bool)
+        # Lines beside the family's own ones stay only if another family stands there too.
+        rest = sample.drop(plain.index[has])
+        compare(name, plain[has & (plain["label"] == 1)], learn(rest[(rest["kind"] != 3) | rest["key"].isin(rest.loc[rest["kind"] == 1, "key"])]))
+    return spark.createDataFrame(rows, "left_out STRING, held_out BOOLEAN, label INT, prediction INT, lines BIGINT")

@@ -226,18 +226,33 @@ def test_flow_prefers_first_uses():
 # -- 1 --------------------------------------------------------------------------------------------------------
 
 
+def residue_rows():
+    real = "Segundo a Divisão de Obras, o convênio {} permanece na pauta {} do quadro geral de vagas."
+    body = lambda k: "\n".join(real.format(k, j) for j in range(8))
+    rows = [(k, f"h{k % 10}", f"# Ato nº 1\n{body(k)}") for k in range(150)]
+    names = ("da obra", "do quadro", "da pauta", "do mapa", "da lei", "do porto", "da feira")
+    gone = "O endereço {0} sumiu do nosso arquivo; confira a grafia ou volte depois"
+    bad = [
+        "# Ato {} nº {{{{numero}}}}\n" + body(3), "Lorem ipsum {} dolor sit amet consectetur elit sed do eiusmod {}", "# Erro 404 – /x/{}/{}", "Ative o JavaScript para ver a página {} {}",
+        "# Erro 404 – /y/{0}\n" + gone, gone,
+    ]
+    good = ["O relatório 5 aponta que o acesso negado respondeu por 21% das falhas do ano. " + body(1), body(2) + "\nA marca `{{unidade}}` é trocada pelo valor."]
+    rows += [(1000 + k, f"h{k % 10}", bad[k % 6].format(names[k // 6 % 7], k)) for k in range(120)] + [(2000 + k, f"h{k % 10}", good[k % 2] + f" {k}") for k in range(60)]
+    return [*rows, (5000, "h", None), (5001, None, ""), (5002, None, "# Erro 404 – /z"), (5003, "h", body(9) * 3000)]
+
+
 def test_residue(spark):
-    real = "Segundo a Divisão, o convênio {} permanece na pauta {} do quadro."
-    rows = [(k, f"h{k % 10}", "# Ato nº 1\n" + "\n".join(real.format(k, j) for j in range(4))) for k in range(150)]
-    bad = ["# Ato nº {{numero}}\n" + real.format(1, 2), "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor", "# Erro 404 – /x", "Seu navegador não executa scripts; ative-o", "Valor: R$ 0.000,00 (valor por extenso)"]
-    good = ["O relatório 5 aponta que o erro 404 respondeu por 21% das falhas. " + real.format(1, 1), "A marca `{{unidade}}` é trocada pelo valor. " + real.format(2, 2)]
-    rows += [(1000 + k, f"h{k % 10}", bad[k % len(bad)].replace("5", str(k))) for k in range(100)] + [(2000 + k, f"h{k % 10}", good[k % 2] + f" {k}") for k in range(60)]
-    own = docs(spark, [*rows, (5000, "h", None), (5001, None, ""), (5002, None, "# Erro 404 – /z"), (5003, "h", real * 3000)])
+    rows = residue_rows()
+    own = docs(spark, rows)
     got = {r.id for r in residue.residue(own, "id").collect()}
-    assert got == {1000 + k for k in range(100)} | {5002}
-    check = residue.validation(own, "id").where("held_out").collect()
+    known = {i for i, _, t in rows if t and any(kind == 1 for _, _, kind in residue.weak_labels(t))}
+    plain = {1005 + 6 * k for k in range(20)}
+    assert known == {1000 + k for k in range(120)} - plain | {5002}
+    # A sixth of the cases has no phrase: the model knows wordings of them from lines beside messages.
+    assert known <= got <= known | plain and len(got & plain) >= 5
+    check = [r for r in residue.validation(own, "id").collect() if r.left_out == "" and r.held_out]
     wrong = sum(r.lines for r in check if r.label != r.prediction)
-    assert wrong <= 0.02 * sum(r.lines for r in check)
+    assert check and wrong <= 0.02 * sum(r.lines for r in check)
     assert residue.residue(own.limit(0), "id").count() == 0
 
 
