@@ -174,7 +174,7 @@ def fit(lines: list[str], labels: np.ndarray, l2: float = 1e-4, rounds: int = 12
 
 
 def learn(own: pd.DataFrame) -> np.ndarray | None:
-    """The weights from a sample (key, line, kind); NULL without a positive or a negative line.
+    """The weights from a sample (key, line, kind, times); NULL without a positive or a negative line.
 
     Labels are cleaned by models that didn't see them: each half of the records is scored by a fit on the other half. A positive
     line that scores as a negative one is taken as a mention. A line beside messages is positive if it scores higher than all but
@@ -187,12 +187,17 @@ def learn(own: pd.DataFrame) -> np.ndarray | None:
     if not 0 < labels.sum() < fitted.sum():
         return None
     half = own["key"].map(lambda k: zlib.crc32(b"half %d" % k) % 2).to_numpy()
-    scores = np.where(labels == 1, 1.0, -1.0)
-    for h in (0, 1):
-        seen = np.flatnonzero(fitted & (half != h))
-        if 0 < labels[seen].sum() < len(seen) and (half == h).any():
-            at = np.flatnonzero(half == h)
-            scores[at] = Features([lines[k] for k in at]).scores(fit([lines[k] for k in seen], labels[seen]))
+
+    def unseen(used: np.ndarray) -> np.ndarray:
+        """The score of each line by a fit on those of the other half that are ``used``."""
+        scores = np.where(labels == 1, 1.0, -1.0)
+        for h in (0, 1):
+            at, seen = np.flatnonzero(half == h), np.flatnonzero(used & (half != h))
+            if len(at) and 0 < labels[seen].sum() < len(seen):
+                scores[at] = Features([lines[k] for k in at]).scores(fit([lines[k] for k in seen], labels[seen]))
+        return scores
+
+    scores = unseen(fitted)
     labels *= scores > 0
     if not labels.sum():
         return None
@@ -201,12 +206,15 @@ def learn(own: pd.DataFrame) -> np.ndarray | None:
     confirmed = own["key"].isin(own.loc[labels > 0, "key"]).to_numpy()
     beside = (kind == 3) & confirmed & (scores > least) & ~own["line"].map(masked).isin(common).to_numpy()
     labels[beside] = 1.0
-    used = np.flatnonzero(fitted | beside)
-    return fit([lines[k] for k in used], labels[used])
+    # A line without a phrase that stands once and scores as a positive one tells nothing.
+    used = fitted | beside
+    used &= (kind != 2) | (unseen(used) <= 0) | (own["times"] > 1).to_numpy()
+    chosen = np.flatnonzero(used)
+    return fit([lines[k] for k in chosen], labels[chosen])
 
 
 def sampled(docs: DataFrame, key: str, text: str, host: str, scratch: Scratch) -> pd.DataFrame:
-    """The sample of labelled lines (key, line, kind, held: of unseen hosts), which is all that comes to the driver."""
+    """The sample of labelled lines (key, line, kind, held: of unseen hosts, times), which is all that comes to the driver."""
     own = docs.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(host).alias("host"), F.col(text).alias("text"))
     # Of the lines without a phrase some from each of so many documents are enough.
     rate = min(1.0, SAMPLE / max(1, docs.count()))
@@ -214,7 +222,7 @@ def sampled(docs: DataFrame, key: str, text: str, host: str, scratch: Scratch) -
     rate = F.lit(0.0)
     for r in lines.groupBy("kind", "held").agg(F.count("*").alias("n")).collect():
         rate = F.when((F.col("kind") == r.kind) & (F.col("held") == r.held), F.lit(min(1.0, SAMPLE / r.n))).otherwise(rate)
-    sample = lines.where(F.col("draw") < rate).groupBy("line", "kind", "held").agg(F.min("key").alias("key")).toPandas()
+    sample = lines.where(F.col("draw") < rate).groupBy("line", "kind", "held").agg(F.min("key").alias("key"), F.count("*").alias("times")).toPandas()
     return sample.sort_values(["kind", "line"], ignore_index=True)
 
 

@@ -234,10 +234,10 @@ def residue_rows():
     gone = "O endereço {0} sumiu do nosso arquivo; confira a grafia ou volte depois"
     bad = [
         "# Ato {} nº {{{{numero}}}}\n" + body(3), "Lorem ipsum {} dolor sit amet consectetur elit sed do eiusmod {}", "# Erro 404 – /x/{}/{}", "Ative o JavaScript para ver a página {} {}",
-        "# Erro 404 – /y/{0}\n" + gone, gone,
+        "# Erro 404 – /y/{0}\n" + gone, gone + " {1}",
     ]
     good = ["O relatório 5 aponta que o acesso negado respondeu por 21% das falhas do ano. " + body(1), body(2) + "\nA marca `{{unidade}}` é trocada pelo valor."]
-    rows += [(1000 + k, f"h{k % 10}", bad[k % 6].format(names[k // 6 % 7], k)) for k in range(120)] + [(2000 + k, f"h{k % 10}", good[k % 2] + f" {k}") for k in range(60)]
+    rows += [(1000 + k, f"h{k % 10}", bad[k % 6].format(names[k // 6 % 7][:: 1 - 2 * (k % 6 == 5)], k)) for k in range(120)] + [(2000 + k, f"h{k % 10}", good[k % 2] + f" {k}") for k in range(60)]
     return [*rows, (5000, "h", None), (5001, None, ""), (5002, None, "# Erro 404 – /z"), (5003, "h", body(9) * 3000)]
 
 
@@ -248,14 +248,26 @@ def test_residue(spark):
     known = {i for i, _, t in rows if t and any(kind == 1 for _, _, kind in residue.weak_labels(t))}
     plain = {1005 + 6 * k for k in range(20)}
     assert known == {1000 + k for k in range(120)} - plain | {5002}
-    # A sixth of the cases has no phrase: the model knows wordings of them from lines beside messages.
-    assert known <= got <= known | plain and len(got & plain) >= 5
+    assert known <= got <= known | plain
     check = [r for r in residue.validation(own, "id").collect() if r.left_out == "" and r.held_out]
     wrong = sum(r.lines for r in check if r.label != r.prediction)
     assert check and wrong <= 0.02 * sum(r.lines for r in check)
     assert residue.residue(own.limit(0), "id").count() == 0
 
 
+def test_residue_learns_wordings_without_a_phrase():
+    import pandas as pd
+
+    rows = [(i, t) for i, _, t in residue_rows() if t]
+    lines = [(i, x, 2 if kind is None else kind) for i, t in rows if (i - 1005) % 6 or not 1000 <= i < 1120 for _, x, kind in residue.weak_labels(t)]
+    sample = pd.DataFrame(lines, columns=["key", "line", "kind"]).groupby(["line", "kind"]).key.agg(key="min", times="size").reset_index()
+    new = [t.lower() for i, t in rows if 1000 <= i < 1120 and (i - 1005) % 6 == 0]
+    assert not any(residue.families(x) for x in new)
+    assert (residue.Features(new).scores(residue.learn(sample)) > 0).all()
+    # Without the lines beside messages the model doesn't know them.
+    assert not (residue.Features(new).scores(residue.learn(sample[sample["kind"] != 3])) > 0).all()
+
+
 # -- 3 --------------------------------------------------------------------------------------------------------
 
 
