@@ -284,6 +284,20 @@ def test_scan_repair(spark):
     assert scan_repair.scan_faults(own.limit(0), lexicon, "id").count() == 0
 
 
+def test_vectors_decide_corrections():
+    """Of two words of one skeleton the one that the context calls for is taken, and a word far from what it calls for is not linked."""
+    import numpy as np
+
+    turn = lambda a: np.array([np.cos(a), np.sin(a)], dtype=np.float32)
+    words = {"à": 9, "a": 9, "plano": 9, "norte": 1, "mar": 1, **{f"p{k}": 1 for k in range(20)}}
+    vectors = {"à": turn(0.1), "a": turn(1.6), "plano": turn(3.2), "norte": turn(0.0), "mar": turn(1.5), **{f"p{k}": turn(0.08 * k) for k in range(20)}}
+    lexicon = scan_repair.Lexicon(words, vectors, np.eye(2, dtype=np.float32))
+    assert lexicon.correct("á", ["norte"]) == "à" and lexicon.correct("á", ["mar"]) == "a"
+    assert lexicon.correct("p1ano", ["norte"]) is None and lexicon.correct("p1ano", ["xyz"]) == "plano"
+    blind = scan_repair.Lexicon(words)
+    assert blind.correct("á", ["norte"]) == blind.correct("á", ["mar"]) and blind.correct("p1ano", ["norte"]) == "plano"
+
+
 # -- 4 --------------------------------------------------------------------------------------------------------
 
 
