@@ -323,6 +323,32 @@ def test_main_bodies(spark):
     assert main_body.main_bodies(own.limit(0)).count() == 0
 
 
+def test_main_body_needs_its_slots(spark, monkeypatch):
+    """A banner with the site's name as h1 is template, the varying slot is the body; without slots a host has no body."""
+    banner = "<div class='banner'><h1>Portal da Casa</h1><p>Serviços ao cidadão desde 1990</p></div>"
+    rows = [(k, "s", page(k).replace("<body>", "<body>" + banner)) for k in range(12)]
+    own = spark.createDataFrame(rows, "page_id BIGINT, source STRING, html STRING")
+    got = {}
+    for r in main_body.main_bodies(own).orderBy("page_id", "block_no").collect():
+        got.setdefault(r.page_id, []).append(r.block)
+    assert got[3] == ["Ato 3 raro", "Parágrafo de cejjb ç vale.", "Outro cejjb 3", "depois 9"] and len(got) == 12
+    assert main_body.main_blocks(rows[3][2], set(), frozenset()) == []
+    same = spark.createDataFrame([(k, "s", page(1)) for k in range(6)], "page_id BIGINT, source STRING, html STRING")
+    assert main_body.main_bodies(same).count() == 0  # nothing varies
+
+
+def test_deep_and_wide_pages(spark):
+    import time
+
+    deep = lambda k: f"<html><body><h1>T{k}</h1>" + "<div>" * 1500 + f"<p>texto {k}</p>"
+    wide = lambda k: f"<html><body><h1>W{k}</h1><ul>" + "".join(f"<li>item {j} de {k}</li>" for j in range(1500)) + "</ul>"
+    rows = [(k, "d", deep(k)) for k in range(5)] + [(10 + k, "w", wide(k)) for k in range(5)]
+    own = spark.createDataFrame(rows, "page_id BIGINT, source STRING, html STRING")
+    began = time.time()
+    assert {r.page_id for r in main_body.main_bodies(own).select("page_id").distinct().collect()} == {r[0] for r in rows}
+    assert time.time() - began < 60
+
+
 # -- 6 --------------------------------------------------------------------------------------------------------
 
 
