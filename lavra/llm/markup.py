@@ -1,7 +1,7 @@
 """Problem 6: markup of several languages to clean text that keeps headings, lists, code blocks and formulas.
 
 A panel's HTML is read as a tree. Paragraphs pass points for their length and commas to their containers, discounted by link
-density; the best container and those of its siblings that are no link collections are kept. Text that stands in
+density; the best container is kept, and of its siblings those that score a part of it or have a paragraph's text with few links. Text that stands in
 a container without HTML structure is read line by line as LaTeX, wiki or Markdown.
 """
 
@@ -27,6 +27,10 @@ _WIKI = re.compile(r"^(={1,6})[^=\n].*?\1\s*$|'''?[^'\n]+'''?|\[\[|\{\{|<(?:math
 _MARKDOWN = re.compile(r"^(?:#{2,6}\s|```|~~~|={4,}\s*$|-{4,}\s*$|[+-]\s|\d+[.)]\s)|\*\*[^*\n]+\*\*|\]\([^)\n]*\)|\$[^$\n]+\$", re.M)
 
 
+#: A sibling of the best container is kept from this part of its score on, or with so much text of so low a link density.
+SIBLING_SCORE, SIBLING_CHARS, SIBLING_DENSITY = 0.1, 80, 0.25
+
+
 @dataclass
 class Element:
     kind: str
@@ -316,11 +320,17 @@ def elements(source: str | None) -> list[Element]:
         for p in box.parts:
             if isinstance(p, Element):
                 kept.append(p)
-            elif p is best or p.density() < 0.5:
+            elif p.density() < 0.5:
                 keep(p)
 
-    # The best container with its siblings: what its parent holds.
-    keep(best.parent.parent if best.parent and best.parent.parent else best.parent or best)
+    if best.parent is None:
+        keep(best)
+        return kept
+    for p in best.parent.parts:
+        if isinstance(p, Element):
+            kept.append(p)
+        elif p is best or p.score >= SIBLING_SCORE * best.score or (p.chars >= SIBLING_CHARS and p.density() < SIBLING_DENSITY):
+            keep(p)
     return kept
 
 

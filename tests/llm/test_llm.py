@@ -366,6 +366,14 @@ def test_markup(source, want):
     assert [(e.kind, e.content) for e in markup.elements(source)] == want
 
 
+def test_markup_keeps_the_best_container():
+    menu = "<div><h2>Seções</h2><ul><li><a href='/a'>Início</a></li><li><a href='/b'>Contato geral</a></li></ul></div>"
+    body = "<div><h2>Título, um</h2><p>" + "Texto corrido, com vírgulas, e mais palavras. " * 6 + "</p><ul><li>primeiro, item</li></ul></div>"
+    aside = "<div><h3>Nota</h3><p>" + "Uma nota longa ao lado, também com texto. " * 4 + "</p></div>"
+    got = [(e.kind, e.content) for e in markup.elements(f"<div>{menu}{body}{aside}</div>")]
+    assert got == [("heading", "Título, um"), ("item", "primeiro, item"), ("heading", "Nota")]
+
+
 def test_markup_table(spark):
     own = spark.createDataFrame([(1, "# a", "k"), (2, None, "k"), (3, "* b\n" * 20000, "k")], "item_id BIGINT, html STRING, kind STRING")
     assert markup.structure(own).groupBy("item_id").count().collect().__len__() == 2
