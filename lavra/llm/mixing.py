@@ -2,8 +2,8 @@
 
 Texts are aggregated by their membership pattern: the set of target sources that hold them. Token capacity flows from the
 patterns to the sources' quotas; the first use of a pattern's tokens costs nothing and each further use one more
-than the one before. The flow tells how much of each pattern goes to each source; a seeded order of the texts
-tells which.
+than the one before. The total is the largest at which every source that has texts gets its quota, or a given one. The flow
+tells how much of each pattern goes to each source; a seeded order of the texts tells which.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from lavra.operators.running import running_sum
 from lavra.session import Scratch
 
-#: More target sources than these would make too many patterns for the driver.
-MOST_TARGETS = 12
+#: The driver sees the patterns that occur, at most so many; sources overlap in few of the sets they could form.
+MOST_PATTERNS = 100_000
 
 
 @dataclass
@@ -29,10 +29,8 @@ class Target:
 
 
 def read_targets(targets: DataFrame) -> list[Target]:
-    """The rows of mix_targets, which is a setting and has :data:`MOST_TARGETS` rows at most."""
-    rows = targets.where("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").limit(MOST_TARGETS + 1).collect()
-    if len(rows) > MOST_TARGETS:
-        raise ValueError(f"more than {MOST_TARGETS} target sources")
+    """The rows of mix_targets, which is a setting: one row for each source that someone gave a share."""
+    rows = targets.where("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").collect()
     return [Target(r.source, r.target_share, r.max_repeats) for r in sorted(rows, key=lambda r: r.source)]
 
 
@@ -79,26 +77,55 @@ def min_cost_flow(edges: list[tuple[str, str, int, int]], start: str, end: str)
     return flow
 
 
-def route(patterns: dict[int, int], targets: list[Target], total: int) -> dict[int, list[tuple[int, int]]]:
-    """For each pattern (bit set of targets; tokens) the tokens that go to each target, as (target, tokens)."""
+def members(pattern: str) -> list[int]:
+    return [int(k) for k in pattern.split(",")]
+
+
+def route(patterns: dict[str, int], targets: list[Target], total: int) -> dict[str, list[tuple[int, int]]]:
+    """For each pattern (numbers of targets, by commas; tokens) the tokens that go to each target, as (target, tokens)."""
     edges = []
     for p, tokens in patterns.items():
-        members = [k for k in range(len(targets)) if p >> k & 1]
-        for use in range(max((targets[k].repeats for k in members), default=0)):
+        own = members(p)
+        for use in range(max(targets[k].repeats for k in own)):
             edges.append(("", f"p{p}", tokens, use))
-        edges += [(f"p{p}", f"s{k}", tokens * targets[k].repeats, 0) for k in members]
-    edges += [(f"s{k}", "end", round(t.share * total), 0) for k, t in enumerate(targets)]
+        edges += [(f"p{p}", f"s{k}", tokens * targets[k].repeats, 0) for k in own]
+    edges += [(f"s{k}", "end", _quota(t, total), 0) for k, t in enumerate(targets)]
     flow = min_cost_flow(edges, "", "end")
-    return {p: [(k, f) for k in range(len(targets)) if (f := flow.get((f"p{p}", f"s{k}"), 0))] for p in patterns}
+    return {p: [(k, f) for k in members(p) if (f := flow.get((f"p{p}", f"s{k}"), 0))] for p in patterns}
+
+
+def _quota(target: Target, total: int) -> int:
+    return round(target.share * total)
+
+
+def largest_total(patterns: dict[str, int], targets: list[Target]) -> int:
+    """The largest total, up to the tokens of all distinct texts, at which every source that has texts gets its quota."""
+    held = {k for p in patterns for k in members(p)}
+
+    def reached(total: int) -> bool:
+        got = dict.fromkeys(held, 0)
+        for parts in route(patterns, targets, total).values():
+            for k, f in parts:
+                got[k] += f
+        return all(got[k] >= _quota(targets[k], total) for k in held)
+
+    low, high = 0, sum(patterns.values())
+    if reached(high):
+        return high
+    # To a thousandth of the tokens there are.
+    while high - low > max(1, sum(patterns.values()) // 1000):
+        mid = (low + high) // 2
+        low, high = (mid, high) if reached(mid) else (low, mid)
+    return low
 
 
 def mix(docs: DataFrame, sizes: DataFrame, targets: list[Target], seed: int = 42, total: int | None = None) -> DataFrame:
     """(source, doc_id, tokens, repeats): the chosen documents and how often each is taken for its source.
 
     ``sizes`` has (doc_id, tokens). ``total`` is the wanted size of the mixture in tokens; without it, the
-    tokens of all distinct texts of the target sources. A text goes at most ``repeats`` times to a source; copies within
-    a source count as one text, whose smallest doc_id stands for it. Sources too small for their share, repeated as often as
-    allowed, give all they have. Texts without tokens, of NULL sources or of others than the targets are
+    largest at which every source that has texts gets its share (:func:`largest_total`). A text goes at most ``repeats`` times to a source; copies within
+    a source count as one text, whose smallest doc_id stands for it. With a larger total, sources too small for their share,
+    repeated as often as allowed, give all they have. Texts without tokens, of NULL sources or of others than the targets are
     left out. What a source gets differs from its flow by less than one text for each pattern.
     """
     spark: SparkSession = docs.sparkSession
@@ -111,17 +138,16 @@ def mix(docs: DataFrame, sizes: DataFrame, targets: list[Target], seed: int = 42
         "doc_id", index[F.col("source")].alias("k"), F.xxhash64("text").alias("h"), F.md5("text").alias("m")
     ).join(sizes.where("tokens > 0"), "doc_id")
     # One row a text: its pattern, and in each source its smallest document.
-    texts = held.groupBy("h", "m").agg(
-        F.max("tokens").alias("tokens"), *[F.min(F.when(F.col("k") == k, F.col("doc_id"))).alias(f"d{k}") for k in range(len(targets))]
-    )
-    bits = sum(F.when(F.col(f"d{k}").isNotNull(), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(len(targets)))
-    texts = scratch.write(texts.withColumn("pattern", bits.cast("int")), "texts")
-    # At most 2 to the number of targets rows.
+    firsts = held.groupBy("h", "m", "k").agg(F.max("tokens").alias("tokens"), F.min("doc_id").alias("doc"))
+    texts = firsts.groupBy("h", "m").agg(F.max("tokens").alias("tokens"), F.sort_array(F.collect_list(F.struct("k", "doc"))).alias("docs"))
+    texts = scratch.write(texts.withColumn("pattern", F.array_join(F.col("docs.k").cast("array<string>"), ",")), "texts")
     by_pattern = scratch.write(texts.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")), "patterns")
+    if by_pattern.count() > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns of sources")
     patterns = {r.pattern: r.tokens for r in by_pattern.collect()}
     if not patterns:
         return none
-    routes = route(patterns, targets, total if total is not None else sum(patterns.values()))
+    routes = route(patterns, targets, total if total is not None else largest_total(patterns, targets))
     # The pattern's texts, laid end to end again and again, are a tape; each source gets a stretch of it.
     stretches = []
     for p, parts in routes.items():
@@ -131,16 +157,16 @@ def mix(docs: DataFrame, sizes: DataFrame, targets: list[Target], seed: int = 42
             at += f
     if not stretches:
         return none
-    tape = spark.createDataFrame(stretches, "pattern INT, k INT, a BIGINT, b BIGINT, length BIGINT")
+    tape = spark.createDataFrame(stretches, "pattern STRING, k INT, a BIGINT, b BIGINT, length BIGINT")
     laid = running_sum(texts, by_pattern, ["pattern"], F.xxhash64(F.lit(seed), "m"), "tokens", "x", scratch, "laid")
     # Copies of the text start at x, x + length, ...: count those in [a, b).
     def below(limit: str):
         return F.greatest(F.lit(0), F.ceil((F.col(limit) - F.col("x")) / F.col("length")))
 
     taken = laid.join(F.broadcast(tape), "pattern").withColumn("repeats", (below("b") - below("a")).cast("int")).where("repeats > 0")
-    doc = F.array(*[F.col(f"d{k}") for k in range(len(targets))])
     name = F.array(*[F.lit(t.source) for t in targets])
-    return taken.select(name[F.col("k")].alias("source"), doc[F.col("k")].alias("doc_id"), "tokens", "repeats")
+    doc = F.filter("docs", lambda x: x["k"] == F.col("k"))[0]["doc"]
+    return taken.select(name[F.col("k")].alias("source"), doc.alias("doc_id"), "tokens", "repeats")
 
 
 def shares(mixed: DataFrame, targets: list[Target]) -> DataFrame:

@@ -3,7 +3,9 @@
 The plan is made on the driver from the histogram of sizes, which has at most ``capacity`` entries however many items
 there are. Large sizes are rounded up within groups of equal cardinality; configurations of the few rounded sizes
 come from a linear program with column generation. Real items then take the slots in order of size, which
-tells exactly what each container has left; what remains goes, largest first, where it fits best. All of it is
+tells exactly what each container has left; containers that keep more room than a tolerance are given up, and what has no
+place goes, largest first, where it fits best. Of several tolerances, the last of which gives up all containers and so is
+plain best fit, the one with the fewest containers is taken. All of it is
 arithmetic on ranges of ranks and of containers; documents get their places by their rank among those of
 their size.
 """
@@ -27,6 +29,8 @@ from lavra.session import Scratch
 GROUPS = 32
 #: Sizes above this part of the capacity are large.
 LARGE = 0.125
+#: The parts of the capacity that a planned container may have left; a negative one leaves all to best fit.
+TOLERANCES = (1.0, 0.05, 0.02, 0.01, 0.004, 0.0, -1.0)
 
 
 @dataclass
@@ -62,16 +66,18 @@ def _knapsack(sizes: list[int], values: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), take
 
 
-def configurations(sizes: list[int], needs: list[int], capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
+def configurations(sizes: list[int], needs: list[int], capacity: int) -> list[tuple[np.ndarray, int]]:
     """Configurations and how many containers get each, rounded down; ``sizes`` ascend and are distinct.
 
-    The simplex method with column generation; it may stop after ``rounds``, as every basis is feasible.
+    The simplex method with column generation. A basis is never taken twice, so it ends; every basis is feasible.
     """
     g = len(sizes)
     basis = np.diag([float(capacity // s) for s in sizes])
     need = np.array(needs, dtype=float)
     inverse = np.linalg.inv(basis)
-    for _ in range(rounds):
+    seen: set[bytes] = set()
+    while (sign := basis.tobytes()) not in seen:
+        seen.add(sign)
         worth, column = _knapsack(sizes, np.ones(g) @ inverse, capacity)
         if worth <= 1 + 1e-7:
             break
@@ -88,50 +94,61 @@ def configurations(sizes: list[int], needs: list[int], capacity: int, rounds: in
 
 def make_plan(histogram: dict[int, int], capacity: int) -> Plan:
     """Places for all items of ``histogram`` (size: number), with sizes from 1 to ``capacity``."""
-    plan = Plan(capacity)
-    used = dict.fromkeys(histogram, 0)  # ranks of the size that have a place
-    left: dict[int, list[tuple[int, int]]] = defaultdict(list)  # free space: ranges of containers (first, number)
     large = sorted(s for s in histogram if s > capacity * LARGE)
     total = sum(histogram[s] for s in large)
+    groups: list[list[int]] = [[]]
+    found: list[tuple[np.ndarray, int]] = []
     if large:
         # Groups of equal cardinality, by ranges of sizes.
-        groups: list[list[int]] = [[]]
         seen = 0
         for s in large:
             if groups[-1] and seen >= total * len(groups) / GROUPS:
                 groups.append([])
             groups[-1].append(s)
             seen += histogram[s]
-        tops = [x[-1] for x in groups]
-        found = configurations(tops, [sum(histogram[s] for s in x) for x in groups], capacity)
-        # A group's items in order of size, largest first: a queue of (size, first rank, number).
-        queues = [[[s, 0, histogram[s]] for s in reversed(x)] for x in groups]
-        for counts, n in found:
-            # Slot by slot, n containers take the next n items of the slot's group.
-            cuts, slots = {0, n}, []
-            for k, many in enumerate(counts):
-                for _ in range(many):
-                    at, parts = 0, []
-                    while at < n and queues[k]:
-                        head = queues[k][0]
-                        take = min(n - at, head[2])
-                        parts.append((at, take, head[0]))
-                        plan.places.append((head[0], head[1], take, plan.containers + at))
-                        used[head[0]] += take
-                        head[1], head[2], at = head[1] + take, head[2] - take, at + take
-                        cuts.add(at)
-                        if not head[2]:
-                            queues[k].pop(0)
-                    slots.append(parts)
-            edges = sorted(cuts)
-            room = np.full(len(edges) - 1, capacity)
-            for parts in slots:
-                for at, take, s in parts:
-                    room[bisect.bisect_left(edges, at) : bisect.bisect_left(edges, at + take)] -= s
-            for a, b, r in zip(edges, edges[1:], room, strict=False):
-                if r:
-                    left[int(r)].append((plan.containers + a, b - a))
-            plan.containers += n
+        found = configurations([x[-1] for x in groups], [sum(histogram[s] for s in x) for x in groups], capacity)
+    plans = (_filled(histogram, capacity, groups, found, int(t * capacity) if t >= 0 else -1) for t in TOLERANCES)
+    return min(plans, key=lambda p: p.containers)
+
+
+def _filled(histogram: dict[int, int], capacity: int, groups: list[list[int]], found: list[tuple[np.ndarray, int]], tolerance: int) -> Plan:
+    """The plan in which configurations keep the containers that have at most ``tolerance`` left."""
+    plan = Plan(capacity)
+    used = dict.fromkeys(histogram, 0)  # ranks of the size that have a place
+    left: dict[int, list[tuple[int, int]]] = defaultdict(list)  # free space: ranges of containers (first, number)
+    # A group's items in order of size, largest first: a queue of [size, number].
+    queues = [[[s, histogram[s]] for s in reversed(x)] for x in groups]
+    for counts, n in found if tolerance >= 0 else ():
+        # Slot by slot, n containers take the next n items of the slot's group.
+        cuts, slots = {0, n}, []
+        for k, many in enumerate(counts):
+            for _ in range(many):
+                at, parts = 0, []
+                while at < n and queues[k]:
+                    head = queues[k][0]
+                    take = min(n - at, head[1])
+                    parts.append((at, take, head[0]))
+                    head[1], at = head[1] - take, at + take
+                    cuts.add(at)
+                    if not head[1]:
+                        queues[k].pop(0)
+                slots.append(parts)
+        edges = sorted(cuts)
+        inside: list[list[int]] = [[] for _ in edges[1:]]
+        for parts in slots:
+            for at, take, s in parts:
+                for i in range(bisect.bisect_left(edges, at), bisect.bisect_left(edges, at + take)):
+                    inside[i].append(s)
+        for a, b, sizes in zip(edges, edges[1:], inside, strict=False):
+            room = capacity - sum(sizes)
+            if room > tolerance or not sizes:
+                continue
+            for s in sizes:
+                plan.places.append((s, used[s], b - a, plan.containers))
+                used[s] += b - a
+            if room:
+                left[room].append((plan.containers, b - a))
+            plan.containers += b - a
     # The rest, largest first, where it fits best.
     rooms = sorted(left)
     for s in sorted(histogram, reverse=True):

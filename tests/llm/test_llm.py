@@ -193,6 +193,31 @@ def test_packing(spark):
     assert packing.pack(own.limit(0), {1: 512}).count() == 0
 
 
+def test_packing_is_never_worse_than_best_fit():
+    rng = random.Random(4)
+    for trial in range(12):
+        capacity = rng.choice([64, 100, 512, 2048])
+        histogram = {}
+        for _ in range(rng.choice([30, 300, 3000])):
+            s = min(capacity, max(1, int(rng.lognormvariate(3.5, rng.choice([0.3, 1.0])))))
+            histogram[s] = histogram.get(s, 0) + 1
+        plan = packing.make_plan(histogram, capacity)
+        rooms = []
+        for s in sorted((s for s, n in histogram.items() for _ in range(n)), reverse=True):
+            fits = [k for k, r in enumerate(rooms) if r >= s]
+            if fits:
+                rooms[min(fits, key=lambda k: rooms[k])] -= s
+            else:
+                rooms.append(capacity - s)
+        assert plan.containers <= len(rooms)
+        load, placed = {}, {}
+        for s, _, n, first in plan.places:
+            placed[s] = placed.get(s, 0) + n
+            for c in range(first, first + n):
+                load[c] = load.get(c, 0) + s
+        assert placed == histogram and max(load.values()) <= capacity and len(load) == plan.containers
+
+
 def test_tokens(spark):
     own = spark.createDataFrame([(1, "Olá mundo"), (2, ""), (3, None)], "doc_id BIGINT, text STRING")
     got = {r.doc_id: r.tokens for r in token_counts(own, "doc_id", "text").collect()}
@@ -207,15 +232,27 @@ def test_mixing(spark):
     own = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING").withColumn("tokens", F.lit("x"))
     sizes = own.select("doc_id", F.lit(10).cast("bigint").alias("tokens"))
     targets = [mixing.Target("a", 0.5, 1), mixing.Target("b", 0.3, 3), mixing.Target("c", 0.2, 2)]
-    got = mixing.mix(own, sizes, targets).collect()
+    got = mixing.mix(own, sizes, targets, total=3200).collect()
     by = {s: sum(r.tokens * r.repeats for r in got if r.source == s) for s in "abc"}
     limits = {t.source: t.repeats for t in targets}
     assert all(r.repeats <= limits[r.source] for r in got) and len({(r.source, r.doc_id) for r in got}) == len(got)
     # 320 texts of 10 tokens: quotas of 1600, 960 and 640; b has 20 texts, three times each.
     assert abs(by["a"] - 1600) <= 30 and by["b"] == 600 and abs(by["c"] - 640) <= 30
-    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(own, sizes, targets).collect()))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(own, sizes, targets, total=3200).collect()))
     assert mixing.mix(own.limit(0), sizes, targets).count() == 0
-    assert mixing.shares(mixing.mix(own, sizes, targets), targets).count() == 3
+    # Without a total the shares are met: b can give 600 tokens, so all of it is 2000.
+    reached = {r.source: r for r in mixing.shares(mixing.mix(own, sizes, targets), targets).collect()}
+    assert all(abs(reached[t.source].actual_share - t.share) < 0.02 for t in targets) and 580 <= reached["b"].tokens <= 600
+
+
+def test_mixing_of_many_sources(spark):
+    """Twenty sources, two of which hold the same texts, and one without any."""
+    rows = [(100 * s + k, f"t{s % 19}-{k}", f"s{s:02d}") for s in range(20) for k in range(30)]
+    own = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING")
+    sizes = own.select("doc_id", F.lit(5).cast("bigint").alias("tokens"))
+    targets = [mixing.Target(f"s{s:02d}", 1 / 21, 2) for s in range(20)] + [mixing.Target("none", 1 / 21, 2)]
+    got = {r.source: r for r in mixing.shares(mixing.mix(own, sizes, targets), targets).collect()}
+    assert got["none"].tokens == 0 and all(abs(got[f"s{s:02d}"].actual_share - 0.05) < 0.01 for s in range(20))
 
 
 def test_flow_prefers_first_uses():
