@@ -59,7 +59,7 @@ def _sizes(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
 
 def _specs(spark: SparkSession, d: str) -> dict[int, int]:
     # A table of settings, one row for each kind of container.
-    return {r.spec_id: r.capacity_tokens for r in table(spark, d, "pack_specs").limit(100).collect()}
+    return {r.spec_id: r.capacity_tokens for r in table(spark, d, "pack_specs").collect()}
 
 
 def p8_packing(spark: SparkSession, d: str) -> DataFrame:

@@ -52,9 +52,12 @@ def without_repeated_lines(docs: DataFrame, key: str = "md_id", source: str = "s
     A NULL text stays NULL, with 0 removed.
     """
     found = repeated_lines(docs, key, source, text, min_docs)
-    gone = found.groupBy(key).agg(F.collect_list("line_no").alias("_gone"))
+    gone = found.groupBy(key).agg(F.sort_array(F.collect_list("line_no")).alias("_gone"))
     lines = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i + 1)), "\n")
+    # The lines between those that go, so long texts with many such lines take one pass.
+    before = F.concat(F.array(F.lit(0)), F.col("_gone"))
+    after = F.concat(F.col("_gone"), F.array(F.size(lines) + 1))
+    kept = F.array_join(F.flatten(F.zip_with(before, after, lambda a, b: F.slice(lines, a + 1, b - a - 1))), "\n")
     return docs.select(key, text).join(gone, key, "left").select(
         key,
         F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept).alias(text),

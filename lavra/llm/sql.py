@@ -51,3 +51,35 @@ SELECT arg_max(id, (c, trust, a0, -id)) AS survivor_id,
        coalesce(arg_max(n, (trust, a0, -id)) FILTER (WHERE n IS NOT NULL), '') AS act_number,
        coalesce(arg_max(y, (trust, a0, -id)) FILTER (WHERE y IS NOT NULL), '') AS act_year
 FROM x GROUP BY gid HAVING count(*) > 1"""
+
+_SPANS = """
+piece AS (SELECT doc_id, o, substr(text, o + 1, 1199) AS t FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 199, 0), 1000)) AS o FROM documents)),
+win AS (SELECT doc_id, o + i AS pos, md5(substr(t, i + 1, 200)) AS h FROM (SELECT doc_id, o, t, unnest(range(0, least(1000, length(t) - 199))) AS i FROM piece)),
+two AS (SELECT h FROM win GROUP BY h HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, pos FROM win WHERE h IN (FROM two)),
+edge AS (SELECT *, pos > coalesce(lag(pos) OVER (PARTITION BY doc_id ORDER BY pos), -1000) + 200 AS new FROM hit),
+isle AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM edge),
+spans AS (SELECT doc_id, min(pos)::BIGINT AS span_start, max(pos)::BIGINT + 200 AS span_end FROM isle GROUP BY doc_id, k)"""
+
+p10_found = f"WITH {_SPANS} SELECT * FROM spans"
+
+p10_amounts = f"""WITH {_SPANS}, own AS (SELECT doc_id, sum(span_end - span_start)::BIGINT AS s, count(*) AS k FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(length(text), 0)::BIGINT AS chars, coalesce(s, 0) AS shared_chars, coalesce(k, 0) AS spans FROM documents LEFT JOIN own USING (doc_id)"""
+
+_HEX = "lower(trim(simhash64_hex, ' ' || chr(9) || chr(10) || chr(13) || chr(160)))"
+# One entry after the other, with the lists of accepted hashes and paths.
+p5_found = f"""WITH RECURSIVE bare AS (
+  SELECT manifest_id, coalesce(batch_no, -2147483648) AS batch, regexp_replace({_HEX}, '^0x', '') AS x,
+         nullif(regexp_replace(regexp_replace(replace("in", chr(92), '/'), '/+', '/', 'g'), '^[.]/', ''), '') AS path FROM manifest
+), read AS (
+  SELECT *, CASE WHEN regexp_matches(x, '^0*[0-9a-f]{{1,16}}$') THEN ('0x' || right(lpad(x, 16, '0'), 16))::UBIGINT END AS h FROM bare
+), seq AS MATERIALIZED (
+  SELECT manifest_id, path, CASE WHEN h <> 18446744073709551615 THEN h END AS h, row_number() OVER (ORDER BY batch, manifest_id) AS r FROM read
+), walk AS (
+  SELECT 0::BIGINT AS r, []::UBIGINT[] AS hs, []::VARCHAR[] AS ps, NULL::BIGINT AS manifest_id, false AS out
+  UNION ALL
+  SELECT r, CASE WHEN bad OR h IS NULL THEN hs ELSE list_append(hs, h) END, CASE WHEN bad OR path IS NULL THEN ps ELSE list_append(ps, path) END, manifest_id, bad
+  FROM (SELECT seq.r, hs, ps, seq.manifest_id, h, path, coalesce(list_contains(ps, path), false) OR (h IS NOT NULL AND len(list_filter(hs, lambda k: bit_count(xor(k, h)) <= 3)) > 0) AS bad
+        FROM walk JOIN seq ON seq.r = walk.r + 1)
+)
+SELECT manifest_id FROM walk WHERE out"""
