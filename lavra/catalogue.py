@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lavra.functions import html, legal, text, url
-from lavra.functions.yaml_map import read_yaml
+from lavra.functions.yaml_map import read_document, read_yaml
 from lavra.operators import chunks, crawl, simhash, validate
 from lavra.plans import refine as plan
 from lavra.session import Scratch, table
@@ -24,15 +24,38 @@ GRAPH = [
 ]
 
 
+_LONG = "Texto corrido da página, com palavras bastantes para passar do limite. " * 8
+#: Pages with what the tables lack: canonical links, dates of change, regions of several kinds, too little text. (url, html).
+PAGES = [
+    ("https://h.example/a?utm_source=x", f'<html lang="pt"><head><title> Um </title><link rel="canonical" href="/b//c/"><meta property="article:modified_time" content="2020-01-02"></head><body><nav>menu</nav><main>{_LONG}</main></body></html>'),
+    ("https://h.example/d", f'<html lang="en"><head><title>Dois</title><link rel="canonical" href="mailto:x"><meta name="last-modified" content="ontem"></head><body><article>{_LONG}</article></body></html>'),
+    ("https://h.example/e", f'<html><head><title>Três</title><meta name="modified" content="m3"></head><body><main>curto</main><p>{_LONG}</p></body></html>'),
+    ("https://h.example/f", f'<html><head><meta itemprop="dateModified" content="m4"><title>Quatro</title></head><body><div id="main"><p>{_LONG}</p></div></body></html>'),
+    ("https://h.example/g", "<html><body><main>pouco texto</main></body></html>"),
+]
+#: Documents with what the tables lack: (path, text).
+DOCUMENTS = [
+    ("extra/resolucoes/pub.md", "---\nact_type: Portaria\ndoe:\n  numero: 77-A\n  pagina: 14\naliases: []\n---\n# Portaria nº\u00a0031/2019, de 3\u00a0de\u00a0maio de 2019\n\nTexto sem nota."),
+    ("extra/portarias/vazia.md", "---\nact_type: Ato\ndoe:\nact_number: '9'\n---\n\n# Ato no. 9-2001\n\nFica revogado o ato anterior. Pub. DOE nº 5, de 01/02/2001, p. 3"),
+    ("extra/texto.md", "---\nact_type: Comunicado\ndoe: nenhum\nact_date: 2003-04-05\n---\nComunicado n. 4, de 5/4/2003\n\nPub.\u00a0DOE n\u00ba 12-B, de 06/04/2003, p. 8. Normas vigente."),
+    ("extra/quebrado.md", "---\nact_type: [Ato\nact_number: 8\n---\n# Instrucao nº 8/1999\n"),
+    ("extra/lista.md", "---\n- act_type: Ato\n---\n# Deliberação nº 6, de 30 de fevereiro de 2010"),
+    ("extra/nada.md", ""),
+    ("extra/completo.md", "---\nowner: outro\n---\nsem cabeçalho"),
+    ("extra/refinado.md", "---\nrefined_by: Gemini\nsource_in: bruto/origem.md\nowner: ''\nact_type: Ato\nact_number: 5\naliases:\n- Ato 5\n---\n# Ato nº 5\n\nTexto refinado aqui."),
+    ("extra/local.md", "---\nrefined_by: ollama\n---\nTexto do modelo local."),
+]
+
+
 def _raw(s: SparkSession, d: str) -> DataFrame:
-    """The md files as texts with front matter between fences."""
+    """The md files as texts with front matter between fences, and :data:`DOCUMENTS` with keys from -1 down."""
     raw = F.when(c("front_matter").isNull(), F.coalesce("body", F.lit(""))).otherwise(F.concat(F.lit("---\n"), "front_matter", F.lit("\n---\n"), F.coalesce("body", F.lit(""))))
-    return table(s, d, "md").select("md_id", "path", raw.alias("raw"))
+    extra = s.createDataFrame([(-k - 1, p, t) for k, (p, t) in enumerate(DOCUMENTS)], "md_id BIGINT, path STRING, raw STRING")
+    return table(s, d, "md").select("md_id", "path", raw.alias("raw")).union(extra)
 
 
 def _meta(s: SparkSession, d: str) -> DataFrame:
-    raw = _raw(s, d)
-    return raw.select("md_id", "path", text.simple_yaml(text.front_matter(c("raw"))).alias("meta"), text.front_matter_body(c("raw"), False).alias("body"))
+    return _raw(s, d).select("md_id", "path", text.front_matter(c("raw")).alias("yaml"), read_document(c("raw"), False).alias("d")).select("md_id", "path", "yaml", "d.*")
 
 
 def quality_gate(s, d):
@@ -87,7 +110,7 @@ def greedy_dedup(s, d):
 
 def _urls(s, d):
     own = table(s, d, "pages").select("url").union(table(s, d, "menu_items").select("url")).union(table(s, d, "documents").select("url")).where("url IS NOT NULL").distinct()
-    extra = ["https://Example.com/noticias/?utm_source=mail&id=42#rodape", "HTTP://A.example:80//x///y/?lang=pt&ID=1&page=#!/rota//a/", "mailto:a@b.c", "ftp://h/x", "", "https://h.example", "https://h.example/a;p=1?page=2&page=3", "https://h.example/f.tar.GZ#/x/", "/relative"]
+    extra = ["https://H.Example/avisos/?gclid=q&id=7#fim", "https://h.example/b?id=50%&lang=p%C3%A3o+x&page=~*", "https://h.example/c?i%64=a%20b", "HTTP://A.example:80//x///y/?lang=pt&ID=1&page=#!/rota//a/", "mailto:a@b.c", "ftp://h/x", "", "https://h.example", "https://h.example/a;p=1?page=2&page=3", "https://h.example/f.tar.GZ#/x/", "/relative"]
     return own.union(s.createDataFrame([(x,) for x in extra], "url STRING"))
 
 
@@ -132,16 +155,24 @@ def new_links(s, d):
 
 
 def page_heads(s, d):
-    return table(s, d, "pages").select("page_id", html.language(c("html")).alias("lang"), html.title(c("html")).alias("title"), html.modified(c("html")).alias("modified"), html.canonical(c("html"), c("url")).alias("canonical"))
+    extra = s.createDataFrame([(-k - 1, u, h) for k, (u, h) in enumerate(PAGES)], "page_id BIGINT, url STRING, html STRING")
+    return table(s, d, "pages").select("page_id", "url", "html").union(extra).select("page_id", html.language(c("html")).alias("lang"), html.title(c("html")).alias("title"), html.modified(c("html")).alias("modified"), html.canonical(c("html"), c("url")).alias("canonical"))
 
 
 def page_text(s, d):
     return table(s, d, "pages").select("page_id", html.plain_text("html").alias("text"))
 
 
+def _gated(s, d):
+    """The pages with their main content, those with enough text; :data:`PAGES` among them."""
+    pages = table(s, d, "pages").select("page_id", "url", "html")
+    extra = s.createDataFrame([(-k - 1, u, h) for k, (u, h) in enumerate(PAGES)], "page_id BIGINT, url STRING, html STRING")
+    own = pages.union(extra).withColumn("main", html.main_content("html"))
+    return own.withColumn("text", html.plain_text("main")).where(F.length("text") >= html.MIN_CONTENT_CHARS)
+
+
 def page_gate(s, d):
-    pages = table(s, d, "pages").select("page_id", F.length(html.plain_text("html")).alias("chars"))
-    return pages.where(c("chars") >= html.MIN_CONTENT_CHARS)
+    return _gated(s, d).select("page_id", F.length("text").alias("chars"), F.sha1("text").alias("h"))
 
 
 def page_markdown(s, d):
@@ -151,8 +182,7 @@ def page_markdown(s, d):
 def page_saves(s, d):
     from lavra.sources.sinks import saved_pages
 
-    title = F.coalesce(F.nullif(F.trim(F.coalesce("title", F.lit(""))), F.lit("")), html.title(c("html")), F.lit(""))
-    return saved_pages(table(s, d, "pages"), c("url"), title, html.language(c("html")), html.modified(c("html")), c("html"), "txt")
+    return saved_pages(_gated(s, d), html.canonical(c("html"), c("url")), html.title(c("html")), html.language(c("html")), html.modified(c("html")), c("main"), "txt").select("name", F.sha1("content").alias("h"))
 
 
 def changed_panels(s, d):
@@ -165,7 +195,7 @@ def act_metadata(s, d):
 
 
 def act_dates(s, d):
-    rows = ["14 de julho de 2026", "31 de fevereiro de 2026", "1 de MARCO de 2001, 2/3/2004", "5 de foo de 2001 e 3/4/2005", "em 09-11-1999", "31/02/2020", "sem data", ""]
+    rows = ["3\u00a0de agosto\u00a0de 2011", "30 de fevereiro de 2011", "1 de MARCO de 2001, 2/3/2004", "5 de foo de 2001 e 3/4/2005", "em 09-11-1999", "31/02/2020", "sem data", ""]
     own = s.createDataFrame([(x,) for x in rows], "t STRING").union(table(s, d, "pdf_conversions").select(F.coalesce(F.regexp_extract("body", "^([^\n]*)", 1), F.lit("")).alias("t")).distinct())
     return own.select("t", legal.portuguese_date(c("t")).alias("iso"))
 
@@ -183,7 +213,7 @@ def front_matter_yaml(s, d):
 def enrich_merge(s, d):
     own = plan.enriched(_meta(s, d), "meta", "body", owner="arquivo")
     pick = [F.coalesce(F.element_at("meta", k), F.lit("")).alias(k) for k in ("act_type", "act_number", "act_year", "act_date", "owner")]
-    return own.select("md_id", *pick, "changed")
+    return own.select("md_id", *pick, F.coalesce(F.element_at("meta", "doe"), F.lit("")).alias("doe"), "changed")
 
 
 def validate_rules(s, d):

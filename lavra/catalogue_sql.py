@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lavra.catalogue import GRAPH
+from lavra.catalogue import DOCUMENTS, GRAPH
 from lavra.functions import legal, text, url
 
 # White space as Python has it; RE2's own class is ASCII only.
@@ -72,11 +72,21 @@ def host(x: str) -> str:
     return rf"lower(regexp_replace(regexp_replace({part(x, 2)}, '^.*@', ''), ':\d*$', ''))"
 
 
+def _decoded(x: str) -> str:
+    """Escapes read, other % signs kept."""
+    marked = f"regexp_replace(replace({x}, '+', ' '), '%([0-9A-Fa-f]{{2}})', chr(1) || '\\1', 'g')"
+    return f"url_decode(replace(replace({marked}, '%', '%25'), chr(1), '%'))"
+
+
+def _encoded(x: str) -> str:
+    return f"replace(url_encode({x}), '%20', '+')"
+
+
 def normal_url(x: str) -> str:
     raw = f"regexp_replace(regexp_replace({part(x, 3)}, ';[^/;]*$', ''), '/{{2,}}', '/', 'g')"
     path = f"CASE WHEN {raw} IN ('', '/') THEN '/' ELSE regexp_replace({raw}, '/+$', '') END"
-    kept = f"list_filter(string_split({part(x, 4)}, '&'), lambda p: regexp_extract(p, '^([^=]*)=.', 1) IN ('id', 'page', 'lang'))"
-    query = f"array_to_string({kept}, '&')"
+    kept = f"list_filter(string_split({part(x, 4)}, '&'), lambda p: {_decoded("regexp_extract(p, '^([^=]*)=.', 1)")} IN ('id', 'page', 'lang'))"
+    query = f"array_to_string(list_transform({kept}, lambda p: {_decoded("regexp_extract(p, '^([^=]*)=', 1)")} || '=' || {_encoded(_decoded("regexp_extract(p, '^[^=]*=(.*)$', 1)"))}), '&')"
     route = f"CASE WHEN regexp_matches({part(x, 5)}, '^!?/') THEN regexp_replace(regexp_replace({part(x, 5)}, '/{{2,}}', '/', 'g'), '/+$', '') ELSE '' END"
     return (
         f"coalesce(CASE WHEN lower({part(x, 1)}) IN ('http', 'https') AND {part(x, 2)} <> '' THEN lower({part(x, 1)}) || '://' || lower({part(x, 2)}) || {path} || "
@@ -135,11 +145,21 @@ href AS (SELECT page_id, source, url, unnest({_HREF}) AS h FROM pages),
 abs AS (SELECT page_id, source, {resolved('url', 'h')} AS a FROM href),
 links AS (SELECT DISTINCT page_id, source, link FROM (SELECT page_id, source, {normal_url('a')} AS link FROM abs) WHERE link <> '')"""
 
-_RAW = """raw AS (SELECT md_id, path, CASE WHEN front_matter IS NULL THEN coalesce(body, '') ELSE '---' || chr(10) || front_matter || chr(10) || '---' || chr(10) || coalesce(body, '') END AS raw FROM md),
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_EXTRA_DOCS = ", ".join(f"({-k - 1}, {_quoted(p)}, {_quoted(t)})" for k, (p, t) in enumerate(DOCUMENTS))
+_RAW = f"""raw AS (SELECT md_id, path, CASE WHEN front_matter IS NULL THEN coalesce(body, '') ELSE '---' || chr(10) || front_matter || chr(10) || '---' || chr(10) || coalesce(body, '') END AS raw FROM md
+  UNION ALL SELECT * FROM (VALUES {_EXTRA_DOCS}) v(md_id, path, raw)),
 cut AS (SELECT *, strpos(substr(raw, 4), '---') AS p, starts_with(raw, '---') AND strpos(substr(raw, 4), '---') > 0 AS has FROM raw),
-parts AS (SELECT md_id, path, CASE WHEN has THEN substr(raw, 4, p - 1) ELSE '' END AS yaml, CASE WHEN has THEN substr(raw, p + 6) ELSE raw END AS rest, has FROM cut),
-docs AS (SELECT md_id, path, yaml, has, rest, CASE WHEN has THEN regexp_replace(rest, '^\\n+', '') ELSE rest END AS body FROM parts)"""
-_META = """meta AS (SELECT md_id, path, body, list_filter(string_split(yaml, chr(10)), lambda x: regexp_matches(x, '^[A-Za-z_][A-Za-z0-9_]*:( |$)')) AS kv FROM docs)"""
+parts AS (SELECT md_id, path, raw, CASE WHEN has THEN substr(raw, 4, p - 1) ELSE '' END AS yaml, CASE WHEN has THEN substr(raw, p + 6) ELSE raw END AS rest, has FROM cut),
+docs AS (SELECT md_id, path, yaml, has, rest, CASE WHEN has THEN regexp_replace(rest, '^\\n+', '') ELSE rest END AS plain, regexp_matches(yaml, '^\\s*- ') AS list,
+  CASE WHEN has AND NOT regexp_matches(yaml, '^\\s*- ') THEN regexp_replace(rest, '^\\n+', '') ELSE raw END AS body FROM parts)"""
+# YAML as these documents have it: flat keys, a bracket that isn't closed, a list, and one nested mapping.
+_META = """meta AS (SELECT md_id, path, body, CASE WHEN list OR regexp_matches(yaml, '(?m)[[][^]\\n]*$') THEN '' ELSE yaml END AS y FROM docs),
+metas AS (SELECT *, list_filter(string_split(y, chr(10)), lambda x: regexp_matches(x, '^[A-Za-z_][A-Za-z0-9_]*:( |$)')) AS kv, regexp_matches(y, '(?m)^doe:\\n +[a-z]+:') AS doe,
+  regexp_extract(y, '(?m)^ +pagina: *(.*)$', 1) AS page, regexp_extract(y, '(?m)^ +numero: *(.*)$', 1) AS doe_no FROM meta)"""
 
 
 def given(key: str) -> str:
@@ -152,7 +172,8 @@ def has_key(key: str) -> str:
     return f"(len(list_filter(kv, lambda x: starts_with(x, '{key}:'))) > 0)"
 
 
-_LONG = r"(\d{1,2})\s+de\s+([A-Za-zçãáéíóúôêÇÃÁÉÍÓÚÔÊ]+)\s+de\s+(\d{4})"
+_LONG = f"([0-9]{{1,2}}){WS}+de{WS}+([A-Za-zçãáéíóúôêÇÃÁÉÍÓÚÔÊ]+){WS}+de{WS}+([0-9]{{4}})"
+_SHORT = "([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4})"
 
 
 def iso(x: str) -> str:
@@ -162,8 +183,8 @@ def iso(x: str) -> str:
         return f"coalesce(strftime(try_cast(lpad({y}, 4, '0') || '-' || lpad(({m})::VARCHAR, 2, '0') || '-' || lpad({d}, 2, '0') AS DATE), '%Y-%m-%d'), '')"
 
     long_date = date(f"regexp_extract({x}, '(?i){_LONG}', 3)", month, f"regexp_extract({x}, '(?i){_LONG}', 1)")
-    short = date(*[f"regexp_extract({x}, '{legal._SHORT}', {k})" for k in (3, 2, 1)])
-    return f"CASE WHEN regexp_matches({x}, '(?i){_LONG}') THEN {long_date} WHEN regexp_matches({x}, '{legal._SHORT}') THEN {short} ELSE '' END"
+    short = date(*[f"regexp_extract({x}, '{_SHORT}', {k})" for k in (3, 2, 1)])
+    return f"CASE WHEN regexp_matches({x}, '(?i){_LONG}') THEN {long_date} WHEN regexp_matches({x}, '{_SHORT}') THEN {short} ELSE '' END"
 
 
 def h1(x: str) -> str:
@@ -174,19 +195,19 @@ def act_type(x: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({x}, '(?i){_B}{p}{_E}') THEN '{n}'" for n, p in legal.ACT_TYPES.items()) + " ELSE '' END"
 
 
-_NUM = r"(?i)(?:n[ºo]\s*|no\.\s*|n\.\s*)(\d{1,5})(?:[/\-](\d{4}))?"
-_DOE = r"(?i)Pub\.\s*DOE\s*n[ºo]?\s*([A-Za-z0-9\-]+)\s*,\s*de\s*(\d{1,2}/\d{1,2}/\d{4})\s*,\s*p\.\s*(\d+)"
+_NUM = f"(?i)(?:n[ºo]{WS}*|no[.]{WS}*|n[.]{WS}*)([0-9]{{1,5}})(?:[/-]([0-9]{{4}}))?"
+_DOE = f"(?i)Pub[.]{WS}*DOE{WS}*n[ºo]?{WS}*([A-Za-z0-9-]+){WS}*,{WS}*de{WS}*([0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}){WS}*,{WS}*p[.]{WS}*([0-9]+)"
 _INFER = f"""
 heads AS (SELECT *, {h1('body')} AS h1, {strip(f"regexp_extract(body, '^{WS}*([^{chr(92)}n]*)', 1)")} AS line1 FROM {{src}}),
 inf0 AS (SELECT *, CASE WHEN h1 <> '' THEN h1 ELSE line1 END AS hd FROM heads),
 inf AS (SELECT *, {act_type('hd')} AS i_type, coalesce(nullif(regexp_extract(hd, '{_NUM}', 1), '')::INT::VARCHAR, '') AS i_number, regexp_extract(hd, '{_NUM}', 2) AS i_year,
-  {iso('hd')} AS i_date, regexp_matches(body, '{_DOE}') AS i_doe, regexp_extract(body, '{_DOE}', 1) AS i_doen,
+  {iso('hd')} AS i_date, regexp_matches(body, '{_DOE}') AS i_doe, regexp_extract(body, '{_DOE}', 1) AS i_doen, regexp_extract(body, '{_DOE}', 2) AS i_doed, regexp_extract(body, '{_DOE}', 3) AS i_doep,
   CASE WHEN regexp_matches(body, '(?i){_B}revogad[ao]s?{_E}') THEN 'Revogada' WHEN regexp_matches(body, '(?i){_B}vigent[ea]{_E}') THEN 'Vigente' ELSE '' END AS i_status FROM inf0)"""
 
-_VALID = f"""{_RAW}, {_META}, {_INFER.replace('{src}', 'meta')},
+_VALID = f"""{_RAW}, {_META}, {_INFER.replace('{src}', 'metas')},
 val0 AS (SELECT md_id, path, kv, body, {strip(given('act_type'))} AS act_type, coalesce(nullif({given('act_number')}, ''), i_number) AS act_number,
   coalesce(nullif({given('act_year')}, ''), i_year) AS act_year, coalesce(nullif({given('act_date')}, ''), i_date) AS act_date, {act_type('h1')} AS heading_type, i_doe,
-  {has_key('doe')} AS doe, {given('aliases')} AS aliases, sha1(body) AS content_hash FROM inf),
+  doe, page, {given('aliases')} AS aliases, sha1(body) AS content_hash FROM inf),
 val AS (SELECT *, list_filter([
   CASE WHEN len(kv) = 0 THEN 'MISSING_FRONTMATTER' END, CASE WHEN act_type = '' THEN 'MISSING_ACT_TYPE' END, CASE WHEN act_number = '' THEN 'MISSING_ACT_NUMBER' END,
   CASE WHEN act_year = '' THEN 'MISSING_ACT_YEAR' END, CASE WHEN act_date = '' THEN 'MISSING_ACT_DATE' END,
@@ -197,6 +218,15 @@ val AS (SELECT *, list_filter([
   CASE WHEN aliases = '[]' AND act_type <> '' AND act_number <> '' THEN 'ALIASES_EMPTY' END], lambda x: x IS NOT NULL) AS found FROM val0)"""
 
 
+_DOE_TEXT = f"""CASE WHEN doe THEN '{{"numero": "' || doe_no || '", "pagina": ' || page || '}}' WHEN {has_key('doe')} THEN {given('doe')}
+  WHEN i_doe THEN '{{"numero":"' || i_doen || '","data":"' || i_doed || '","pagina":"' || i_doep || '"}}' ELSE '' END"""
+_CHANGED = " OR ".join(
+    f"(NOT {has_key(k)} AND {v})"
+    for k, v in (("act_type", "i_type <> ''"), ("act_number", "i_number <> ''"), ("act_year", "i_year <> ''"), ("act_date", "i_date <> ''"), ("doe", "i_doe"),
+                 ("status", "i_status <> ''"), ("aliases", "i_type <> '' AND i_number <> ''"), ("owner", "true"))
+)
+
+
 def duplicates(src: str) -> str:
     return f"""keyed AS (SELECT *, lower(coalesce(nullif(act_type, ''), heading_type, '')) AS t, coalesce(act_number, '') AS n, coalesce(act_year, '') AS y FROM {src}),
 counted AS (SELECT *, count(*) OVER (PARTITION BY t, n, y) AS kn, count(*) OVER (PARTITION BY content_hash) AS hn FROM keyed),
@@ -216,11 +246,14 @@ refined AS (SELECT md_id, path, outcome, coalesce(bad, CASE WHEN h IS NULL THEN
   CASE WHEN outcome = 'ok' THEN {REF} ELSE '' END AS out, CASE WHEN h IS NULL THEN '' ELSE '0x' || lower(to_hex(h)) END AS simhash64_hex, false AS llm_applied,
   '' AS provider, '' AS model, CASE WHEN outcome = 'ok' THEN sha1({normal('text')}) ELSE '' END AS content_hash FROM outc)"""
 
-_EXTRA = ["https://Example.com/noticias/?utm_source=mail&id=42#rodape", "HTTP://A.example:80//x///y/?lang=pt&ID=1&page=#!/rota//a/", "mailto:a@b.c", "ftp://h/x", "", "https://h.example", "https://h.example/a;p=1?page=2&page=3", "https://h.example/f.tar.GZ#/x/", "/relative"]
+_EXTRA = [
+    "https://H.Example/avisos/?gclid=q&id=7#fim", "https://h.example/b?id=50%&lang=p%C3%A3o+x&page=~*", "https://h.example/c?i%64=a%20b", "HTTP://A.example:80//x///y/?lang=pt&ID=1&page=#!/rota//a/",
+    "mailto:a@b.c", "ftp://h/x", "", "https://h.example", "https://h.example/a;p=1?page=2&page=3", "https://h.example/f.tar.GZ#/x/", "/relative",
+]
 _URLS = "urls AS (SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT url FROM menu_items UNION ALL SELECT url FROM documents) WHERE url IS NOT NULL UNION ALL VALUES " + ", ".join(f"('{x}')" for x in _EXTRA) + ")"
-_DATES = ["14 de julho de 2026", "31 de fevereiro de 2026", "1 de MARCO de 2001, 2/3/2004", "5 de foo de 2001 e 3/4/2005", "em 09-11-1999", "31/02/2020", "sem data", ""]
+_DATES = ["3\u00a0de agosto\u00a0de 2011", "30 de fevereiro de 2011", "1 de MARCO de 2001, 2/3/2004", "5 de foo de 2001 e 3/4/2005", "em 09-11-1999", "31/02/2020", "sem data", ""]
 _NOTE = "'Here is the rewritten text in markdown format:' || chr(10)"
-_FENCE = "(?s)^```(?:markdown|md)?\\s*(.*?)\\s*```$"
+_FENCE = f"(?s)^{text.FENCE}$"
 
 
 def _wrapped(x: str) -> str:
@@ -261,10 +294,10 @@ SQL: dict[str, str] = {
     "changed_panels": "SELECT item_id, coalesce(html, '') <> coalesce(lag(html) OVER (PARTITION BY url ORDER BY captured_at NULLS FIRST, item_id), '') AS changed FROM menu_items",
     "act_metadata": f"WITH src AS (SELECT md_id, coalesce(body, '') AS body FROM md), {_INFER.replace('{src}', 'src')} SELECT md_id, i_type AS act_type, i_number AS act_number, i_year AS act_year, i_date AS act_date, i_doen AS doe_number, i_status AS status, CASE WHEN i_type <> '' AND i_number <> '' THEN i_type || ' ' || i_number || CASE WHEN i_year <> '' THEN '/' || i_year ELSE '' END ELSE '' END AS aliases FROM inf",
     "act_dates": "WITH t AS (SELECT * FROM (VALUES " + ", ".join(f"('{x}')" for x in _DATES) + f") v(t) UNION ALL (SELECT DISTINCT coalesce(regexp_extract(body, '^([^\\n]*)', 1), '') FROM pdf_conversions)) SELECT t, {iso('t')} AS iso FROM t",
-    "front_matter_split": f"WITH {_RAW} SELECT md_id, yaml, sha1({strip('rest')}) AS refiner_body, sha1(body) AS reader_body FROM docs",
-    "enrich_merge": f"WITH {_RAW}, {_META}, {_INFER.replace('{src}', 'meta')} SELECT md_id, " + ", ".join(f"CASE WHEN {has_key(k)} THEN {given(k)} ELSE {v} END AS {k}" for k, v in (("act_type", "i_type"), ("act_number", "i_number"), ("act_year", "i_year"), ("act_date", "i_date"))) + ", 'arquivo' AS owner, true AS changed FROM inf",
+    "front_matter_split": f"WITH {_RAW} SELECT md_id, yaml, sha1({strip('rest')}) AS refiner_body, sha1(plain) AS reader_body FROM docs",
+    "enrich_merge": f"WITH {_RAW}, {_META}, {_INFER.replace('{src}', 'metas')} SELECT md_id, " + ", ".join(f"CASE WHEN {has_key(k)} THEN {given(k)} ELSE {v} END AS {k}" for k, v in (("act_type", "i_type"), ("act_number", "i_number"), ("act_year", "i_year"), ("act_date", "i_date"))) + f", CASE WHEN {has_key('owner')} THEN {given('owner')} ELSE 'arquivo' END AS owner, {_DOE_TEXT} AS doe, {_CHANGED} AS changed FROM inf",
     "validate_rules": f"WITH {_VALID} SELECT md_id, act_type, act_number, act_year, act_date, heading_type, array_to_string(found, ';') AS issues, content_hash FROM val",
-    "audit": f"WITH {_VALID}, {duplicates('val')} SELECT path, act_type, act_number, act_year, act_date, '' AS publication_page, heading_type, array_to_string(issues, ';') AS issues, CASE WHEN len(issues) = 0 THEN 'TRUE' ELSE 'FALSE' END AS ok FROM dup",
+    "audit": f"WITH {_VALID}, {duplicates('val')} SELECT path, act_type, act_number, act_year, act_date, page AS publication_page, heading_type, array_to_string(issues, ';') AS issues, CASE WHEN len(issues) = 0 THEN 'TRUE' ELSE 'FALSE' END AS ok FROM dup",
     "audit_summary": f"WITH {_VALID}, {duplicates('val')}, e AS (SELECT unnest(CASE WHEN len(issues) = 0 THEN ['OK'] ELSE issues END) AS issue FROM dup) SELECT issue, count(*) AS documents FROM e GROUP BY issue",
     "audit_results": f"WITH v AS (SELECT * RENAME (issues AS found) FROM validation_results), {duplicates('v')} SELECT result_id, array_to_string(issues, ';') AS issues FROM dup",
     "chunk_text": f"""WITH RECURSIVE d AS (SELECT doc_id, {strip('text')} AS t FROM documents), w AS (
@@ -280,11 +313,12 @@ SQL: dict[str, str] = {
     "refine_counters": f"WITH RECURSIVE {_REFINE} SELECT count(*) AS input_files, count(*) FILTER (WHERE outcome = 'ok') AS refined_files, count(*) FILTER (WHERE outcome = 'duplicate') AS duplicates, count(*) FILTER (WHERE outcome = 'error') AS failed_files FROM refined",
     "manifest_append": f"WITH RECURSIVE {_REFINE}, r AS (SELECT path AS \"in\", 'data/1_markdowns_limpos/' || out AS out, simhash64_hex FROM refined WHERE outcome = 'ok') SELECT * FROM r WHERE out NOT IN (SELECT out FROM manifest WHERE out IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY out ORDER BY \"in\") = 1",
     "manifest_anti_join": f"SELECT out FROM (SELECT 'data/1_markdowns_limpos/' || {REF} AS out FROM md) WHERE out NOT IN (SELECT out FROM manifest WHERE out <> '')",
-    "manifest_rebuild": f"""WITH {_RAW}, {_META}, f AS (SELECT md_id, regexp_extract(path, '([^/]*)\\.md$', 1) AS stem, path, kv, {strip('body')} AS text FROM meta),
+    "manifest_rebuild": f"""WITH {_RAW}, {_META}, f AS (SELECT md_id, regexp_extract(path, '([^/]*)\\.md$', 1) AS stem, path, kv, {strip('body')} AS text FROM metas),
         tok AS (SELECT md_id, unnest(regexp_extract_all({normal('text')}, '{text.TOKEN}')) AS token FROM f), top AS (SELECT md_id, token, least(count(*), 255) AS w FROM tok GROUP BY ALL), {_simhash('top', 'md_id')},
-        o AS (SELECT stem, min(path) AS original FROM f GROUP BY stem)
-        SELECT coalesce(original, '') AS "in", 'data/1_markdowns_limpos/' || stem || '__REF.md' AS out, CASE WHEN h IS NULL THEN '0xffffffffffffffff' ELSE '0x' || lower(to_hex(h)) END AS simhash64_hex, false AS llm_applied, '' AS provider
-        FROM f LEFT JOIN o USING (stem) LEFT JOIN hashed USING (md_id)""",
+        o AS (SELECT stem, min(path) AS original FROM f GROUP BY stem), named AS (SELECT *, lower(trim({given('refined_by')})) AS who FROM f)
+        SELECT coalesce(nullif({given('source_in')}, ''), original, '') AS "in", 'data/1_markdowns_limpos/' || stem || '__REF.md' AS out, CASE WHEN h IS NULL THEN '0xffffffffffffffff' ELSE '0x' || lower(to_hex(h)) END AS simhash64_hex,
+        who IN ('gemini', 'ollama') AS llm_applied, CASE who WHEN 'gemini' THEN 'google' WHEN 'ollama' THEN 'ollama' ELSE '' END AS provider
+        FROM named LEFT JOIN o USING (stem) LEFT JOIN hashed USING (md_id)""",
     "bfs_crawl": f"""WITH RECURSIVE g(src, dst) AS (VALUES {_LEVELS}), site AS (SELECT * FROM g WHERE (dst = 'https://a.example' OR contains(dst, 'a.example/')) AND NOT ends_with(dst, '.jpg')),
         known AS (SELECT DISTINCT src FROM g UNION SELECT 'https://sub.a.example/w'),
         walk AS (SELECT 'https://a.example/' AS url, 0 AS depth UNION SELECT dst, depth + 1 FROM walk JOIN site ON src = url WHERE depth < 3 AND NOT starts_with(url, 'https://a.example/y')),

@@ -32,19 +32,25 @@ def title(page: Column) -> Column:
 
 def modified(page: Column) -> Column:
     """The first of four meta elements that has a date; ''."""
-    found = [F.nullif(F.regexp_extract(page, rf"(?i)<meta\s+{m}\s+content=\"([^\"]*)\"", 1), F.lit("")) for m in MODIFIED]
+    found = []
+    for m in MODIFIED:
+        name, value = m.split("=")
+        element = F.regexp_extract(page, rf"(?i)(<meta\b[^>]*?\b{name}\s*=\s*[\"']?{value.strip(chr(34))}[\"']?[\s/>][^>]*>?)", 1)
+        found.append(F.nullif(strip(F.regexp_extract(element, r"(?i)\bcontent\s*=\s*[\"']([^\"']*)[\"']", 1)), F.lit("")))
     return F.coalesce(*found, F.lit(""))
 
 
 def canonical(page: Column, url: Column) -> Column:
     """The page's canonical URL, normalized; its own URL without a valid one."""
-    href = F.regexp_extract(page, r"(?i)<link\s+rel=[\"']canonical[\"']\s+href=[\"']([^\"']+)[\"']", 1)
-    return F.when(href == "", url).otherwise(F.coalesce(F.nullif(normalize_url(resolve(url, href)), F.lit("")), url))
+    element = F.regexp_extract(page, r"(?i)(<link\b[^>]*?\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1)
+    href = F.regexp_extract(element, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    return F.when((href == "") | href.isNull(), url).otherwise(F.coalesce(F.nullif(normalize_url(resolve(url, href)), F.lit("")), url))
 
 
 def links(page: Column, url: Column) -> Column:
     """The distinct normalized links of a page, sorted."""
-    hrefs = F.regexp_extract_all(page, F.lit(r"(?i)<a\s[^>]*?href=\"([^\"]*)\""), F.lit(1))
+    quoted = F.regexp_extract_all(page, F.lit(r"(?i)<a\s[^>]*?\bhref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\"'\s>]+)"), F.lit(1))
+    hrefs = F.transform(quoted, lambda h: F.regexp_replace(h, "^[\"']|[\"']$", ""))
     absolute = F.transform(hrefs, lambda h: normalize_url(resolve(url, F.replace(h, F.lit("&amp;"), F.lit("&")))))
     return F.array_sort(F.array_distinct(F.filter(absolute, lambda x: x != "")))
 

@@ -10,10 +10,10 @@ from lavra.functions.text import SPACE, strip
 # Fixed values.
 MONTHS = {"janeiro": 1, "fevereiro": 2, "março": 3, "marco": 3, "abril": 4, "maio": 5, "junho": 6, "julho": 7, "agosto": 8, "setembro": 9, "outubro": 10, "novembro": 11, "dezembro": 12}
 ACT_TYPES = {"Resolução": "resolu[cç][aã]o", "Portaria": "portaria", "Ato": "ato", "Deliberação": "delibera[cç][aã]o", "Instrução": "instru[cç][aã]o", "Comunicado": "comunicado"}
-_LONG = r"(?iu)(\d{1,2})\s+de\s+([A-Za-zçãáéíóúôê]+)\s+de\s+(\d{4})"
-_SHORT = r"(\d{1,2})[/\-](\d{1,2})[/\-](\d{4})"
-_NUMBER = r"(?iu)(?:n[ºo]\s*|no\.\s*|n\.\s*)(\d{1,5})(?:[/\-](\d{4}))?"
-_GAZETTE = r"(?iu)Pub\.\s*DOE\s*n[ºo]?\s*([A-Za-z0-9\-]+)\s*,\s*de\s*(\d{1,2}/\d{1,2}/\d{4})\s*,\s*p\.\s*(\d+)"
+_LONG = r"(?iuU)(\d{1,2})\s+de\s+([A-Za-zçãáéíóúôê]+)\s+de\s+(\d{4})"
+_SHORT = r"(?U)(\d{1,2})[/\-](\d{1,2})[/\-](\d{4})"
+_NUMBER = r"(?iuU)(?:n[ºo]\s*|no\.\s*|n\.\s*)(\d{1,5})(?:[/\-](\d{4}))?"
+_GAZETTE = r"(?iuU)Pub\.\s*DOE\s*n[ºo]?\s*([A-Za-z0-9\-]+)\s*,\s*de\s*(\d{1,2}/\d{1,2}/\d{4})\s*,\s*p\.\s*(\d+)"
 
 
 def portuguese_date(x: Column) -> Column:

@@ -10,6 +10,9 @@ MIN_CONTENT_CHARS = 500
 TEXT_LIMIT = 200_000
 LOW_QUALITY_MARKERS = ("resultados da busca", "sem resultados", "pesquisar", "buscar", "posts recentes", "arquivos do mês")
 TOKEN = "[0-9A-Za-zÀ-ÖØ-öø-ÿ_]+"
+# What a model puts around its answer.
+ANNOUNCEMENT = r"here\s+is\s+the\s+rewritten\s+text\s+in\s+markdown\s+format:?:?"
+FENCE = r"```(?:markdown|md)?\s*(.*?)\s*```"
 #: White space as Python has it.
 SPACE = r"(?U)[\s\x1c-\x1f]"
 #: Line ends as Python's splitlines has them.
@@ -106,10 +109,10 @@ def merge_metadata(meta: Column, inferred: Column) -> Column:
 def strip_model_wrappers(x: Column) -> Column:
     """Without a leading announcement line and a fence around all of the text."""
     first = strip(F.regexp_extract(x, r"^([^\n]*)", 1))
-    announced = first.rlike(r"(?i)^here\s+is\s+the\s+rewritten\s+text\s+in\s+markdown\s+format:?:?$")
+    announced = first.rlike(f"(?i)^{ANNOUNCEMENT}$")
     rest = strip(F.when(announced, F.regexp_replace(x, r"^[^\n]*\n?", "")).otherwise(x))
-    inner = F.regexp_extract(rest, r"(?s)^```(?:markdown|md)?\s*(.*?)\s*```$", 1)
-    return F.when(rest.rlike(r"(?s)^```(?:markdown|md)?\s*(.*?)\s*```$"), strip(inner)).otherwise(rest)
+    inner = F.regexp_extract(rest, f"(?s)^{FENCE}$", 1)
+    return F.when(rest.rlike(f"(?s)^{FENCE}$"), strip(inner)).otherwise(rest)
 
 
 def pdf_body(x: Column) -> Column:

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 ALLOWED_PARAMS = ("id", "page", "lang")
-BINARY_EXTENSIONS = tuple(".jpg .jpeg .png .gif .webp .svg .ico .bmp .zip .rar .7z .tar .gz .mp4 .mp3 .ogg .wav .webm .doc .docx .xls .xlsx .ppt .pptx".split())
+BINARY_EXTENSIONS = (
+    ".jpg", ".jpeg", ".png", ".gif", ".webp", ".svg", ".ico", ".bmp", ".zip", ".rar", ".7z", ".tar", ".gz", ".mp4", ".mp3", ".ogg", ".wav", ".webm",
+    ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx",
+)
 TRACKERS = ("google-analytics.com", "googletagmanager.com", "doubleclick.net", "facebook.net", "hotjar.com", "segment.io", "newrelic", "nr-data.net", "matomo", "cloudflareinsights.com")
 BLOCKED_TYPES = ("image", "media", "font")
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*):(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -23,16 +26,25 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(part(url, 2), "^.*@", ""), r":\d*$", ""))
 
 
+def decoded(value: Column) -> Column:
+    """A part of a query without its escapes; a % that begins no escape stands for itself."""
+    return F.url_decode(F.regexp_replace(value, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def encoded(value: Column) -> Column:
+    """Escaped for a query: letters, digits and ``_.-~`` as they are, a blank as ``+``."""
+    return F.replace(F.replace(F.url_encode(value), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def normalize_url(url: Column) -> Column:
     """'' for what is no http(s) URL; lower-case host, clean path, allowed parameters and hash routes kept."""
     raw_path = F.regexp_replace(F.regexp_replace(part(url, 3), r";[^/;]*$", ""), "/{2,}", "/")
     path = F.when(raw_path.isin("", "/"), F.lit("/")).otherwise(F.regexp_replace(raw_path, "/+$", ""))
-    params = F.filter(
-        F.split(part(url, 4), "&"), lambda p: F.regexp_extract(p, "^([^=]*)=.", 1).isin(*ALLOWED_PARAMS)
-    )
-    query = F.array_join(
-        F.transform(params, lambda p: F.concat(F.regexp_extract(p, "^([^=]*)=", 1), F.lit("="), F.url_encode(F.url_decode(F.regexp_extract(p, "^[^=]*=(.*)$", 1))))), "&"
+    pairs = F.transform(
+        F.split(part(url, 4), "&"), lambda p: F.struct(decoded(F.regexp_extract(p, "^([^=]*)=.", 1)).alias("n"), decoded(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("v"))
     )
+    params = F.filter(pairs, lambda p: p["n"].isin(*ALLOWED_PARAMS))
+    query = F.array_join(F.transform(params, lambda p: F.concat(p["n"], F.lit("="), encoded(p["v"]))), "&")
     route = F.regexp_replace(F.regexp_replace(part(url, 5), "/{2,}", "/"), "/+$", "")
     fragment = F.when(part(url, 5).rlike("^!?/"), route).otherwise("")
     good = F.lower(part(url, 1)).isin("http", "https") & (part(url, 2) != "")

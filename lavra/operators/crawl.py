@@ -64,37 +64,38 @@ def crawl(links: DataFrame, options: CrawlOptions, policy: RobotFileParser | Non
     """(url, depth, outcome) of every URL the crawl reaches: 'visited', 'pdf', 'blocked', 'missing' or 'over_budget'.
 
     ``links`` has (src, dst), both normalized; a page exists if it is a src (a NULL dst for one without links). URLs are
-    taken by depth, then name; only visited pages count against ``max_pages``. Each level is one plan: the frontier's links, those in
-    scope, without the ones seen before. ``stop`` is asked between levels; ``progress`` gets depth and pages so far.
+    taken by depth, then the rank of the page that leads to them first, then name, as in a queue; only visited pages count against
+    ``max_pages``. Each level is one plan: the frontier's links, those in scope, without the ones seen before. ``stop`` is asked between levels; ``progress`` gets depth and pages so far.
     """
     spark = links.sparkSession
     scratch = Scratch(spark, "crawl")
     base = (urlsplit(options.seed).hostname or "").lower()
     known = scratch.write(links.select(F.col("src").alias("url")).distinct(), "known")
-    frontier = spark.createDataFrame([(options.seed,)], "url STRING")
-    seen, results, pages, depth = frontier, None, 0, 0
+    frontier = spark.createDataFrame([(options.seed, 0)], "url STRING, parent INT")
+    seen, results, pages, depth = frontier.select("url"), None, 0, 0
     while not stop():
         judged = frontier.join(known.withColumn("exists", F.lit(True)), "url", "left").withColumn(
             "outcome",
             F.when(~allowed(F.col("url"), policy), "blocked").when(is_pdf(F.col("url")), "pdf").when(F.col("exists").isNull(), "missing").otherwise("visited"),
         )
-        judged = scratch.write(judged.select("url", F.lit(depth).alias("depth"), "outcome"), f"level{depth}")
+        judged = scratch.write(judged.select("url", F.lit(depth).alias("depth"), "outcome", "parent"), f"level{depth}")
         here = judged.where("outcome = 'visited'").count()
-        if pages + here > options.max_pages:
-            first = judged.where("outcome = 'visited'").orderBy("url").limit(options.max_pages - pages).select("url", F.lit(True).alias("in"))
-            judged = judged.join(first, "url", "left").select(
-                "url", "depth", F.when((F.col("outcome") == "visited") & F.col("in").isNull(), "over_budget").otherwise(F.col("outcome")).alias("outcome")
-            )
+        # As many rows as the budget has left at most, so one task ranks them.
+        first = judged.where("outcome = 'visited'").orderBy("parent", "url").limit(options.max_pages - pages)
+        first = scratch.write(first.select("url", F.row_number().over(Window.orderBy("parent", "url")).alias("rank")), f"ranks{depth}")
+        judged = judged.join(first, "url", "left").select(
+            "url", "depth", F.when((F.col("outcome") == "visited") & F.col("rank").isNull(), "over_budget").otherwise(F.col("outcome")).alias("outcome")
+        )
         results = judged if results is None else results.union(judged)
         pages = min(pages + here, options.max_pages)
         progress(depth, pages)
         if depth >= options.max_depth or pages >= options.max_pages or here == 0:
             break
-        found = links.join(judged.where("outcome = 'visited'").select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url"))
-        found = found.where(in_scope(F.col("url"), F.lit(base), options.same_domain_only)).distinct().join(seen, "url", "left_anti")
+        found = links.join(first.select(F.col("url").alias("src"), "rank"), "src").select(F.col("dst").alias("url"), "rank")
+        found = found.where(in_scope(F.col("url"), F.lit(base), options.same_domain_only)).groupBy("url").agg(F.min("rank").alias("parent")).join(seen, "url", "left_anti")
         depth += 1
         frontier = scratch.write(found, f"frontier{depth}")
-        seen = seen.union(frontier)
+        seen = seen.union(frontier.select("url"))
         if frontier.limit(1).count() == 0:
             break
     return results if results is not None else spark.createDataFrame([], "url STRING, depth INT, outcome STRING")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -11,9 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lavra.functions.text import TEXT_LIMIT, TOKEN, normalize_text, tokens
+from lavra.functions.text import TEXT_LIMIT, TOKEN
 from lavra.session import Scratch, spread
 
 # Fixed values.
@@ -22,12 +22,26 @@ _TOKEN = re.compile(TOKEN)
 _CACHE = 200_000
 
 
+def _counts(text: str) -> list[tuple[str, int]]:
+    """The most frequent tokens of a text; of equally frequent ones those that came first."""
+    normal = re.sub(r"\s+", " ", text).strip().lower()[:TEXT_LIMIT]
+    return Counter(_TOKEN.findall(normal)).most_common(MAX_FEATURES)
+
+
 def term_frequencies(docs: DataFrame, key: str, text: str, top: int = MAX_FEATURES) -> DataFrame:
-    """(key, token, weight, rank): the most frequent tokens of each document, frequencies up to 255, ties by first place."""
-    each = docs.select(key, F.posexplode(tokens(normalize_text(F.col(text)))).alias("pos", "token"))
-    counts = each.groupBy(key, "token").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "first"))
-    return counts.withColumn("rank", rank).where(F.col("rank") <= top).select(key, "token", F.least("n", F.lit(MAX_WEIGHT)).alias("weight"), "rank")
+    """(key, token, weight, rank): the most frequent tokens of each document, frequencies up to 255, ties by first place.
+
+    A document is counted where it is, so nothing is shuffled. NULL texts have no rows.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, t, min(n, MAX_WEIGHT), r) for k, x in zip(batch["k"], batch["t"], strict=True) if x for r, (t, n) in enumerate(_counts(x)[:top], 1)]
+            yield pd.DataFrame(rows, columns=["k", "token", "weight", "rank"])
+
+    rows = spread(docs.select(F.col(key).alias("k"), F.col(text).alias("t"))).mapInPandas(run, f"k {kind}, token STRING, weight INT, rank INT")
+    return rows.withColumnRenamed("k", key)
 
 
 class TokenSigns:
@@ -55,9 +69,7 @@ class TokenSigns:
 
 def simhash_bits(text: str, signs: TokenSigns) -> int | None:
     """The SimHash of one text, NULL without tokens."""
-    normal = re.sub(r"\s+", " ", text).strip().lower()[:TEXT_LIMIT]
-    counts = Counter(_TOKEN.findall(normal))
-    most = counts.most_common(MAX_FEATURES) if len(counts) > MAX_FEATURES else counts.items()
+    most = _counts(text)
     if not most:
         return None
     weights = np.minimum(np.array([n for _, n in most], dtype=np.float64), MAX_WEIGHT)
@@ -91,15 +103,42 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def block_keys(bits: Column, distance: int = MAX_DISTANCE, blocks: int = 6) -> tuple[Column, list[int]]:
+    """An ARRAY of keys of a hash, one for each choice of ``blocks - distance`` of its blocks, and the choices' bit masks.
+
+    Two hashes within ``distance`` bits agree in as many blocks at least, so in some key. With six blocks keys have 32 bits: hashes
+    that differ at random share one by a chance of one in four billion, so candidates stay few beyond a billion hashes.
+    """
+    cuts = [round(64 * k / blocks) for k in range(blocks + 1)]
+    keys, masks = [], []
+    for chosen in itertools.combinations(range(blocks), blocks - distance):
+        key, mask = F.lit(0).cast("bigint"), 0
+        for k in chosen:
+            width = cuts[k + 1] - cuts[k]
+            part = F.shiftrightunsigned(bits, 64 - cuts[k + 1]).bitwiseAND(F.lit((1 << width) - 1))
+            key = F.shiftleft(key, width).bitwiseOR(part)
+            mask |= ((1 << width) - 1) << (64 - cuts[k + 1])
+        keys.append(key)
+        masks.append(mask - (1 << 64) if mask >> 63 else mask)
+    return F.array(*keys), masks
+
+
+def near_candidates(hashes: DataFrame, bits: str = "bits", distance: int = MAX_DISTANCE) -> DataFrame:
+    """(a, b) for distinct hashes a < b with a key of :func:`block_keys` in common, each pair once: in the first key that they share.
+
+    Where many hashes share a key, AQE's skew join splits its rows."""
+    keys, masks = block_keys(F.col(bits), distance)
+    rows = hashes.select(bits).distinct().select(F.col(bits).alias("x"), F.posexplode(keys).alias("choice", "key"))
+    two = rows.alias("p").join(rows.alias("q"), ["choice", "key"]).where(F.col("p.x") < F.col("q.x"))
+    apart = F.col("p.x").bitwiseXOR(F.col("q.x"))
+    first = F.coalesce(*[F.when(apart.bitwiseAND(F.lit(m).cast("bigint")) == 0, F.lit(k)) for k, m in enumerate(masks)])
+    return two.where(first == F.col("choice")).select(F.col("p.x").alias("a"), F.col("q.x").alias("b"))
+
+
 def near_pairs(hashes: DataFrame, bits: str = "bits", distance: int = MAX_DISTANCE) -> DataFrame:
-    """(a, b, distance) for distinct hashes a < b within ``distance`` bits: with one more band than bits may differ, two
-    such hashes agree in a band. Equal hashes are one row before and make no pairs."""
-    cuts = [round(64 * k / (distance + 1)) for k in range(distance + 2)]
-    bands = F.array(*[F.shiftrightunsigned(F.col(bits), 64 - b).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:], strict=False)])
-    rows = hashes.select(bits).distinct().select(F.col(bits).alias("x"), F.posexplode(bands).alias("band", "value"))
-    two = rows.alias("p").join(rows.alias("q"), ["band", "value"]).where(F.col("p.x") < F.col("q.x"))
-    apart = hamming(F.col("p.x"), F.col("q.x"))
-    return two.where(apart <= distance).select(F.col("p.x").alias("a"), F.col("q.x").alias("b"), apart.alias("distance")).distinct()
+    """(a, b, distance) for distinct hashes a < b within ``distance`` bits. Equal hashes are one row before and make no pairs."""
+    apart = hamming(F.col("a"), F.col("b"))
+    return near_candidates(hashes, bits, distance).where(apart <= distance).select("a", "b", apart.alias("distance"))
 
 
 def greedy_kept(hashes: DataFrame, key: str, distance: int = MAX_DISTANCE) -> DataFrame:

@@ -7,17 +7,23 @@ from pyspark.sql import functions as F
 
 from lavra.functions.legal import act_type, first_heading, legal_metadata
 from lavra.functions.text import strip
+from lavra.functions.yaml_map import mapping_of
 from lavra.operators.skew import join_counted
 from lavra.session import Scratch
 
+# The issues, in the order in which they are noted, and the sentences of the report.
+ISSUES = (
+    "MISSING_FRONTMATTER", "MISSING_ACT_TYPE", "MISSING_ACT_NUMBER", "MISSING_ACT_YEAR", "MISSING_ACT_DATE", "TYPE_MISMATCH", "SUBDIR_MISMATCH(portarias!=act_type)",
+    "SUBDIR_MISMATCH(resolucoes!=act_type)", "PUBLICATION_TEXT_BUT_NO_METADATA", "PUBLICATION_METADATA_BUT_NO_TEXT", "ALIASES_EMPTY",
+)
 _FIELDS = ("act_type", "act_number", "act_year", "act_date", "publication_page", "heading_type", "issues", "content_hash")
 
 
-def validated(docs: DataFrame, path: str = "path", meta: str = "meta", body: str = "body", page: Column | None = None) -> DataFrame:
+def validated(docs: DataFrame, path: str = "path", meta: str = "meta", body: str = "body") -> DataFrame:
     """``docs`` with a column ``result``: the fields of a validation result and its issues, in the fixed order.
 
-    ``meta`` is a MAP<STRING, STRING>; a NULL or empty one counts as no front matter. ``page`` gives the publication page
-    from the metadata where there is one.
+    ``meta`` is a MAP<STRING, STRING> of :func:`lavra.functions.yaml_map.read_yaml`; a NULL or empty one counts as no front matter.
+    Only a mapping at ``doe`` that isn't empty is a publication; its ``pagina`` is the publication page.
     """
 
     def given(key: str) -> Column:
@@ -29,24 +35,25 @@ def validated(docs: DataFrame, path: str = "path", meta: str = "meta", body: str
     inferred, kind, head = F.col("_inferred"), F.col("_kind"), F.col("_head")
     value = {k: F.coalesce(F.nullif(given(k), F.lit("")), inferred[k]) for k in ("act_number", "act_year", "act_date")}
     low = F.lower(F.col(path))
-    has_page = F.coalesce(F.map_contains_key(meta, F.lit("doe")), F.lit(False))
+    publication = mapping_of(F.col(meta), "doe")
+    has_page = F.size(publication) > 0
     found = [
-        F.when(F.coalesce(F.size(meta), F.lit(0)) <= 0, "MISSING_FRONTMATTER"),
-        F.when(kind == "", "MISSING_ACT_TYPE"),
-        F.when(value["act_number"] == "", "MISSING_ACT_NUMBER"),
-        F.when(value["act_year"] == "", "MISSING_ACT_YEAR"),
-        F.when(value["act_date"] == "", "MISSING_ACT_DATE"),
-        F.when((kind != "") & (head != "") & (kind != head), F.concat(F.lit("TYPE_MISMATCH("), kind, F.lit("!="), head, F.lit(")"))),
-        F.when(low.contains("portarias") & (kind != "") & (kind != "Portaria"), "SUBDIR_MISMATCH(portarias!=act_type)"),
-        F.when(low.contains("resolucoes") & (kind != "") & (kind != "Resolução"), "SUBDIR_MISMATCH(resolucoes!=act_type)"),
-        F.when(inferred["doe"].isNotNull() & ~has_page, "PUBLICATION_TEXT_BUT_NO_METADATA"),
-        F.when(inferred["doe"].isNull() & has_page, "PUBLICATION_METADATA_BUT_NO_TEXT"),
-        F.when(F.coalesce(F.element_at(meta, "aliases") == "[]", F.lit(False)) & (kind != "") & (value["act_number"] != ""), "ALIASES_EMPTY"),
+        F.when(F.coalesce(F.size(meta), F.lit(0)) <= 0, ISSUES[0]),
+        F.when(kind == "", ISSUES[1]),
+        F.when(value["act_number"] == "", ISSUES[2]),
+        F.when(value["act_year"] == "", ISSUES[3]),
+        F.when(value["act_date"] == "", ISSUES[4]),
+        F.when((kind != "") & (head != "") & (kind != head), F.concat(F.lit(ISSUES[5] + "("), kind, F.lit("!="), head, F.lit(")"))),
+        F.when(low.contains("portarias") & (kind != "") & (kind != "Portaria"), ISSUES[6]),
+        F.when(low.contains("resolucoes") & (kind != "") & (kind != "Resolução"), ISSUES[7]),
+        F.when(inferred["doe"].isNotNull() & ~has_page, ISSUES[8]),
+        F.when(inferred["doe"].isNull() & has_page, ISSUES[9]),
+        F.when(F.coalesce(F.element_at(meta, "aliases") == "[]", F.lit(False)) & (kind != "") & (value["act_number"] != ""), ISSUES[10]),
     ]
     return docs.withColumn(
         "result",
         F.struct(
-            kind.alias("act_type"), *[v.alias(k) for k, v in value.items()], (page if page is not None else F.lit("")).alias("publication_page"),
+            kind.alias("act_type"), *[v.alias(k) for k, v in value.items()], F.coalesce(F.element_at(publication, "pagina"), F.lit("")).alias("publication_page"),
             head.alias("heading_type"), F.array_compact(F.array(*found)).alias("issues"), F.sha1(text).alias("content_hash"),
         ),
     ).drop("_inferred", "_head", "_kind")
