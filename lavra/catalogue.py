@@ -17,6 +17,7 @@ from lavra.streaming import incremental
 c = F.col
 # A site of six pages with a cycle, another host, a PDF and a missing page, and its links.
 GRAPH = [
+    ("https://a.example/", "https://a.example/w"), ("https://a.example/w", "https://a.example/zz"), ("https://a.example/x", "https://a.example/b2"), ("https://a.example/b2", "https://a.example/w"), ("https://a.example/zz", "https://a.example/"),
     ("https://a.example/", "https://a.example/x"), ("https://a.example/", "https://a.example/y"), ("https://a.example/", "https://b.example/"),
     ("https://a.example/x", "https://a.example/"), ("https://a.example/x", "https://a.example/z"), ("https://a.example/y", "https://a.example/z"),
     ("https://a.example/y", "https://a.example/doc.pdf"), ("https://a.example/z", "https://a.example/deep"), ("https://a.example/z", "https://sub.a.example/w"),
@@ -273,8 +274,23 @@ def site_crawl(s, d):
     return crawl.crawl(own, crawl.CrawlOptions(seed, max_depth=2)).groupBy("depth", "outcome").agg(F.count("*").alias("urls"))
 
 
+class _Capitals:
+    """A stand-in for a model: capitals, and an error where a text has a 7 among its first 40 characters."""
+
+    def __call__(self, part: str) -> str:
+        if "7" in part[:40]:
+            raise ValueError("sete")
+        return part.upper()
+
+
 def refine_pipeline(s, d):
-    return plan.refine(table(s, d, "md"), "md_id", "path", "body").drop("text")
+    return plan.refine(table(s, d, "md"), "md_id", "path", "body").drop("text", "chunks", "chunk_errors")
+
+
+def refine_by_model(s, d):
+    """The pipeline with a required refiner that fails on some documents."""
+    done = plan.refine(table(s, d, "md"), "md_id", "path", "body", plan.Refiner("google", "m-1", _Capitals(), heuristic=True, required=True))
+    return done.select("md_id", "outcome", "llm_applied", "provider", "model", F.sha1("text").alias("h"))
 
 
 def refine_counters(s, d):
@@ -282,7 +298,34 @@ def refine_counters(s, d):
 
 
 def refine_events(s, d):
-    return plan.event_log(plan.refine(table(s, d, "md"), "md_id", "path", "body"), "path").select("event", F.to_json("fields").alias("fields"))
+    done = plan.event_log(plan.refine(table(s, d, "md"), "md_id", "path", "body"), "path")
+    return done.select("event", *[F.coalesce(F.element_at("fields", k), F.lit("")).alias(k) for k in ("file", "output", "reason", "simhash64_hex", "llm_applied")])
+
+
+def _read_again(files: DataFrame) -> DataFrame:
+    """(name, meta, body) of written documents."""
+    return files.select("name", read_document(c("content")).alias("d")).select("name", "d.*")
+
+
+def refined_documents(s, d):
+    md = table(s, d, "md")
+    done = plan.refine(md, "md_id", "path", "body").join(md.select("md_id", "front_matter"), "md_id")
+    read = _read_again(plan.refined_files(done, "path", "front_matter"))
+    pick = [F.coalesce(F.element_at("meta", k), F.lit("")).alias(k) for k in ("source_url", "act_year", "refined_by", "refined_model", "content_hash")]
+    return read.select("name", *pick, F.sha1("body").alias("h"))
+
+
+def enriched_documents(s, d):
+    read = _read_again(plan.enriched_files(_meta(s, d), "path", "yaml", "body", source="acervo"))
+    pick = [F.coalesce(F.element_at("meta", k), F.lit("")).alias(k) for k in ("act_type", "act_number", "act_year", "act_date", "source")]
+    return read.select("name", *pick, F.sha1("body").alias("h"))
+
+
+def pdf_documents(s, d):
+    pdfs = table(s, d, "pdf_conversions")
+    read = _read_again(plan.pdf_files(pdfs.select("pdf_id", "source_pdf", "body"), "source_pdf", "body"))
+    pick = [F.coalesce(F.element_at("meta", k), F.lit("")).alias(k) for k in ("source_pdf", "act_type", "act_number")]
+    return read.select("name", *pick, F.sha1("body").alias("h"))
 
 
 def manifest_append(s, d):
@@ -325,7 +368,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         quality_gate, quality_gate_md, llm_useful, normalized_hash, exact_dups, token_freq, simhash64, near_dup_pairs, greedy_dedup, url_normalize, url_parts,
         url_scope, output_names, refined_names, short_hashes, page_links, link_scope_counts, new_links, page_heads, page_text, page_gate, page_markdown, page_saves,
         changed_panels, act_metadata, act_dates, front_matter_split, front_matter_yaml, enrich_merge, validate_rules, audit, audit_summary, audit_results, audit_report,
-        chunk_text, strip_wrappers, pdf_bodies, bfs_crawl, site_crawl, refine_pipeline, refine_counters, refine_events, manifest_append, manifest_anti_join,
+        chunk_text, strip_wrappers, pdf_bodies, bfs_crawl, site_crawl, refine_pipeline, refine_by_model, refined_documents, enriched_documents, pdf_documents, refine_counters, refine_events, manifest_append, manifest_anti_join,
         manifest_rebuild, event_windows, stream_gate,
     )
     return {f.__name__: f for f in names}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lavra.catalogue import DOCUMENTS, GRAPH
+from lavra.catalogue import DOCUMENTS, GRAPH, PAGES
 from lavra.functions import legal, text, url
 
 # White space as Python has it; RE2's own class is ASCII only.
@@ -220,10 +220,10 @@ val AS (SELECT *, list_filter([
 
 _DOE_TEXT = f"""CASE WHEN doe THEN '{{"numero": "' || doe_no || '", "pagina": ' || page || '}}' WHEN {has_key('doe')} THEN {given('doe')}
   WHEN i_doe THEN '{{"numero":"' || i_doen || '","data":"' || i_doed || '","pagina":"' || i_doep || '"}}' ELSE '' END"""
-_CHANGED = " OR ".join(
-    f"(NOT {has_key(k)} AND {v})"
-    for k, v in (("act_type", "i_type <> ''"), ("act_number", "i_number <> ''"), ("act_year", "i_year <> ''"), ("act_date", "i_date <> ''"), ("doe", "i_doe"),
-                 ("status", "i_status <> ''"), ("aliases", "i_type <> '' AND i_number <> ''"), ("owner", "true"))
+_CHANGED, _CHANGED_SOURCE = (
+    " OR ".join(f"(NOT {has_key(k)} AND {v})" for k, v in (("act_type", "i_type <> ''"), ("act_number", "i_number <> ''"), ("act_year", "i_year <> ''"), ("act_date", "i_date <> ''"), ("doe", "i_doe"),
+                 ("status", "i_status <> ''"), ("aliases", "i_type <> '' AND i_number <> ''"), (last, "true")))
+    for last in ("owner", "source")
 )
 
 
@@ -270,6 +270,52 @@ def _pdf(x: str) -> str:
 
 _LEVELS = ", ".join(f"('{a}', '{b}')" for a, b in GRAPH)
 
+
+
+def _bfs(depth: int, budget: int) -> str:
+    """The crawl level by level: each ranks what it visits by the rank of the page before, then by name."""
+    ctes = [
+        f"g(src, dst) AS (VALUES {_LEVELS})", "site AS (SELECT * FROM g WHERE contains(dst, 'a.example/') AND NOT ends_with(dst, '.jpg'))",
+        "known AS (SELECT DISTINCT src FROM g UNION SELECT 'https://sub.a.example/w')", "found0 AS (SELECT 'https://a.example/' AS url, 0 AS parent)", "before0 AS (SELECT 0 AS n)",
+    ]
+    for k in range(depth + 1):
+        outcome = "CASE WHEN starts_with(url, 'https://a.example/y') THEN 'blocked' WHEN ends_with(url, '.pdf') THEN 'pdf' WHEN url NOT IN (SELECT src FROM known) THEN 'missing' ELSE 'visited' END"
+        ctes.append(f"judged{k} AS (SELECT url, parent, {outcome} AS outcome FROM found{k})")
+        ctes.append(f"rank{k} AS (SELECT url, row_number() OVER (ORDER BY parent, url) AS r FROM judged{k} WHERE outcome = 'visited' QUALIFY r <= {budget} - (SELECT n FROM before{k}))")
+        ctes.append(f"level{k} AS (SELECT url, {k}::INT AS depth, CASE WHEN outcome = 'visited' AND url NOT IN (SELECT url FROM rank{k}) THEN 'over_budget' ELSE outcome END AS outcome FROM judged{k} WHERE (SELECT n FROM before{k}) < {budget})")
+        ctes.append(f"before{k + 1} AS (SELECT n + (SELECT count(*) FROM rank{k}) AS n FROM before{k})")
+        seen = " UNION ALL ".join(f"SELECT url FROM found{j}" for j in range(k + 1))
+        ctes.append(f"found{k + 1} AS (SELECT dst AS url, min(r) AS parent FROM site JOIN rank{k} ON src = rank{k}.url WHERE dst NOT IN ({seen}) GROUP BY dst)")
+    return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(f"SELECT * FROM level{k}" for k in range(depth + 1))
+
+
+# The entities that the pages have.
+_ENTITIES = {"&nbsp;": "chr(160)", "&#xE1;": "'á'", "&atilde;": "'ã'", "&ccedil;": "'ç'", "&#237;": "'í'", "&eacute;": "'é'", "&oacute;": "'ó'", "&otilde;": "'õ'", "&gt;": "'>'", "&lt;": "'<'", "&quot;": "chr(34)", "&copy;": "'©'", "&middot;": "'·'", "&amp;": "'&'"}
+_DROPPED = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<noscript\b[^>]*>.*?</noscript\s*>"
+
+
+def _plain(x: str) -> str:
+    bare = f"regexp_replace(regexp_replace({x}, '{_DROPPED}', '', 'g'), '<[^>]*>', chr(10), 'g')"
+    for entity, char in _ENTITIES.items():
+        bare = f"replace({bare}, '{entity}', {char})"
+    lines = f"list_transform(regexp_split_to_array({bare}, '[\\n\\r\\x0b\\x0c]'), lambda l: {strip('l')})"
+    return f"coalesce(array_to_string(list_filter({lines}, lambda l: l <> ''), chr(10)), '')"
+
+
+_PAGES = ", ".join(f"({-k - 1}, {_quoted(u)}, {_quoted(h)})" for k, (u, h) in enumerate(PAGES))
+_ALL_PAGES = f"p AS (SELECT page_id, url, html FROM pages UNION ALL SELECT * FROM (VALUES {_PAGES}) v(page_id, url, html))"
+
+
+def _meta_date(name: str, value: str) -> str:
+    element = f"regexp_extract(html, '(?i)(<meta\\b[^>]*?\\b{name}\\s*=\\s*\"{value}\"[^>]*>)', 1)"
+    return f"nullif({strip(f'regexp_extract({element}, {_quoted(_CONTENT)}, 1)')}, '')"
+
+
+_CONTENT = r'(?i)\bcontent\s*=\s*"([^"]*)"'
+_LINK = r'(?i)(<link\b[^>]*?\brel="canonical"[^>]*>)'
+_HREF_OF = r'(?i)\bhref="([^"]+)"'
+_HREFS = f"regexp_extract(regexp_extract(html, {_quoted(_LINK)}, 1), {_quoted(_HREF_OF)}, 1)"
+
 SQL: dict[str, str] = {
     "quality_gate": f"SELECT doc_id, {markers('text')} AS markers, {low_quality('text')} AS low FROM documents",
     "quality_gate_md": f"SELECT md_id, {low_quality(collapsed('body'))} AS low FROM md",
@@ -289,8 +335,11 @@ SQL: dict[str, str] = {
     "page_links": f"WITH {_LINKS} SELECT page_id, link FROM links",
     "link_scope_counts": f"WITH {_LINKS} SELECT source, count(*) AS links, count(*) FILTER (WHERE {in_scope('link', 'source')}) AS inside, count(*) FILTER (WHERE {ext('link')} = '.pdf') AS pdfs FROM links GROUP BY source",
     "new_links": f"WITH {_LINKS} SELECT DISTINCT link AS url FROM links WHERE link NOT IN (SELECT {normal_url('url')} FROM pages WHERE url IS NOT NULL)",
-    "page_heads": f"""SELECT page_id, {strip("regexp_extract(html, '(?i)<html\\b[^>]*?\\blang\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1)")} AS lang, {strip("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,
-        CASE WHEN html IS NULL THEN '' ELSE coalesce(nullif(regexp_extract(html, '(?i)<meta\\s+property="article:modified_time"\\s+content="([^"]*)"', 1), ''), '') END AS modified, url AS canonical FROM pages WHERE NOT contains(coalesce(html, ''), 'rel="canonical"')""",
+    "page_heads": f"""WITH {_ALL_PAGES}, h AS (SELECT *, {_HREFS} AS href FROM p), r AS (SELECT *, {resolved('url', 'href')} AS absolute FROM h)
+        SELECT page_id, {strip("regexp_extract(html, '(?i)<html\\b[^>]*?\\blang\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1)")} AS lang, {strip("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,
+        coalesce({', '.join(_meta_date(*m) for m in (('property', 'article:modified_time'), ('name', 'last-modified'), ('name', 'modified'), ('itemprop', 'dateModified')))}, '') AS modified,
+        CASE WHEN coalesce(href, '') = '' THEN url ELSE coalesce(nullif({normal_url('absolute')}, ''), url) END AS canonical FROM r""",
+    "page_text": f"SELECT page_id, {_plain('html')} AS text FROM pages",
     "changed_panels": "SELECT item_id, coalesce(html, '') <> coalesce(lag(html) OVER (PARTITION BY url ORDER BY captured_at NULLS FIRST, item_id), '') AS changed FROM menu_items",
     "act_metadata": f"WITH src AS (SELECT md_id, coalesce(body, '') AS body FROM md), {_INFER.replace('{src}', 'src')} SELECT md_id, i_type AS act_type, i_number AS act_number, i_year AS act_year, i_date AS act_date, i_doen AS doe_number, i_status AS status, CASE WHEN i_type <> '' AND i_number <> '' THEN i_type || ' ' || i_number || CASE WHEN i_year <> '' THEN '/' || i_year ELSE '' END ELSE '' END AS aliases FROM inf",
     "act_dates": "WITH t AS (SELECT * FROM (VALUES " + ", ".join(f"('{x}')" for x in _DATES) + f") v(t) UNION ALL (SELECT DISTINCT coalesce(regexp_extract(body, '^([^\\n]*)', 1), '') FROM pdf_conversions)) SELECT t, {iso('t')} AS iso FROM t",
@@ -310,6 +359,16 @@ SQL: dict[str, str] = {
     "strip_wrappers": f"WITH m AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN {_NOTE} || coalesce(html, '') WHEN 1 THEN '```md' || chr(10) || coalesce(html, '') || chr(10) || '```' ELSE coalesce(html, '') END AS x FROM menu_items) SELECT item_id, sha1({_wrapped('x')}) AS h FROM m",
     "pdf_bodies": f"WITH b AS (SELECT source_pdf AS path, {_pdf('body')} AS b FROM pdf_conversions) SELECT path AS source_pdf, CASE WHEN b <> '' THEN {_STEM} || '__' || substr(sha1(b), 1, 10) || '.md' ELSE '' END AS out, sha1(b) AS h, b = '' AS failed FROM b",
     "refine_pipeline": f"WITH RECURSIVE {_REFINE} SELECT * FROM refined",
+    "refine_by_model": f"""WITH RECURSIVE {_REFINE}, u AS (SELECT md_id, outcome, text, outcome = 'ok' AND {useful('text')} AS used, contains(substr({strip('text')}, 1, 40), '7') AS fails FROM outc)
+        SELECT md_id, CASE WHEN used AND fails THEN 'error' ELSE outcome END AS outcome, used AND NOT fails AS llm_applied, CASE WHEN used AND NOT fails THEN 'google' ELSE '' END AS provider,
+        CASE WHEN used AND NOT fails THEN 'm-1' ELSE '' END AS model, sha1(CASE WHEN outcome <> 'ok' OR used AND fails THEN '' WHEN used THEN upper({strip('text')}) ELSE text END) AS h FROM u""",
+    "refine_events": f"WITH RECURSIVE {_REFINE} SELECT outcome AS event, path AS file, out AS output, reason, CASE WHEN outcome = 'ok' THEN simhash64_hex ELSE '' END AS simhash64_hex, CASE WHEN outcome = 'ok' THEN 'false' ELSE '' END AS llm_applied FROM refined",
+    "refined_documents": f"""WITH RECURSIVE {_RAW}, {_META}, {_REFINE} SELECT out AS name, {given('source_url')} AS source_url, {given('act_year')} AS act_year, 'local' AS refined_by, '' AS refined_model, content_hash, sha1(text) AS h
+        FROM refined JOIN metas USING (md_id) JOIN (SELECT md_id, text FROM outc) t USING (md_id) WHERE outcome = 'ok'""",
+    "enriched_documents": f"WITH {_RAW}, {_META}, {_INFER.replace('{src}', 'metas')} SELECT path AS name, "
+    + ", ".join(f"CASE WHEN {has_key(k)} THEN {given(k)} ELSE {v} END AS {k}" for k, v in (("act_type", "i_type"), ("act_number", "i_number"), ("act_year", "i_year"), ("act_date", "i_date"), ("source", "'acervo'")))
+    + f", sha1({strip('body')}) AS h FROM inf WHERE {_CHANGED_SOURCE}",
+    "pdf_documents": f"WITH b AS (SELECT source_pdf AS path, {_pdf('body')} AS body FROM pdf_conversions), {_INFER.replace('{src}', 'b')} SELECT {_STEM} || '__' || substr(sha1(body), 1, 10) || '.md' AS name, path AS source_pdf, i_type AS act_type, i_number AS act_number, sha1(body) AS h FROM inf WHERE body <> ''",
     "refine_counters": f"WITH RECURSIVE {_REFINE} SELECT count(*) AS input_files, count(*) FILTER (WHERE outcome = 'ok') AS refined_files, count(*) FILTER (WHERE outcome = 'duplicate') AS duplicates, count(*) FILTER (WHERE outcome = 'error') AS failed_files FROM refined",
     "manifest_append": f"WITH RECURSIVE {_REFINE}, r AS (SELECT path AS \"in\", 'data/1_markdowns_limpos/' || out AS out, simhash64_hex FROM refined WHERE outcome = 'ok') SELECT * FROM r WHERE out NOT IN (SELECT out FROM manifest WHERE out IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY out ORDER BY \"in\") = 1",
     "manifest_anti_join": f"SELECT out FROM (SELECT 'data/1_markdowns_limpos/' || {REF} AS out FROM md) WHERE out NOT IN (SELECT out FROM manifest WHERE out <> '')",
@@ -319,13 +378,7 @@ SQL: dict[str, str] = {
         SELECT coalesce(nullif({given('source_in')}, ''), original, '') AS "in", 'data/1_markdowns_limpos/' || stem || '__REF.md' AS out, CASE WHEN h IS NULL THEN '0xffffffffffffffff' ELSE '0x' || lower(to_hex(h)) END AS simhash64_hex,
         who IN ('gemini', 'ollama') AS llm_applied, CASE who WHEN 'gemini' THEN 'google' WHEN 'ollama' THEN 'ollama' ELSE '' END AS provider
         FROM named LEFT JOIN o USING (stem) LEFT JOIN hashed USING (md_id)""",
-    "bfs_crawl": f"""WITH RECURSIVE g(src, dst) AS (VALUES {_LEVELS}), site AS (SELECT * FROM g WHERE (dst = 'https://a.example' OR contains(dst, 'a.example/')) AND NOT ends_with(dst, '.jpg')),
-        known AS (SELECT DISTINCT src FROM g UNION SELECT 'https://sub.a.example/w'),
-        walk AS (SELECT 'https://a.example/' AS url, 0 AS depth UNION SELECT dst, depth + 1 FROM walk JOIN site ON src = url WHERE depth < 3 AND NOT starts_with(url, 'https://a.example/y')),
-        best AS (SELECT url, min(depth) AS depth FROM walk GROUP BY url),
-        j AS (SELECT url, depth, CASE WHEN starts_with(url, 'https://a.example/y') THEN 'blocked' WHEN ends_with(url, '.pdf') THEN 'pdf' WHEN url NOT IN (SELECT src FROM known) THEN 'missing' ELSE 'visited' END AS outcome FROM best),
-        n AS (SELECT *, sum((outcome = 'visited')::INT) OVER (ORDER BY depth, url) AS k FROM j), lim AS (SELECT coalesce(min(depth), 99) AS last FROM n WHERE k = 4 AND outcome = 'visited')
-        SELECT url, depth::INT AS depth, CASE WHEN outcome = 'visited' AND k > 4 THEN 'over_budget' ELSE outcome END AS outcome FROM n, lim WHERE depth <= last""",
+    "bfs_crawl": _bfs(3, 4),
     "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "stream_gate": f"SELECT doc_id FROM documents WHERE NOT {low_quality('text')}",
 }

@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lavra.functions.legal import legal_metadata
-from lavra.functions.text import collapse_newlines, content_hash, is_low_quality, llm_is_useful, merge_metadata, pdf_body
+from lavra.functions.text import collapse_newlines, content_hash, is_low_quality, llm_is_useful, merge_metadata, pdf_body, strip
 from lavra.functions.url import refined_name
+from lavra.functions.yaml_map import with_metadata
 from lavra.operators.chunks import cut
 from lavra.operators.simhash import bits_of, greedy_kept, simhashes
 from lavra.session import Scratch
@@ -49,10 +50,12 @@ class Refiner:
 
 
 def refine(docs: DataFrame, key: str, path: str, body: str, refiner: Refiner | None = None) -> DataFrame:
-    """(key, path, outcome, reason, out, simhash64_hex, llm_applied, provider, model, content_hash, text) for each document.
+    """(key, path, outcome, reason, out, simhash64_hex, llm_applied, provider, model, chunks, chunk_errors, content_hash, text) for each
+    document.
 
     ``outcome`` is 'ok', 'duplicate' (a kept document before it, in the order of ``key``, is within 3 bits) or 'error' (empty,
-    of low quality, or without terms). Inputs stay where they are; the outcome takes the place of moving files.
+    of low quality, without terms, or a required refiner failed on it: that one document, not the run). A document that fails in the
+    refiner still shadows its duplicates. Inputs stay where they are; the outcome takes the place of moving files.
     """
     scratch = Scratch(docs.sparkSession, "refine")
     text = F.coalesce(collapse_newlines(F.col(body)), F.lit(""))
@@ -67,15 +70,17 @@ def refine(docs: DataFrame, key: str, path: str, body: str, refiner: Refiner | N
     done = done.withColumn("reason", F.coalesce("bad", F.when(F.col("simhash").isNull(), "no terms"), F.when(F.col("outcome") == "duplicate", "hamming<=3"), F.lit("")))
     ok = F.col("outcome") == "ok"
     if refiner is None:
-        done = done.withColumn("applied", F.lit(False))
+        done = done.withColumn("applied", F.lit(False)).withColumns({"chunks": F.lit(0), "chunk_errors": F.lit(0)})
     else:
         use = ok & (llm_is_useful(F.col("text")) if refiner.heuristic else F.lit(True))
         done = _refined(done.withColumn("applied", use), refiner)
+        # The work is done once, whatever is read of it.
+        done = scratch.write(done, "refined")
     return done.select(
         F.col("id").alias(key), F.col("path").alias(path), "outcome", "reason", F.when(ok, refined_name(F.col("path"))).otherwise("").alias("out"),
         F.when(F.col("simhash").isNotNull(), F.concat(F.lit("0x"), F.regexp_replace("simhash", "^0+(?=.)", ""))).otherwise("").alias("simhash64_hex"),
         F.col("applied").alias("llm_applied"), F.when(F.col("applied"), refiner.provider if refiner else "").otherwise("").alias("provider"),
-        F.when(F.col("applied"), refiner.model if refiner else "").otherwise("").alias("model"), F.when(ok, content_hash(F.col("text"))).otherwise("").alias("content_hash"),
+        F.when(F.col("applied"), refiner.model if refiner else "").otherwise("").alias("model"), F.col("chunks"), F.col("chunk_errors"), F.when(ok, content_hash(F.col("text"))).otherwise("").alias("content_hash"),
         F.when(ok, F.col("text")).otherwise("").alias("text"),
     )
 
@@ -83,10 +88,59 @@ def refine(docs: DataFrame, key: str, path: str, body: str, refiner: Refiner | N
 def _refined(done: DataFrame, refiner: Refiner) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [refiner.refine(t)[0] if a else t for a, t in zip(batch["applied"], batch["text"], strict=True)]
-            yield batch.assign(text=texts)
+            rows = []
+            for applied, text, outcome, reason in zip(batch["applied"], batch["text"], batch["outcome"], batch["reason"], strict=True):
+                try:
+                    rows.append((*(refiner.refine(text) if applied else (text, 0, 0)), applied, outcome, reason))
+                except Exception as e:
+                    rows.append((text, 0, 0, False, "error", f"refiner: {e}"))
+            new = pd.DataFrame(rows, columns=["text", "chunks", "chunk_errors", "applied", "outcome", "reason"])
+            yield batch.drop(columns=list(new.columns)).reset_index(drop=True).join(new)[names]
+
+    own = done.withColumns({"chunks": F.lit(0), "chunk_errors": F.lit(0)})
+    names = own.columns
+    return own.mapInPandas(run, own.schema)
+
+
+def refined_files(refined: DataFrame, path: str, yaml: str) -> DataFrame:
+    """(name, content): the refined documents as files. ``refined`` has the columns of :func:`refine` and, in ``yaml``, each document's
+    own front matter, whose keys stay in their order; those of the refinement are set."""
+    by = F.when(F.col("provider") == "google", "gemini").when(F.col("provider") == "ollama", "ollama").otherwise("local")
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    applied = F.col("llm_applied")
+    updates = F.to_json(
+        F.struct(
+            by.alias("refined_by"), F.when(applied, F.col("model")).alias("refined_model"), F.when(applied, now).alias("refined_at"),
+            F.when(applied, F.col("chunks")).alias("llm_chunks"), F.when(applied, F.col("chunk_errors")).alias("llm_chunk_errors"), F.col("content_hash"),
+        )
+    )
+    ok = refined.where("outcome = 'ok'")
+    return ok.select(F.col("out").alias("name"), F.concat(with_metadata(F.col(yaml), updates, True), F.col("text"), F.lit("\n")).alias("content"))
+
+
+def enriched_files(docs: DataFrame, path: str, yaml: str, body: str, **constants: str) -> DataFrame:
+    """(name, content) of the documents that enrichment changes: their own front matter with what the body says of missing keys."""
+    done = enriched(docs, "meta", body, **constants).where("changed").withColumn("_m", legal_metadata(F.coalesce(F.col(body), F.lit(""))))
+    return done.select(
+        F.col(path).alias("name"), F.concat(with_metadata(F.col(yaml), inferred_json(F.col("_m"), constants), False), strip(F.col(body)), F.lit("\n")).alias("content")
+    )
+
+
+def inferred_json(m: Column, constants: dict[str, str] | None = None) -> Column:
+    """What a body says of its act (a result of ``legal_metadata``), as a JSON object without what is missing; ``constants`` come last."""
+    keep = [F.nullif(m[k], F.lit("")).alias(k) for k in ("act_type", "act_number", "act_year", "act_date")]
+    more = [F.lit(v).alias(k) for k, v in (constants or {}).items() if v]
+    aliases = F.when(F.size(m["aliases"]) > 0, m["aliases"]).alias("aliases")
+    return F.to_json(F.struct(*keep, m["doe"].alias("doe"), F.nullif(m["status"], F.lit("")).alias("status"), aliases, *more))
+
 
-    return done.mapInPandas(run, done.schema)
+def pdf_files(pdfs: DataFrame, path: str, text: str, extracted: Column | None = None) -> DataFrame:
+    """(name, content) of the converted PDFs: source, time of extraction and what the text says, which wins over both, then the body."""
+    done = converted_pdfs(pdfs, path, text).where("NOT failed").withColumn("_m", legal_metadata(F.col("body")))
+    now = F.date_format(extracted if extracted is not None else F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    base = F.to_json(F.struct(F.col(path).alias("source_pdf"), now.alias("extracted_at")))
+    # JSON is YAML: the base is read as the document's own front matter.
+    return done.select(F.col("out").alias("name"), F.concat(with_metadata(base, inferred_json(F.col("_m")), True), F.col("body"), F.lit("\n")).alias("content"))
 
 
 def manifest_records(refined: DataFrame, path: str) -> DataFrame:
@@ -115,7 +169,8 @@ def event_log(refined: DataFrame, path: str) -> DataFrame:
     fields = F.map_filter(
         F.create_map(
             F.lit("file"), F.col(path), F.lit("output"), F.nullif("out", F.lit("")), F.lit("reason"), F.nullif("reason", F.lit("")),
-            F.lit("simhash64_hex"), F.when(F.col("outcome") == "ok", F.col("simhash64_hex")),
+            F.lit("simhash64_hex"), F.when(F.col("outcome") == "ok", F.col("simhash64_hex")), F.lit("llm_applied"), F.when(F.col("outcome") == "ok", F.col("llm_applied").cast("string")),
+            F.lit("provider"), F.when(F.col("outcome") == "ok", F.col("provider")), F.lit("model"), F.when(F.col("outcome") == "ok", F.col("model")),
         ),
         lambda k, v: v.isNotNull(),
     )
@@ -142,7 +197,9 @@ def rebuilt_manifest(files: DataFrame, raw: DataFrame) -> DataFrame:
 
 def enriched(docs: DataFrame, meta: str, body: str, **constants: str) -> DataFrame:
     """``docs`` with ``meta`` completed by what the body says (and ``constants``), and ``changed``; existing keys win."""
-    found = legal_metadata(F.coalesce(F.col(body), F.lit("")))
+    # A column of its own, as it is used many times.
+    docs = docs.withColumn("_found", legal_metadata(F.coalesce(F.col(body), F.lit(""))))
+    found = F.col("_found")
     pairs = []
     for k in ("act_type", "act_number", "act_year", "act_date", "status"):
         pairs += [F.lit(k), F.nullif(found[k], F.lit(""))]
@@ -153,7 +210,7 @@ def enriched(docs: DataFrame, meta: str, body: str, **constants: str) -> DataFra
             pairs += [F.lit(k), F.lit(v)]
     before = F.coalesce(F.col(meta), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
     after = merge_metadata(before, F.create_map(*pairs))
-    return docs.withColumn("_before", before).withColumn(meta, after).withColumn("changed", F.size(meta) > F.size("_before")).drop("_before")
+    return docs.withColumn("_before", before).withColumn(meta, after).withColumn("changed", F.size(meta) > F.size("_before")).drop("_before", "_found")
 
 
 def converted_pdfs(pdfs: DataFrame, path: str, text: str) -> DataFrame:
