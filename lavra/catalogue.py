@@ -186,6 +186,20 @@ def page_saves(s, d):
     return saved_pages(_gated(s, d), html.canonical(c("html"), c("url")), html.title(c("html")), html.language(c("html")), html.modified(c("html")), c("main"), "txt").select("name", F.sha1("content").alias("h"))
 
 
+def menu_scan(s, d):
+    """The lower headings of each page, as a menu."""
+    from lavra.operators import menu
+
+    return menu.menu_items(table(s, d, "pages"), "page_id", "html", "h2")
+
+
+def panel_pdfs(s, d):
+    from lavra.operators import menu
+
+    extra = s.createDataFrame([(-1, "https://h.example/m/x", '<a href="d/Ato 1.PDF">a</a><a class=k href="/e.html">b</a><a href=\'https://o.example/q.pdf?x=1&amp;y=2\'>c</a>')], "item_id BIGINT, url STRING, html STRING")
+    return menu.linked_pdfs(table(s, d, "menu_items").select("item_id", "url", "html").union(extra), "item_id", "url", "html")
+
+
 def changed_panels(s, d):
     return crawl.changed_panels(table(s, d, "menu_items")).select("item_id", "changed")
 
@@ -367,7 +381,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = (
         quality_gate, quality_gate_md, llm_useful, normalized_hash, exact_dups, token_freq, simhash64, near_dup_pairs, greedy_dedup, url_normalize, url_parts,
         url_scope, output_names, refined_names, short_hashes, page_links, link_scope_counts, new_links, page_heads, page_text, page_gate, page_markdown, page_saves,
-        changed_panels, act_metadata, act_dates, front_matter_split, front_matter_yaml, enrich_merge, validate_rules, audit, audit_summary, audit_results, audit_report,
+        menu_scan, panel_pdfs, changed_panels, act_metadata, act_dates, front_matter_split, front_matter_yaml, enrich_merge, validate_rules, audit, audit_summary, audit_results, audit_report,
         chunk_text, strip_wrappers, pdf_bodies, bfs_crawl, site_crawl, refine_pipeline, refine_by_model, refined_documents, enriched_documents, pdf_documents, refine_counters, refine_events, manifest_append, manifest_anti_join,
         manifest_rebuild, event_windows, stream_gate,
     )

@@ -340,6 +340,11 @@ SQL: dict[str, str] = {
         coalesce({', '.join(_meta_date(*m) for m in (('property', 'article:modified_time'), ('name', 'last-modified'), ('name', 'modified'), ('itemprop', 'dateModified')))}, '') AS modified,
         CASE WHEN coalesce(href, '') = '' THEN url ELSE coalesce(nullif({normal_url('absolute')}, ''), url) END AS canonical FROM r""",
     "page_text": f"SELECT page_id, {_plain('html')} AS text FROM pages",
+    "menu_scan": f"""WITH e AS (SELECT page_id, regexp_extract_all(html, '(?is)<h2\\b[^>]*>(.*?)</h2>', 1) AS l FROM pages), x AS (SELECT page_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM e)
+        SELECT page_id, i::INT AS dom_index, {_plain('x')} AS label FROM x WHERE {_plain('x')} <> ''""",
+    "panel_pdfs": f"""WITH m AS (SELECT item_id, url, html FROM menu_items UNION ALL SELECT -1, 'https://h.example/m/x', '<a href="d/Ato 1.PDF">a</a><a class=k href="/e.html">b</a><a href=''https://o.example/q.pdf?x=1&amp;y=2''>c</a>'),
+        h AS (SELECT item_id, url, replace(unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1)), '&amp;', '&') AS h FROM m), r AS (SELECT item_id, {resolved('url', 'h')} AS pdf_url FROM h)
+        SELECT item_id, pdf_url, {sanitize(f"coalesce(nullif(regexp_extract({part('pdf_url', 3)}, '([^/]*)[.][^./]*$', 1), ''), 'documento')", 150, False)} || '__' || substr(sha1(pdf_url), 1, 10) || '.pdf' AS name FROM r WHERE {ext('pdf_url')} = '.pdf'""",
     "changed_panels": "SELECT item_id, coalesce(html, '') <> coalesce(lag(html) OVER (PARTITION BY url ORDER BY captured_at NULLS FIRST, item_id), '') AS changed FROM menu_items",
     "act_metadata": f"WITH src AS (SELECT md_id, coalesce(body, '') AS body FROM md), {_INFER.replace('{src}', 'src')} SELECT md_id, i_type AS act_type, i_number AS act_number, i_year AS act_year, i_date AS act_date, i_doen AS doe_number, i_status AS status, CASE WHEN i_type <> '' AND i_number <> '' THEN i_type || ' ' || i_number || CASE WHEN i_year <> '' THEN '/' || i_year ELSE '' END ELSE '' END AS aliases FROM inf",
     "act_dates": "WITH t AS (SELECT * FROM (VALUES " + ", ".join(f"('{x}')" for x in _DATES) + f") v(t) UNION ALL (SELECT DISTINCT coalesce(regexp_extract(body, '^([^\\n]*)', 1), '') FROM pdf_conversions)) SELECT t, {iso('t')} AS iso FROM t",

@@ -77,7 +77,7 @@ def refine(docs: DataFrame, key: str, path: str, body: str, refiner: Refiner | N
         # The work is done once, whatever is read of it.
         done = scratch.write(done, "refined")
     return done.select(
-        F.col("id").alias(key), F.col("path").alias(path), "outcome", "reason", F.when(ok, refined_name(F.col("path"))).otherwise("").alias("out"),
+        *([] if key == path else [F.col("id").alias(key)]), F.col("path").alias(path), "outcome", "reason", F.when(ok, refined_name(F.col("path"))).otherwise("").alias("out"),
         F.when(F.col("simhash").isNotNull(), F.concat(F.lit("0x"), F.regexp_replace("simhash", "^0+(?=.)", ""))).otherwise("").alias("simhash64_hex"),
         F.col("applied").alias("llm_applied"), F.when(F.col("applied"), refiner.provider if refiner else "").otherwise("").alias("provider"),
         F.when(F.col("applied"), refiner.model if refiner else "").otherwise("").alias("model"), F.col("chunks"), F.col("chunk_errors"), F.when(ok, content_hash(F.col("text"))).otherwise("").alias("content_hash"),

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lavra.functions.text import front_matter, front_matter_body
-from lavra.functions.yaml_map import read_yaml
+from lavra.functions.text import front_matter
+from lavra.functions.yaml_map import read_document
 
 # Subtrees that are never input.
 EXCLUDED = ("_processados", "_com_erro", "log")
@@ -17,24 +20,45 @@ MANIFEST = "ts STRING, `in` STRING, out STRING, simhash64_hex STRING, llm_applie
 
 
 def read_bytes(spark: SparkSession, folder: str, pattern: str, recursive: bool = True) -> DataFrame:
-    """(path, content): the files of a folder whose names match."""
+    """(path, content): the files of a folder whose names match; Spark leaves out files of no bytes."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
     return reader.load(folder).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
 
 
-def markdown_texts(spark: SparkSession, folder: str, pattern: str = "*.md", everything: bool = False, recursive: bool = True) -> DataFrame:
-    """(path, raw): Markdown files as texts, '' if they are no UTF-8; without the excluded subtrees unless ``everything``."""
-    files = read_bytes(spark, folder, pattern, recursive)
-    if not everything:
+@F.pandas_udf(T.StringType())
+def _without_bad_bytes(contents: pd.Series) -> pd.Series:
+    return contents.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+
+def markdown_texts(spark: SparkSession, folder: str, pattern: str = "*.md", everything: bool = False, recursive: bool = True, only: str | None = None, ignore_bad: bool = False) -> DataFrame:
+    """(path, raw): Markdown files as texts, in no order; '' if they are no UTF-8, or without the bad bytes with ``ignore_bad``.
+
+    The excluded subtrees are left out unless ``everything``. ``only`` is a file, a path below the folder or a pattern of names; with it
+    nothing is excluded.
+    """
+    if only:
+        direct = next((p for p in (only, f"{folder.rstrip('/')}/{only}") if os.path.isfile(p)), None)
+        files = read_bytes(spark, direct, "*", False) if direct else read_bytes(spark, folder, only.rsplit("/", 1)[-1], True)
+        if direct is None and "/" in only:
+            files = files.where(F.col("path").rlike(_glob(only)))
+    else:
+        files = read_bytes(spark, folder, pattern, recursive)
+    if not everything and not only:
         for part in EXCLUDED:
             files = files.where(~F.col("path").contains(f"/{part}/"))
-    return files.select("path", F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.lit("")).alias("raw"))
+    text = _without_bad_bytes("content") if ignore_bad else F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.lit(""))
+    return files.select("path", text.alias("raw"))
+
+
+def _glob(pattern: str) -> str:
+    """A path pattern as a regular expression for the end of a path."""
+    return "/" + "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c) for c in pattern.replace("**/", "")) + "$"
 
 
-def markdown_documents(spark: SparkSession, folder: str, pattern: str = "*.md", trim: bool = True, everything: bool = False, recursive: bool = True) -> DataFrame:
-    """(path, meta, body): front matter as a MAP and the body, stripped as the refiner does or as the validator does."""
-    raw = markdown_texts(spark, folder, pattern, everything, recursive)
-    return raw.select("path", read_yaml(front_matter(F.col("raw"))).alias("meta"), front_matter_body(F.col("raw"), trim).alias("body"))
+def markdown_documents(spark: SparkSession, folder: str, pattern: str = "*.md", trim: bool = True, everything: bool = False, recursive: bool = True, only: str | None = None, ignore_bad: bool = False) -> DataFrame:
+    """(path, yaml, meta, body): front matter as text and as a MAP, and the body, stripped as the refiner does or as the validator does."""
+    raw = markdown_texts(spark, folder, pattern, everything, recursive, only, ignore_bad)
+    return raw.select("path", front_matter(F.col("raw")).alias("yaml"), read_document(F.col("raw"), trim).alias("d")).select("path", "yaml", "d.*")
 
 
 def refined_documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -44,12 +44,13 @@ def write_reports(results: DataFrame, csv: str, markdown: str, root: str) -> Non
 
 
 def write_files(files: DataFrame, folder: str) -> None:
-    """One file for each (name, content), through a temporary name. For folders all executors share."""
+    """One file for each (name, content), through a temporary name. For folders all executors share; names may have folders."""
 
     def put(rows) -> None:
         Path(folder).mkdir(parents=True, exist_ok=True)
         for r in rows:
             to = os.path.join(folder, r.name)
+            os.makedirs(os.path.dirname(to), exist_ok=True)
             with open(f"{to}.tmp", "w", encoding="utf-8") as f:
                 f.write(r.content)
             os.replace(f"{to}.tmp", to)

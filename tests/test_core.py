@@ -3,10 +3,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lavra.config import Settings
+from lavra import cli
+from lavra.config import Settings, least_interval
 from lavra.functions import html, legal, text, url
-from lavra.functions.yaml_map import read_yaml
-from lavra.operators import chunks, crawl, simhash, validate
+from lavra.functions.yaml_map import read_document, read_yaml, with_metadata
+from lavra.operators import chunks, crawl, menu, simhash, validate
 from lavra.operators.components import components
 from lavra.operators.running import running_sum
 from lavra.operators.skew import join_counted
@@ -23,7 +24,8 @@ def one(spark, value, call):
 @pytest.mark.parametrize(
     ("raw", "want"),
     [
-        ("https://Example.com/noticias/?utm_source=mail&id=42#rodape", "https://example.com/noticias?id=42"),
+        ("https://Arquivo.Example/leis/?gclid=z&page=3#meio", "https://arquivo.example/leis?page=3"), ("https://a.example/b?id=50%&lang=p%C3%A3o+x&page=~*", "https://a.example/b?id=50%25&lang=p%C3%A3o+x&page=~%2A"),
+        ("https://a.example/c?i%64=%zz", "https://a.example/c?id=%25zz"),
         ("https://a.example//x///", "https://a.example/x"), ("https://a.example", "https://a.example/"), ("mailto:x@y.z", ""), ("", ""), (None, ""),
         ("https://a.example/#!/rota//b/", "https://a.example/#!/rota/b"), ("https://a.example/?ID=1&page=", "https://a.example/"),
         ("https://a.example/x;p=1?lang=pt&lang=en", "https://a.example/x?lang=pt&lang=en"),
@@ -35,28 +37,30 @@ def test_normalize_url(spark, raw, want):
 
 
 def test_scope_and_names(spark):
-    assert one(spark, "https://docs.example.com/a", lambda x: url.in_scope(x, F.lit("example.com")))
-    assert not one(spark, "https://notexample.com/a", lambda x: url.in_scope(x, F.lit("example.com")))
-    assert not one(spark, "https://example.com/a.JPG", lambda x: url.in_scope(x, F.lit("example.com")))
-    assert one(spark, "https://example.com/a.pdf", url.is_pdf)
+    inside = lambda x: url.in_scope(x, F.lit("casa.example"))
+    assert one(spark, "https://atas.casa.example:8443/q", inside) and one(spark, "https://CASA.example/edital.pdf", inside)
+    assert not one(spark, "https://minhacasa.example/q", inside) and not one(spark, "https://casa.example/logo.WebP", inside) and not one(spark, "", inside)
+    assert one(spark, "https://casa.example/edital.PDF#p3", url.is_pdf)
     assert one(spark, "x", lambda x: url.blocked_request(F.lit("image"), x))
-    name = one(spark, "https://example.com/uma/pagina", lambda x: url.output_filename(x, "txt"))
-    assert name.startswith("example.com_uma_pagina__") and name.endswith(".txt")
+    name = one(spark, "https://casa.example:81/leis//2001/#!/art/5", lambda x: url.output_filename(x, "md"))
+    assert name.startswith("casa.example_81_leis_2001_FRAG_art_5__") and len(name) == len("casa.example_81_leis_2001_FRAG_art_5__") + 11
     assert one(spark, "...", url.sanitize) == "documento" and one(spark, None, url.sanitize) == "documento"
     assert one(spark, "https://a.example/x/y?q", lambda x: url.resolve(x, F.lit("z"))) == "https://a.example/x/z"
     assert one(spark, "https://a.example/x/y/w", lambda x: url.resolve(x, F.lit("../.././b?c#d"))) == "https://a.example/b?c#d"
 
 
-@pytest.mark.parametrize(("x", "want"), [("14 de julho de 2026", "2026-07-14"), ("31 de fevereiro de 2026", ""), ("5 de foo de 2001 e 3/4/2005", ""), ("em 3-4-2005", "2005-04-03"), (None, "")])
+@pytest.mark.parametrize(("x", "want"), [("1 de Março de 1987", "1987-03-01"), ("3\u00a0de agosto\u00a0de 2011", "2011-08-03"), ("31 de abril de 2003", ""), ("5 de foo de 2001 e 3/4/2005", ""), ("em 3-4-2005", "2005-04-03"), (None, "")])
 def test_dates(spark, x, want):
     assert one(spark, x, legal.portuguese_date) == want
 
 
 def test_legal_metadata(spark):
-    m = one(spark, "# Portaria nº 27/2026, de 14 de julho de 2026\n\nTexto vigente. Pub. DOE nº 123, de 14/07/2026, p. 5", legal.legal_metadata)
-    assert (m.act_type, m.act_number, m.act_year, m.act_date, m.status, m.aliases) == ("Portaria", "27", "2026", "2026-07-14", "Vigente", ["Portaria 27/2026"])
-    assert (m.doe.numero, m.doe.pagina) == ("123", "5")
-    assert one(spark, "Resolucao nº 10", legal.act_type) == "Resolução"
+    for space in (" ", "\u00a0"):
+        text_ = f"# Ato nº{space}0081/1994, de 9{space}de maio de 1994\n\nFicam revogadas as normas. Pub.{space}DOE nº 6-C, de{space}11/05/1994, p.{space}72"
+        m = one(spark, text_, legal.legal_metadata)
+        assert (m.act_type, m.act_number, m.act_year, m.act_date, m.status, m.aliases) == ("Ato", "81", "1994", "1994-05-09", "Revogada", ["Ato 81/1994"])
+        assert (m.doe.numero, m.doe.data, m.doe.pagina) == ("6-C", "11/05/1994", "72")
+    assert one(spark, "Deliberacao no. 3", legal.act_type) == "Deliberação"
     assert one(spark, "formato", legal.act_type) == ""
     assert one(spark, "", legal.legal_metadata).aliases == []
 
@@ -156,18 +160,23 @@ def test_crawl(spark):
 
     links = spark.createDataFrame(GRAPH, "src STRING, dst STRING")
     got = {r.url: (r.depth, r.outcome) for r in crawl.crawl(links, crawl.CrawlOptions("https://a.example/", 1)).collect()}
-    assert got == {"https://a.example/": (0, "visited"), "https://a.example/x": (1, "visited"), "https://a.example/y": (1, "visited")}
+    assert got == {"https://a.example/": (0, "visited"), "https://a.example/w": (1, "visited"), "https://a.example/x": (1, "visited"), "https://a.example/y": (1, "visited")}
+    # What w leads to comes before what x leads to, whatever its name.
+    got = {r.url: r.outcome for r in crawl.crawl(links, crawl.CrawlOptions("https://a.example/", 2, 5)).collect()}
+    assert got["https://a.example/zz"] == "visited" and got["https://a.example/b2"] == "over_budget"
     assert crawl.crawl(links, crawl.CrawlOptions("https://a.example/"), stop=lambda: True).count() == 0
     with pytest.raises(ValueError):
         crawl.CrawlOptions("a.example")
     assert crawl.robots_policy(None, 403).can_fetch("*", "https://a.example/") is False and crawl.robots_policy("", 500) is None
 
 
-def test_settings():
-    got = Settings.load({"MAX_PAGES": "12", "MAX_DEPTH": "4", "RESPECT_ROBOTS_TXT": "false"})
-    assert (got.max_pages, got.max_depth, got.respect_robots) == (12, 4, False)
-    got = Settings.load({"MAX_PAGES": "muitos", "POLITENESS_DELAY": "rápido"})
-    assert (got.max_pages, got.politeness_delay) == (500, 0.6) and got.delay(2.0) == 2.0
+def test_settings(tmp_path):
+    got = Settings.load({"MAX_PAGES": "0", "MAX_DEPTH": "7", "SAME_DOMAIN_ONLY": "Sim", "HEADLESS": "não", "OUTPUT_FORMAT": " MD ", "CRAWLER_USER_AGENT": " "})
+    assert (got.max_pages, got.max_depth, got.same_domain_only, got.headless, got.output_format, got.user_agent) == (1, 7, True, False, "md", "SiteExtractor/1.0")
+    (tmp_path / ".env").write_text("# nota\nMAX_DEPTH = '5'\nPOLITENESS_DELAY=1.5\nsem valor\nREQUEST_TIMEOUT_MS=abc\nOUTPUT_FORMAT=html\n")
+    got = Settings.load({"MAX_DEPTH": "3"}, tmp_path / ".env")
+    assert (got.max_depth, got.politeness_delay, got.request_timeout_ms, got.output_format) == (3, 1.5, 60_000, "txt") and got.delay(2.0) == 2.0
+    assert Settings.load({}, tmp_path / "none") == Settings() and least_interval() == 3.0 and least_interval(0) == 0.0
 
 
 def test_refine(spark):
@@ -178,6 +187,9 @@ def test_refine(spark):
     assert [got[k].outcome for k in range(1, 6)] == ["ok", "duplicate", "error", "error", "error"]
     assert got[1].text.startswith("PALAVRA") and got[1].llm_applied and got[1].out.startswith("a__") and got[5].reason == "no terms"
     assert refine.run_counters(done).first().asDict() == {"input_files": 5, "refined_files": 1, "duplicates": 1, "failed_files": 3}
+    must = refine.Refiner("google", "m", lambda t: 1 / 0, heuristic=False, required=True)
+    failed = {r.id: r for r in refine.refine(rows, "id", "path", "body", must).collect()}
+    assert failed[1].outcome == "error" and failed[1].reason.startswith("refiner:") and failed[2].outcome == "duplicate" and not failed[1].llm_applied
     bad = refine.Refiner("x", "m", lambda t: 1 / 0)
     assert bad.refine("abc") == ("abc", 1, 1)
 
@@ -216,3 +228,70 @@ def test_scratch_is_in_the_named_folder(spark):
     df = s.write(spark.range(3), "x")
     assert df.count() == 3 and s.path.startswith(shared_dir(spark))
     s.drop()
+
+
+def test_front_matter_of_all_kinds(spark):
+    doc = lambda t: one(spark, t, lambda x: read_document(x, False))
+    assert doc("---\na: {b: 2}\nc: []\n---\n\nx").meta == {"a": '{"b": 2}', "c": "[]"} and doc("---\na: {b: 2}\n---\n\nx ").body == "x "
+    assert doc("---\na: [\n---\nx") == ({}, "x") and doc("---\n- a\n---\nx") == ({}, "---\n- a\n---\nx") and doc(None) == ({}, None)
+    made = lambda t, o: one(spark, t, lambda x: with_metadata(x, F.lit('{"b": "07", "c": 1}'), o))
+    assert made("a: 1\nb: 2", True) == "---\na: 1\nb: '07'\nc: 1\n---\n" and made("a: 1\nb:", False) == "---\na: 1\nb: null\nc: 1\n---\n"
+    assert made("- x", True) == made(None, True) == "---\nb: '07'\nc: 1\n---\n"
+
+
+def test_publication(spark):
+    rows = [(1, '{"pagina": 8}'), (2, "{}"), (3, None), (4, "texto")]
+    docs = spark.createDataFrame([(k, "p", {"doe": v}, "Pub. DOE nº 1, de 01/02/2003, p. 4" if k == 4 else "") for k, v in rows], "id INT, path STRING, meta MAP<STRING,STRING>, body STRING")
+    got = {r.id: r.result for r in validate.validated(docs).collect()}
+    assert got[1].publication_page == "8" and "PUBLICATION_METADATA_BUT_NO_TEXT" in got[1].issues
+    assert all(got[k].publication_page == "" and "PUBLICATION_METADATA_BUT_NO_TEXT" not in got[k].issues for k in (2, 3, 4))
+    assert "PUBLICATION_TEXT_BUT_NO_METADATA" in got[4].issues
+
+
+def test_near_pairs_have_few_candidates(spark):
+    """Hashes that share their first 16 bits, and those of two blocks, are no candidates of each other; near ones all are."""
+    rng = random.Random(6)
+    values = [rng.getrandbits(48) for _ in range(1500)] + [rng.getrandbits(43) | 5 << 43 for _ in range(1500)]
+    near = [values[0] ^ 0b111, values[1] ^ (1 << 63 | 1 << 30 | 1), values[2] ^ 1 << 40]
+    rows = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in [*values, *near]], "bits BIGINT")
+    assert simhash.near_candidates(rows).count() < 3 * len(values)
+    assert simhash.near_pairs(rows).count() == sum((a ^ b).bit_count() <= 3 for k, a in enumerate([*values, *near]) for b in [*values, *near][:k])
+
+
+def test_menu(spark):
+    page = "<div class='arvore x'><ul><li> Um </li><li></li><li><a href='/b'>Dois</a></li></ul></div><div id=corpo><h2>T</h2><p>texto</div>"
+    assert menu.select(page, "div.arvore li") == [" Um ", "", "<a href='/b'>Dois</a>"] and menu.select(page, "a[href]") == ["Dois"] and menu.select(None, "a") == []
+    own = spark.createDataFrame([(1, page), (2, None), (3, "")], "id INT, html STRING")
+    assert sorted(map(tuple, menu.menu_items(own, "id", "html", ".arvore li").collect())) == [(1, 0, "Um"), (1, 2, "Dois")]
+    got = own.select("id", menu.container(F.col("html"), "#corpo").alias("c"), menu.item_title(F.col("html"), "#corpo h2", F.lit(" item ")).alias("t")).collect()
+    assert got[0].c.text == "T\ntexto" and got[0].t == "T" and got[1].c.html == "" and got[1].t == "item"
+    assert [r.position for r in menu.numbered(own, "id", "html", 1).collect()] == [1, 1, 1]
+    with pytest.raises(ValueError):
+        menu.read_selector("li > a")
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    raw = tmp_path / "raw"
+    (raw / "p").mkdir(parents=True)
+    long = "Palavras do texto corrido que bastam para o documento passar. " * 12
+    (raw / "a.md").write_text(f"---\nlang: pt\n---\n# Ato nº 5/2001\n\n{long}")
+    (raw / "p" / "b.md").write_text(f"# Ato nº 5/2001\n\n{long}")
+    (raw / "c.md").write_bytes(b"curto \xff")
+    run = lambda *a, **k: cli.main([*a], spark, **k)
+    assert run("validate", "--root", str(raw)) == 1 and run("validate", "--root", str(tmp_path / "no")) == 2 and run("other") == 2
+    report = "".join(p.read_text() for p in (tmp_path / "relatorio_validacao.csv").glob("*.csv"))
+    assert report.count("MISSING_FRONTMATTER") == 2 and report.startswith("path,")
+    assert run("enrich", "--root", str(raw), "--owner", "x") == 0
+    assert "owner: x" in (tmp_path / "data/0_enriquecidos/p/b.md").read_text()
+    assert run("refine", "--root", str(raw)) == 1
+    out = sorted((tmp_path / "data/1_markdowns_limpos").iterdir())
+    assert len(out) == 1 and out[0].read_text().startswith("---\nlang: pt\nrefined_by: local\ncontent_hash: ")
+    assert run("refine", "--root", str(raw), "--only", "p/b.md") == 0 and run("rebuild", "--root", str(raw)) == 0
+    assert len(files.read_manifest(spark, str(tmp_path / "data/manifest.jsonl")).collect()) == 2
+    (tmp_path / "pdf").mkdir()
+    (tmp_path / "pdf" / "x.pdf").write_bytes(b"Portaria n. 4\ncorpo")
+    (tmp_path / "pdf" / "y.pdf").write_bytes(b" \n")
+    assert run("convert", "--root", str(tmp_path / "pdf"), "--audit", "copias", extract=lambda b: bytes(b).decode()) == 1
+    made = next((tmp_path / "pdf/markdown").iterdir())
+    assert "act_number: '4'" in made.read_text() and (tmp_path / "copias" / made.name).exists()
