@@ -30,6 +30,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
         small = large.join(low, "hi")
         small = small.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(low.select("hi", F.col("m").alias("lo")))
         now = scratch.write(small.where("hi <> lo").distinct(), f"{name}{k}b")
+        # What earlier rounds wrote isn't read again.
+        scratch.drop(f"{name}{k}a")
+        scratch.drop(f"{name}{k - 1}b" if k > 1 else f"{name}0")
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if sign == before or sign[0] == 0:
             break

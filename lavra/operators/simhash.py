@@ -166,6 +166,8 @@ def greedy_kept(hashes: DataFrame, key: str, distance: int = MAX_DISTANCE) -> Da
         rest = scratch.write(rest.select("early", "late"), f"edges{k}")
         now = scratch.write(later.join(rest.select(F.col("late").alias("id")).distinct(), "id", "left_anti"), f"kept{k}")
         kept = kept.union(now)
+        scratch.drop(f"edges{k - 1}")
+        scratch.drop(f"gone{k}")
         if rest.limit(1).count() == 0:
             break
         open_ = rest
