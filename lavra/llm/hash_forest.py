@@ -239,6 +239,7 @@ class HashForest:
         self.scratch = Scratch(spark, "batch")
         self.runs: list[Run] = []
         self.written = 0
+        self.passing: list[str] = []  # scratch tables of the batch at hand
         if (text := self._text("forest.json")) is not None:
             kept = json.loads(text)
             if (kept["distance"], kept["blocks"]) != (distance, blocks):
@@ -273,6 +274,8 @@ class HashForest:
 
     def _name(self, what: str) -> str:
         self.written += 1
+        if what in ("new", "sigs", "pairs", "self", "open"):
+            self.passing.append(f"{what}{self.written}")
         return f"{what}{self.written}"
 
     def _write_run(self, rows: DataFrame, number: int, to: str) -> Run:
@@ -354,6 +357,9 @@ class HashForest:
         rest = self.scratch.write(rest.select("id", "sig", "path"), self._name("rest"))
         taken = self._within(rest)
         self.append(taken)
+        for name in self.passing:
+            self.scratch.drop(name)
+        self.passing.clear()
         return taken.select("id")
 
     def _within(self, rest: DataFrame) -> DataFrame:
