@@ -276,19 +276,24 @@ def validation(docs: DataFrame, key: str = "md_id", text: str = "body", host: st
     spark = docs.sparkSession
     sample = sampled(docs, key, text, host, Scratch(spark, "validation"))
     sample["label"] = (sample["kind"] == 1).astype(int)
-    plain = sample[sample["kind"] != 3]
-    rows = []
-
-    def compare(name: str, own: pd.DataFrame, weights: np.ndarray | None) -> None:
-        guess = np.zeros(len(own), dtype=int) if weights is None or not len(own) else (Features(own["line"].tolist()).scores(weights) > 0).astype(int)
-        counts = pd.DataFrame({"held": own["held"].to_numpy(dtype=bool), "label": own["label"].to_numpy(), "guess": guess}).value_counts()
-        rows.extend((name, bool(h), int(a), int(b), int(n)) for (h, a, b), n in counts.items())
-
-    compare("", plain, learn(sample[~sample["held"]]))
-    kinds = plain["line"].map(families)
-    for name in FAMILIES:
-        has = kinds.map(lambda f, name=name: name in f).astype(bool)
-        # Lines beside the family's own ones stay only if another family stands there too.
-        rest = sample.drop(plain.index[has])
-        compare(name, plain[has & (plain["label"] == 1)], learn(rest[(rest["kind"] != 3) | rest["key"].isin(rest.loc[rest["kind"] == 1, "key"])]))
-    return spark.createDataFrame(rows, "left_out STRING, held_out BOOLEAN, label INT, prediction INT, lines BIGINT")
+
+    def compare(names: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plain = sample[sample["kind"] != 3]
+        kinds = plain["line"].map(families)
+        for name in (n for batch in names for n in batch["name"]):
+            if name:
+                has = kinds.map(lambda f, name=name: name in f).astype(bool)
+                own, rest = plain[has & (plain["label"] == 1)], sample.drop(plain.index[has])
+                # Lines beside the family's own ones stay only if another family stands there too.
+                seen = rest[(rest["kind"] != 3) | rest["key"].isin(rest.loc[rest["kind"] == 1, "key"])]
+            else:
+                own, seen = plain, sample[~sample["held"]]
+            weights = learn(seen)
+            guess = np.zeros(len(own), dtype=int) if weights is None or not len(own) else (Features(own["line"].tolist()).scores(weights) > 0).astype(int)
+            counts = pd.DataFrame({"held": own["held"].to_numpy(dtype=bool), "label": own["label"].to_numpy(), "guess": guess}).value_counts()
+            rows = [(name, bool(h), int(a), int(b), int(n)) for (h, a, b), n in counts.items()]
+            yield pd.DataFrame(rows, columns=["left_out", "held_out", "label", "prediction", "lines"])
+
+    # The models are fitted side by side; the sample, which has a bound, goes to each task.
+    names = spark.range(0, 1 + len(FAMILIES), 1, 1 + len(FAMILIES)).select(F.element_at(F.array(*[F.lit(n) for n in ("", *FAMILIES)]), (F.col("id") + 1).cast("int")).alias("name"))
+    return names.mapInPandas(compare, "left_out STRING, held_out BOOLEAN, label INT, prediction INT, lines BIGINT")
