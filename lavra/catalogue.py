@@ -183,7 +183,10 @@ def page_markdown(s, d):
 def page_saves(s, d):
     from lavra.sources.sinks import saved_pages
 
-    return saved_pages(_gated(s, d), html.canonical(c("html"), c("url")), html.title(c("html")), html.language(c("html")), html.modified(c("html")), c("main"), "txt").select("name", F.sha1("content").alias("h"))
+    # Columns of their own, as names and heads use them many times.
+    head = {"_url": html.canonical(c("html"), c("url")), "_title": html.title(c("html")), "_lang": html.language(c("html")), "_time": html.modified(c("html"))}
+    own = _gated(s, d).withColumns(head)
+    return saved_pages(own, c("_url"), c("_title"), c("_lang"), c("_time"), c("main"), "txt").select("name", F.sha1("content").alias("h"))
 
 
 def menu_scan(s, d):

@@ -44,7 +44,9 @@ def canonical(page: Column, url: Column) -> Column:
     """The page's canonical URL, normalized; its own URL without a valid one."""
     element = F.regexp_extract(page, r"(?i)(<link\b[^>]*?\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1)
     href = F.regexp_extract(element, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    return F.when((href == "") | href.isNull(), url).otherwise(F.coalesce(F.nullif(normalize_url(resolve(url, href)), F.lit("")), url))
+    # The lambda's variable holds the absolute link, which else would be made again for every use.
+    normal = F.transform(F.array(resolve(url, href)), normalize_url)[0]
+    return F.when((href == "") | href.isNull(), url).otherwise(F.coalesce(F.nullif(normal, F.lit("")), url))
 
 
 def links(page: Column, url: Column) -> Column:
