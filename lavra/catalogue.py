@@ -68,8 +68,9 @@ def quality_gate_md(s, d):
 
 
 def llm_useful(s, d):
-    docs = table(s, d, "documents")
-    return docs.select("doc_id", text.llm_is_useful(c("text")).alias("useful"), text.should_apply_llm(F.lit("google"), F.lit(False), c("text")).alias("always"), text.should_apply_llm(F.lit("none"), F.lit(False), c("text")).alias("never"))
+    provider = F.element_at(F.array(F.lit("google"), F.lit("ollama"), F.lit("none")), (c("doc_id") % 3 + 1).cast("int"))
+    docs = table(s, d, "documents").withColumns({"provider": provider, "heuristic": c("doc_id") % 2 == 0})
+    return docs.select("doc_id", text.llm_is_useful(c("text")).alias("useful"), text.should_apply_llm(c("provider"), c("heuristic"), c("text")).alias("applied"))
 
 
 def normalized_hash(s, d):

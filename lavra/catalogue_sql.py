@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lavra.catalogue import DOCUMENTS, GRAPH, PAGES
 from lavra.functions import legal, text, url
+from lavra.operators.validate import REPORT_HEAD, REPORT_SUMMARY, REPORT_TAIL
 
 # White space as Python has it; RE2's own class is ASCII only.
 WS = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{85}\x0b\x1c-\x1f]"
@@ -319,7 +320,7 @@ _HREFS = f"regexp_extract(regexp_extract(html, {_quoted(_LINK)}, 1), {_quoted(_H
 SQL: dict[str, str] = {
     "quality_gate": f"SELECT doc_id, {markers('text')} AS markers, {low_quality('text')} AS low FROM documents",
     "quality_gate_md": f"SELECT md_id, {low_quality(collapsed('body'))} AS low FROM md",
-    "llm_useful": f"SELECT doc_id, {useful('text')} AS useful, true AS always, false AS never FROM documents",
+    "llm_useful": f"WITH u AS (SELECT doc_id, {useful('text')} AS useful FROM documents) SELECT doc_id, useful, doc_id % 3 < 2 AND (doc_id % 2 <> 0 OR useful) AS applied FROM u",
     "normalized_hash": f"SELECT doc_id, sha1({normal('text')}) AS content_hash, length({normal('text')})::INT AS chars FROM documents",
     "exact_dups": f"WITH h AS (SELECT doc_id, sha1({normal('text')}) AS h FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS first_id, count(*) OVER (PARTITION BY h) AS copies FROM h QUALIFY copies > 1",
     "token_freq": f"WITH {_COUNTS} SELECT doc_id, token, w::BIGINT AS weight, rank FROM top WHERE rank <= 20",
@@ -354,6 +355,10 @@ SQL: dict[str, str] = {
     "audit": f"WITH {_VALID}, {duplicates('val')} SELECT path, act_type, act_number, act_year, act_date, page AS publication_page, heading_type, array_to_string(issues, ';') AS issues, CASE WHEN len(issues) = 0 THEN 'TRUE' ELSE 'FALSE' END AS ok FROM dup",
     "audit_summary": f"WITH {_VALID}, {duplicates('val')}, e AS (SELECT unnest(CASE WHEN len(issues) = 0 THEN ['OK'] ELSE issues END) AS issue FROM dup) SELECT issue, count(*) AS documents FROM e GROUP BY issue",
     "audit_results": f"WITH v AS (SELECT * RENAME (issues AS found) FROM validation_results), {duplicates('v')} SELECT result_id, array_to_string(issues, ';') AS issues FROM dup",
+    "audit_report": f"""WITH {_VALID}, {duplicates('val')}, e AS (SELECT unnest(CASE WHEN len(issues) = 0 THEN ['OK'] ELSE issues END) AS issue FROM dup),
+        fixed AS (SELECT * FROM (VALUES {', '.join(f"({n}, {_quoted(x)})" for n, part in ((1, [*REPORT_HEAD, "Raiz analisada: `dados`", *REPORT_SUMMARY]), (3, REPORT_TAIL)) for x in part)}) v(section, line))
+        SELECT section::INT AS section, line FROM fixed UNION ALL SELECT 2, '- **' || issue || '**: ' || count(*) FROM e GROUP BY issue
+        UNION ALL SELECT 4, '- `' || path || '` → ' || array_to_string(issues, ', ') FROM dup WHERE len(issues) > 0""",
     "chunk_text": f"""WITH RECURSIVE d AS (SELECT doc_id, {strip('text')} AS t FROM documents), w AS (
         SELECT doc_id, t, -1 AS chunk_no, 0 AS a, 0 AS b FROM d UNION ALL
         SELECT doc_id, t, chunk_no + 1, b, CASE WHEN length(t) <= 5000 THEN greatest(length(t), 1) WHEN strpos(reverse(substr(t, b + 1, 5000)), chr(10) || chr(10)) > 0

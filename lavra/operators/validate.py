@@ -16,6 +16,12 @@ ISSUES = (
     "MISSING_FRONTMATTER", "MISSING_ACT_TYPE", "MISSING_ACT_NUMBER", "MISSING_ACT_YEAR", "MISSING_ACT_DATE", "TYPE_MISMATCH", "SUBDIR_MISMATCH(portarias!=act_type)",
     "SUBDIR_MISMATCH(resolucoes!=act_type)", "PUBLICATION_TEXT_BUT_NO_METADATA", "PUBLICATION_METADATA_BUT_NO_TEXT", "ALIASES_EMPTY",
 )
+REPORT_HEAD = ("# Relatório de validação de metadados", "")
+REPORT_SUMMARY = ("", "## Resumo por problema", "")
+REPORT_TAIL = (
+    "", "## Recomendações", "", "- Preencher tipo, número, ano e data no front matter.", "- Conferir a coerência entre o H1 e os metadados.",
+    "- Registrar os dados de publicação quando constarem no texto.", "- Remover chaves lógicas ou conteúdos duplicados.", "", "## Itens problemáticos", "",
+)
 _FIELDS = ("act_type", "act_number", "act_year", "act_date", "publication_page", "heading_type", "issues", "content_hash")
 
 
@@ -106,11 +112,7 @@ def markdown_report(results: DataFrame, root: str) -> DataFrame:
 
     Items are one row a document and never gathered: written sorted, the rows are the report.
     """
-    head = ["# Relatório de validação de metadados", "", f"Raiz analisada: `{root}`", "", "## Resumo por problema", ""]
-    tail = [
-        "", "## Recomendações", "", "- Preencher tipo, número, ano e data no front matter.", "- Conferir a coerência entre o H1 e os metadados.",
-        "- Registrar os dados de publicação quando constarem no texto.", "- Remover chaves lógicas ou conteúdos duplicados.", "", "## Itens problemáticos", "",
-    ]
+    head, tail = [*REPORT_HEAD, f"Raiz analisada: `{root}`", *REPORT_SUMMARY], REPORT_TAIL
     spark = results.sparkSession
     fixed = spark.createDataFrame([(s, f"{k:09d}", x) for s, part in ((1, head), (3, tail)) for k, x in enumerate(part)], "section INT, position STRING, line STRING")
     summary = issue_summary(results)
