@@ -253,6 +253,10 @@ def audit_summary(s, d):
     return validate.issue_summary(_audit(s, d))
 
 
+def audit_counts(s, d):
+    return validate.valid_counts(_audit(s, d))
+
+
 def audit_results(s, d):
     own = table(s, d, "validation_results")
     return validate.with_duplicates(own, "result_id").select("result_id", F.array_join("issues", ";").alias("issues"))
@@ -285,6 +289,10 @@ def bfs_crawl(s, d):
     return crawl.crawl(links, crawl.CrawlOptions("https://a.example/", max_depth=3, max_pages=4), policy)
 
 
+def crawl_counters(s, d):
+    return crawl.crawl_counters(bfs_crawl(s, d))
+
+
 def site_crawl(s, d):
     pages = table(s, d, "pages").where("html <> ''")
     own = pages.select(url.normalize_url(c("url")).alias("src"), F.explode_outer(html.links(c("html"), c("url"))).alias("dst"))
@@ -385,8 +393,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = (
         quality_gate, quality_gate_md, llm_useful, normalized_hash, exact_dups, token_freq, simhash64, near_dup_pairs, greedy_dedup, url_normalize, url_parts,
         url_scope, output_names, refined_names, short_hashes, page_links, link_scope_counts, new_links, page_heads, page_text, page_gate, page_markdown, page_saves,
-        menu_scan, panel_pdfs, changed_panels, act_metadata, act_dates, front_matter_split, front_matter_yaml, enrich_merge, validate_rules, audit, audit_summary, audit_results, audit_report,
-        chunk_text, strip_wrappers, pdf_bodies, bfs_crawl, site_crawl, refine_pipeline, refine_by_model, refined_documents, enriched_documents, pdf_documents, refine_counters, refine_events, manifest_append, manifest_anti_join,
+        menu_scan, panel_pdfs, changed_panels, act_metadata, act_dates, front_matter_split, front_matter_yaml, enrich_merge, validate_rules, audit, audit_summary, audit_counts, audit_results, audit_report,
+        chunk_text, strip_wrappers, pdf_bodies, bfs_crawl, crawl_counters, site_crawl, refine_pipeline, refine_by_model, refined_documents, enriched_documents, pdf_documents, refine_counters, refine_events, manifest_append, manifest_anti_join,
         manifest_rebuild, event_windows, stream_gate,
     )
     return {f.__name__: f for f in names}

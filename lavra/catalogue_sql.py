@@ -354,6 +354,7 @@ SQL: dict[str, str] = {
     "validate_rules": f"WITH {_VALID} SELECT md_id, act_type, act_number, act_year, act_date, heading_type, array_to_string(found, ';') AS issues, content_hash FROM val",
     "audit": f"WITH {_VALID}, {duplicates('val')} SELECT path, act_type, act_number, act_year, act_date, page AS publication_page, heading_type, array_to_string(issues, ';') AS issues, CASE WHEN len(issues) = 0 THEN 'TRUE' ELSE 'FALSE' END AS ok FROM dup",
     "audit_summary": f"WITH {_VALID}, {duplicates('val')}, e AS (SELECT unnest(CASE WHEN len(issues) = 0 THEN ['OK'] ELSE issues END) AS issue FROM dup) SELECT issue, count(*) AS documents FROM e GROUP BY issue",
+    "audit_counts": f"WITH {_VALID}, {duplicates('val')} SELECT count(*) AS documents, count(*) FILTER (WHERE len(issues) = 0) AS valid, count(*) FILTER (WHERE len(issues) > 0) AS invalid, bool_or(len(issues) > 0) AS failed FROM dup",
     "audit_results": f"WITH v AS (SELECT * RENAME (issues AS found) FROM validation_results), {duplicates('v')} SELECT result_id, array_to_string(issues, ';') AS issues FROM dup",
     "audit_report": f"""WITH {_VALID}, {duplicates('val')}, e AS (SELECT unnest(CASE WHEN len(issues) = 0 THEN ['OK'] ELSE issues END) AS issue FROM dup),
         fixed AS (SELECT * FROM (VALUES {', '.join(f"({n}, {_quoted(x)})" for n, part in ((1, [*REPORT_HEAD, "Raiz analisada: `dados`", *REPORT_SUMMARY]), (3, REPORT_TAIL)) for x in part)}) v(section, line))
@@ -389,6 +390,7 @@ SQL: dict[str, str] = {
         who IN ('gemini', 'ollama') AS llm_applied, CASE who WHEN 'gemini' THEN 'google' WHEN 'ollama' THEN 'ollama' ELSE '' END AS provider
         FROM named LEFT JOIN o USING (stem) LEFT JOIN hashed USING (md_id)""",
     "bfs_crawl": _bfs(3, 4),
+    "crawl_counters": "SELECT " + ", ".join(f"count(*) FILTER (WHERE outcome = '{o}') AS {n}_urls" for o, n in (("visited", "visited"), ("pdf", "pdf"), ("missing", "failed"), ("blocked", "blocked"))) + f" FROM ({_bfs(3, 4)}) AS b",
     "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "stream_gate": f"SELECT doc_id FROM documents WHERE NOT {low_quality('text')}",
 }

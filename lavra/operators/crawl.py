@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lavra.config import FORMATS
 from lavra.functions.url import in_scope, is_pdf
 from lavra.session import Scratch
 
@@ -25,6 +26,7 @@ class CrawlOptions:
     max_depth: int = 2
     max_pages: int = 500
     same_domain_only: bool = True
+    output_format: str = "txt"
 
     def __post_init__(self) -> None:
         parts = urlsplit(self.seed)
@@ -34,6 +36,8 @@ class CrawlOptions:
             raise ValueError("max_depth must be 0 or more")
         if self.max_pages < 1:
             raise ValueError("max_pages must be 1 or more")
+        if self.output_format not in FORMATS:
+            raise ValueError("output_format must be txt or md")
 
 
 def robots_policy(body: str | None, status: int = 200) -> RobotFileParser | None:
@@ -101,6 +105,12 @@ def crawl(links: DataFrame, options: CrawlOptions, policy: RobotFileParser | Non
     return results if results is not None else spark.createDataFrame([], "url STRING, depth INT, outcome STRING")
 
 
+def crawl_counters(results: DataFrame) -> DataFrame:
+    """(visited_urls, pdf_urls, failed_urls, blocked_urls) of a crawl; missing pages failed."""
+    n = lambda *kinds: F.count_if(F.col("outcome").isin(*kinds))
+    return results.agg(n("visited").alias("visited_urls"), n("pdf").alias("pdf_urls"), n("missing").alias("failed_urls"), n("blocked").alias("blocked_urls"))
+
+
 def changed_panels(items: DataFrame, key: str = "url", order: str = "captured_at", tie: str = "item_id", content: str = "html") -> DataFrame:
     """``items`` with ``changed``: whether a panel's content differs from the one captured before at the same place."""
     before = F.lag(content).over(Window.partitionBy(key).orderBy(order, tie))

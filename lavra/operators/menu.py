@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from html.parser import HTMLParser
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -99,6 +101,26 @@ class _Matches(HTMLParser):
         return self.found
 
 
+@dataclass(frozen=True)
+class MenuOptions:
+    """What a run over a menu needs; invalid values raise."""
+
+    url: str
+    items: str
+    content: str
+    title: str = ""
+    max_items: int = 50_000
+
+    def __post_init__(self) -> None:
+        parts = urlsplit(self.url)
+        if parts.scheme not in ("http", "https") or not parts.netloc:
+            raise ValueError("the address must be an absolute http(s) URL")
+        for selector in (self.items, self.content, *([self.title] if self.title else [])):
+            read_selector(selector)
+        if self.max_items < 1:
+            raise ValueError("max_items must be 1 or more")
+
+
 def select(page: str | None, selector: str) -> list[str]:
     """The inner HTML of the elements that ``selector`` finds."""
     return _Matches(page, selector).result() if page else []

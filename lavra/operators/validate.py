@@ -99,6 +99,12 @@ def issue_summary(results: DataFrame) -> DataFrame:
     return results.select(F.explode(issues).alias("issue")).groupBy("issue").agg(F.count("*").alias("documents"))
 
 
+def valid_counts(results: DataFrame) -> DataFrame:
+    """(documents, valid, invalid, failed): how many documents have no issue, how many have, and whether any has."""
+    ok = F.coalesce(F.size("issues"), F.lit(0)) <= 0
+    return results.agg(F.count("*").alias("documents"), F.count_if(ok).alias("valid"), F.count_if(~ok).alias("invalid"), F.coalesce(F.bool_or(~ok), F.lit(False)).alias("failed"))
+
+
 def report_rows(results: DataFrame) -> DataFrame:
     """The nine columns of the CSV report."""
     return results.select(

@@ -11,7 +11,7 @@ from lavra.operators import chunks, crawl, menu, simhash, validate
 from lavra.operators.components import components
 from lavra.operators.running import running_sum
 from lavra.operators.skew import join_counted
-from lavra.plans import refine
+from lavra.plans import refine, remote
 from lavra.session import Scratch, shared_dir
 from lavra.sources import files, sinks
 from lavra.streaming import incremental
@@ -295,3 +295,37 @@ def test_command_line(spark, tmp_path, monkeypatch):
     assert run("convert", "--root", str(tmp_path / "pdf"), "--audit", "copias", extract=lambda b: bytes(b).decode()) == 1
     made = next((tmp_path / "pdf/markdown").iterdir())
     assert "act_number: '4'" in made.read_text() and (tmp_path / "copias" / made.name).exists()
+
+
+def test_remote_calls():
+    now, slept = [0.0], []
+
+    def sleep(seconds):
+        slept.append(seconds)
+        now[0] += seconds
+
+    paced = remote.Paced(str.upper, 30, lambda: now[0], sleep)
+    assert [paced("a"), paced("b")] == ["A", "B"] and slept == [2.0]
+    now[0] += 5
+    assert paced("c") == "C" and len(slept) == 1
+    answers = iter([ValueError("x"), "", " ok "])
+
+    def call(_):
+        a = next(answers)
+        if isinstance(a, Exception):
+            raise a
+        return a
+
+    slept.clear()
+    assert remote.Retried(call, sleep=sleep)("t") == " ok " and [int(x) // 5 for x in slept] == [1, 2]
+    with pytest.raises(ZeroDivisionError):
+        remote.Retried(lambda t: 1 / 0, 2, sleep)("t")
+    assert remote.available("m", ["z", "m:8b", "m:8b"]) == (True, ["m:8b", "z"]) and remote.available("q", [])[0] is False
+
+
+def test_options():
+    with pytest.raises(ValueError):
+        crawl.CrawlOptions("https://a.example/", output_format="pdf")
+    for bad in (dict(url="x"), dict(items="a > b"), dict(max_items=0)):
+        with pytest.raises(ValueError):
+            menu.MenuOptions(**{"url": "https://a.example/", "items": "li", "content": "#c", **bad})
