@@ -23,7 +23,7 @@ VARIABLES = {
     "request_timeout_ms": ("REQUEST_TIMEOUT_MS", 60_000, 1_000),
     "politeness_delay": ("POLITENESS_DELAY", 0.6, 0.0),
     "respect_robots": ("RESPECT_ROBOTS_TXT", True, None),
-    "user_agent": ("CRAWLER_USER_AGENT", "SiteExtractor/1.0", None),
+    "user_agent": ("CRAWLER_USER_AGENT", "lavra/1.0", None),
 }
 REQUESTS_PER_MINUTE = 20
 

@@ -120,10 +120,11 @@ def refined_files(refined: DataFrame, path: str, yaml: str) -> DataFrame:
 
 def enriched_files(docs: DataFrame, path: str, yaml: str, body: str, **constants: str) -> DataFrame:
     """(name, content) of the documents that enrichment changes: their own front matter with what the body says of missing keys."""
-    done = enriched(docs, "meta", body, **constants).where("changed").withColumn("_m", legal_metadata(F.coalesce(F.col(body), F.lit(""))))
-    return done.select(
-        F.col(path).alias("name"), F.concat(with_metadata(F.col(yaml), inferred_json(F.col("_m"), constants), False), strip(F.col(body)), F.lit("\n")).alias("content")
-    )
+    text = F.coalesce(F.col(body), F.lit(""))
+    read = docs.withColumn("_m", legal_metadata(text))
+    head = with_metadata(F.col(yaml), inferred_json(F.col("_m"), constants), False, True)
+    made = read.select(F.col(path).alias("name"), head.alias("_head"), F.concat(strip(text), F.lit("\n")).alias("_body")).where("_head IS NOT NULL")
+    return made.select("name", F.concat("_head", "_body").alias("content"))
 
 
 def inferred_json(m: Column, constants: dict[str, str] | None = None) -> Column:

@@ -172,7 +172,7 @@ def test_crawl(spark):
 
 def test_settings(tmp_path):
     got = Settings.load({"MAX_PAGES": "0", "MAX_DEPTH": "7", "SAME_DOMAIN_ONLY": "Sim", "HEADLESS": "não", "OUTPUT_FORMAT": " MD ", "CRAWLER_USER_AGENT": " "})
-    assert (got.max_pages, got.max_depth, got.same_domain_only, got.headless, got.output_format, got.user_agent) == (1, 7, True, False, "md", "SiteExtractor/1.0")
+    assert (got.max_pages, got.max_depth, got.same_domain_only, got.headless, got.output_format, got.user_agent) == (1, 7, True, False, "md", "lavra/1.0")
     (tmp_path / ".env").write_text("# nota\nMAX_DEPTH = '5'\nPOLITENESS_DELAY=1.5\nsem valor\nREQUEST_TIMEOUT_MS=abc\nOUTPUT_FORMAT=html\n")
     got = Settings.load({"MAX_DEPTH": "3"}, tmp_path / ".env")
     assert (got.max_depth, got.politeness_delay, got.request_timeout_ms, got.output_format) == (3, 1.5, 60_000, "txt") and got.delay(2.0) == 2.0
