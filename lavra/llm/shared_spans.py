@@ -283,11 +283,11 @@ def _verified(stretches: DataFrame, span: int, scratch: Scratch) -> DataFrame:
     hot = sizes.where(F.col("rows") > FEW).select("s")
     kind = "doc BIGINT, start INT, end INT"
     if not hot.limit(1).count():
-        return found.union(contexts.repartition("s").sortWithinPartitions("s").mapInPandas(shared_windows(span), kind))
+        return found.union(_by_node(contexts).mapInPandas(shared_windows(span), kind))
     contexts = scratch.write(contexts, "contexts")
     # There are at most one in FEW as many such nodes as contexts, and more rows than that of each.
     rest = contexts.join(hot, "s", "left_anti")
-    found = found.union(rest.repartition("s").sortWithinPartitions("s").mapInPandas(shared_windows(span), kind))
+    found = found.union(_by_node(rest).mapInPandas(shared_windows(span), kind))
     windows = contexts.join(hot, "s", "left_semi").select("a", "b", "start", "context", F.explode(F.sequence(F.lit(1), F.length("context") - span + 1)).alias("i"))
     part = F.substring(F.col("context"), F.col("i"), F.lit(span))
     windows = windows.select("a", "b", (F.col("start") + F.col("i") - 1).alias("pos"), F.xxhash64(part).alias("h"), F.xxhash64(F.lit(1), part).alias("g"))
@@ -297,6 +297,15 @@ def _verified(stretches: DataFrame, span: int, scratch: Scratch) -> DataFrame:
     return found.union(warm.select(F.col("a").alias("doc"), F.col("pos").alias("start"), (F.col("pos") + span).alias("end")))
 
 
+def _by_node(contexts: DataFrame) -> DataFrame:
+    """All contexts of a node in one task, sorted by node.
+
+    The key is hashed: after a join on ``s`` the planner would drop ``repartition("s")`` as done, and adaptive execution may then turn that join
+    into one whose tasks hold parts of a node.
+    """
+    return contexts.repartition(F.xxhash64("s")).sortWithinPartitions("s")
+
+
 def _merged(found: DataFrame, key: str) -> DataFrame:
     """Intervals that touch or overlap as one."""
     order = Window.partitionBy("doc").orderBy("start", "end")

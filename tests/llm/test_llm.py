@@ -164,6 +164,30 @@ def test_shared_spans(spark, monkeypatch, chunk, few):
     assert got == brute_spans(rows)
 
 
+def test_shared_spans_of_nodes_beside_hot_ones(spark, monkeypatch):
+    """All contexts of a node meet in one task, whatever join adaptive execution makes of the one that leaves hot nodes out."""
+    monkeypatch.setattr(shared_spans, "FEW", 12)
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    warm, often = [word(700) for _ in range(12)], word(260)
+    rows = [(k, word(50) + warm[k % 12][rng.randrange(250) : 450 + rng.randrange(250)] + word(50)) for k in range(60)]
+    rows += [(100 + k, word(30) + often[k : k + 220] + word(30)) for k in range(40)]
+    own = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(8)
+    # Planned as a sort-merge join, made a broadcast join at run time.
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.files.maxPartitionBytes": "4k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        got = {tuple(r) for r in shared_spans.shared_spans(own).collect()}
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert got == brute_spans(rows)
+
+
 def test_shared_amounts_of_nothing(spark):
     own = spark.createDataFrame([(1, None), (2, "x")], "doc_id BIGINT, text STRING")
     assert [(r.doc_id, r.shared_chars) for r in shared_spans.shared_amounts(own).orderBy("doc_id").collect()] == [(1, 0), (2, 0)]
