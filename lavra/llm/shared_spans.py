@@ -114,7 +114,9 @@ def stretch_rows(span: int, chunk: int):
                 repeated[(t.start[k] + at)[ok]] = True
                 ends, k = _flat(paths, who)
                 a, b, k = ends[::2] - offs[k[::2]], ends[1::2] - offs[k[1::2]], k[::2]
-                a, b = np.maximum(a, 0), np.minimum(b, t.sizes[k]) - span + 1
+                # The first and the last window of a path may have its outermost node, which elsewhere may lie in no path; they are verified by it.
+                on_first, on_last = _has_node(node, a, 0, k, t), _has_node(node, b - span, span - GRAM, k, t)
+                a, b = np.maximum(a, 0) + on_first, np.minimum(b, t.sizes[k]) - span + 1 - on_last
                 np.add.at(known, (t.start[k] + a)[a < b], 1)
                 np.add.at(known, (t.start[k] + b)[a < b], -1)
                 piece = np.repeat(np.arange(len(who)), t.sizes)
@@ -134,6 +136,13 @@ def stretch_rows(span: int, chunk: int):
     return run
 
 
+def _has_node(node: np.ndarray, window: np.ndarray, place: int, k: np.ndarray, t: Texts) -> np.ndarray:
+    """Whether the node of each ``window`` of piece ``k`` stands at ``place`` in it; not so of windows outside of the piece."""
+    inside = (window >= 0) & (window < t.sizes[k])
+    at = t.start[k] + np.where(inside, window, 0)
+    return inside & (node[at] == at + place)
+
+
 def _flat(lists: list, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of the lists of ``who``, end to end, and whose they are, by its place in ``who``."""
     own = [lists[w] if lists[w] is not None else () for w in who.tolist()]

@@ -188,6 +188,30 @@ def test_shared_spans_of_nodes_beside_hot_ones(spark, monkeypatch):
     assert got == brute_spans(rows)
 
 
+def test_shared_spans_at_the_ends_of_paths(spark):
+    """A window that is the first or the last of a path in two documents, and in a third one stands where no edge of the path does, or at the text's end."""
+    from lavra.llm.rolling import Texts, minimizers
+
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    text = word(200_000)
+    node = minimizers(Texts([text]), shared_spans.GRAM, 200).tolist()
+    first = [i for i in range(2000, len(text) - 2000) if node[i] == i]
+    last = [i for i in range(2000, len(text) - 2000) if node[i] == i + 136]
+    rows = []
+    for i, j in zip(first[:4], last[:4], strict=True):
+        rows += [(len(rows) + k, x) for k, x in enumerate([word(300) + text[i : i + 900]] * 2 + [word(300) + text[i : i + 200]])]
+        rows += [(len(rows) + k, x) for k, x in enumerate([text[j - 700 : j + 200] + word(300)] * 2 + [text[j : j + 200] + word(300)])]
+    far = [i for i in first if node[i + 1] == i + 137]
+    for i in (far[0], far[-1]):
+        # Node i begins the shared text of the one half, node i + 137 ends that of the other.
+        for own, part in ((text[i : i + 900], text[i : i + 200]), (text[i - 699 : i + 201], text[i + 1 : i + 201])):
+            rows += [(len(rows) + k, word(300) + x + word(300)) for k, x in enumerate((own, own, part))]
+    own = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    got = {tuple(r) for r in shared_spans.shared_spans(own).collect()}
+    assert got == brute_spans(rows) and len(got) >= len(rows)
+
+
 def test_shared_amounts_of_nothing(spark):
     own = spark.createDataFrame([(1, None), (2, "x")], "doc_id BIGINT, text STRING")
     assert [(r.doc_id, r.shared_chars) for r in shared_spans.shared_amounts(own).orderBy("doc_id").collect()] == [(1, 0), (2, 0)]
