@@ -21,7 +21,7 @@ MOST_DEPTH = 120
 
 
 class Node:
-    __slots__ = ("label", "tag", "parent", "children", "blocks", "path", "depth", "mark", "size")
+    __slots__ = ("label", "tag", "parent", "children", "blocks", "path", "depth", "mark", "shape", "size")
 
     def __init__(self, tag: str, label: str, parent: Node | None):
         self.tag, self.label, self.parent = tag, label, parent
@@ -29,7 +29,7 @@ class Node:
         self.blocks: list[Block] = []
         self.path = f"{parent.path}/{label}" if parent else label
         self.depth = parent.depth + 1 if parent else 0
-        self.mark, self.size = 0, 1
+        self.mark, self.shape, self.size = 0, 0, 1
 
 
 class Block:

@@ -16,7 +16,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from math import isqrt
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +37,10 @@ SHARE, LEAST = 0.04, 3
 HOST_PART = 200
 #: Hosts with fewer pages can't be aligned; their pages are read from the container of the title heading.
 ALIGNED = 4
-#: Child lists with more pairs than this are matched in order, label by label.
+#: Of child lists with more pairs than this not all rows of the table are kept; those between are computed again.
 CELLS = 40_000
+#: Against lists of so many children or more, a row of the table is computed at once.
+WIDE = 64
 # The month names, which stand for any month in a text's signature.
 _MONTH = re.compile(r"\b(janeiro|fevereiro|março|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro)\b", re.I)
 _WORD = re.compile(r"[^\W\d_]{3,}")
@@ -52,7 +56,7 @@ def signature(text: str) -> int:
 
 
 def mark(root: Node) -> None:
-    """Gives each block its signature, and each node its size and a hash of all that is below it."""
+    """Gives each block its signature, and each node its size and hashes of all that is below it and of the labels alone."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -62,80 +66,103 @@ def mark(root: Node) -> None:
         for b in node.blocks:
             b.sig = signature(b.text)
         node.size = 1 + sum(c.size for c in node.children)
+        node.shape = hash((node.label, tuple(c.shape for c in node.children)))
         node.mark = hash((node.label, tuple(b.sig for b in node.blocks), tuple(c.mark for c in node.children)))
 
 
 class TreeMatch:
-    """The largest order-keeping match of two marked trees with equal labels (simple tree matching)."""
+    """The largest order-keeping match of two marked trees with equal labels (simple tree matching).
+
+    The weight of a match depends on the labels alone, so it is computed once for each two shapes.
+    """
 
     def __init__(self) -> None:
-        self.known: dict[tuple[int, int], tuple[int, list[tuple[Node, Node]]]] = {}
+        self.known: dict[tuple[int, int], int] = {}
 
     def weight(self, a: Node, b: Node) -> int:
         if a.label != b.label:
             return 0
-        if a.mark == b.mark:
+        if a.shape == b.shape:
             return a.size
-        key = (id(a), id(b))
+        key = (a.shape, b.shape)
         if key not in self.known:
-            self.known[key] = self._children(a.children, b.children)
-        return self.known[key][0]
-
-    def _children(self, x: list[Node], y: list[Node]) -> tuple[int, list[tuple[Node, Node]]]:
-        low, top = 0, min(len(x), len(y))
-        while low < top and x[low].mark == y[low].mark:
-            low += 1
-        end = 0
-        while end < top - low and x[-1 - end].mark == y[-1 - end].mark:
-            end += 1
+            self.known[key] = 1 + self._most(a.children, b.children)
+        return self.known[key]
+
+    def _most(self, x: list[Node], y: list[Node]) -> int:
+        low, end = _same_ends([n.shape for n in x], [n.shape for n in y])
+        same = sum(n.size for n in x[:low]) + sum(n.size for n in x[len(x) - end :])
+        row = [0]
+        for row in self._rows(x[low : len(x) - end], y[low : len(y) - end]):
+            pass
+        return same + int(row[-1])
+
+    def _children(self, x: list[Node], y: list[Node]) -> list[tuple[Node, Node]]:
+        low, end = _same_ends([n.mark for n in x], [n.mark for n in y])
         pairs = [*zip(x[:low], y[:low], strict=True), *zip(x[len(x) - end :], y[len(y) - end :], strict=True)]
-        x, y = x[low : len(x) - end], y[low : len(y) - end]
-        if len(x) * len(y) > CELLS:
-            more = _in_order(x, y)
-        else:
-            more = self._best(x, y)
-        pairs += more
-        return 1 + sum(self.weight(p, q) for p, q in pairs), pairs
+        return pairs + self._best(x[low : len(x) - end], y[low : len(y) - end])
+
+    def _rows(self, x: list[Node], y: list[Node], row=None) -> Iterator:
+        """The rows of the table of best weights, one for each of ``x``, after ``row``."""
+        if len(y) < WIDE:
+            row = [0] * (len(y) + 1) if row is None else row
+            for p in x:
+                above, row = row, [0]
+                for j, q in enumerate(y):
+                    row.append(max(row[j], above[j + 1], above[j] + self.weight(p, q)))
+                yield row
+            return
+        kinds = {q.shape: q for q in y}
+        place = {s: k for k, s in enumerate(kinds)}
+        at = np.array([place[q.shape] for q in y])
+        weights: dict[int, np.ndarray] = {}
+        row = np.zeros(len(y) + 1, dtype=np.int64) if row is None else row
+        for p in x:
+            if p.shape not in weights:
+                weights[p.shape] = np.array([self.weight(p, q) for q in kinds.values()])
+            above, row = row, np.zeros(len(y) + 1, dtype=np.int64)
+            np.maximum.accumulate(np.maximum(above[1:], above[:-1] + weights[p.shape][at]), out=row[1:])
+            yield row
 
     def _best(self, x: list[Node], y: list[Node]) -> list[tuple[Node, Node]]:
-        best = [[0] * (len(y) + 1)]
-        for p in x:
-            above, row = best[-1], [0]
-            for j, q in enumerate(y):
-                w = self.weight(p, q)
-                row.append(max(row[j], above[j + 1], above[j] + w))
-            best.append(row)
+        step = len(x) if len(x) * len(y) <= CELLS else isqrt(len(x)) + 1
+        kept = {0: None}
+        if step < len(x):
+            kept |= {i: row for i, row in enumerate(self._rows(x, y), 1) if i % step == 0}
         pairs, i, j = [], len(x), len(y)
         while i and j:
-            w = self.weight(x[i - 1], y[j - 1])
-            if w and best[i][j] == best[i - 1][j - 1] + w:
-                pairs.append((x[i - 1], y[j - 1]))
-                i, j = i - 1, j - 1
-            elif best[i][j] == best[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
+            low = (i - 1) // step * step
+            rows = [[0] * (len(y) + 1) if kept[low] is None else kept[low], *self._rows(x[low:i], y, kept[low])]
+            while i > low and j:
+                w, here, above = self.weight(x[i - 1], y[j - 1]), rows[i - low], rows[i - low - 1]
+                if w and here[j] == above[j - 1] + w:
+                    pairs.append((x[i - 1], y[j - 1]))
+                    i, j = i - 1, j - 1
+                elif here[j] == above[j]:
+                    i -= 1
+                else:
+                    j -= 1
         return pairs
 
     def pairs(self, a: Node, b: Node) -> Iterator[tuple[Node, Node]]:
         """The matched nodes; of equal subtrees only the roots."""
-        self.weight(a, b)
         stack = [(a, b)]
         while stack:
             p, q = stack.pop()
             yield p, q
             if p.mark != q.mark:
-                stack.extend(self.known[id(p), id(q)][1] if (id(p), id(q)) in self.known else ())
-
-
-def _in_order(x: list[Node], y: list[Node]) -> list[tuple[Node, Node]]:
-    pairs, j = [], 0
-    for p in x:
-        k = next((k for k in range(j, min(j + 8, len(y))) if y[k].label == p.label), None)
-        if k is not None:
-            pairs.append((p, y[k]))
-            j = k + 1
-    return pairs
+                stack.extend(self._children(p.children, q.children))
+
+
+def _same_ends(x: list[int], y: list[int]) -> tuple[int, int]:
+    """How many numbers are equal at the start, and of the rest at the end."""
+    low, top = 0, min(len(x), len(y))
+    while low < top and x[low] == y[low]:
+        low += 1
+    end = 0
+    while end < top - low and x[-1 - end] == y[-1 - end]:
+        end += 1
+    return low, end
 
 
 def headings(root: Root, blocks: list[Block]) -> list[Block]:

@@ -434,6 +434,37 @@ def test_deep_and_wide_pages(spark):
     assert time.time() - began < 60
 
 
+def test_wide_lists_match_as_narrow_ones_do(monkeypatch):
+    """The match of two lists of children is the largest, however long they are, and the same by either way of computing it."""
+    rng = random.Random(2)
+
+    def tree(n):
+        kinds = ["<p>{}</p>", "<div>{}</div>", "<section><p>{}</p></section>", "<section><p>x</p><div>{}</div></section>", "<h4>{}</h4>"]
+        root, _ = main_body.parse("<main>" + "".join(rng.choice(kinds).format(rng.randrange(40)) for _ in range(n)) + "</main>")
+        main_body.mark(root)
+        return root
+
+    def most(a, b):
+        if a.label != b.label:
+            return 0
+        best = [0] * (len(b.children) + 1)
+        for p in a.children:
+            above, best = best, [0]
+            for j, q in enumerate(b.children):
+                best.append(max(best[j], above[j + 1], above[j] + most(p, q)))
+        return 1 + best[-1]
+
+    for n, m in ((30, 40), (230, 250), (600, 70)):
+        a, b = tree(n), tree(m)
+        assert main_body.TreeMatch().weight(a, b) == most(a, b)
+        found = []
+        for cells, wide in ((40_000, 64), (10**9, 10**9), (1, 10**9), (1, 1), (10**9, 1)):
+            monkeypatch.setattr(main_body, "CELLS", cells)
+            monkeypatch.setattr(main_body, "WIDE", wide, raising=False)
+            found.append([(id(p), id(q)) for p, q in main_body.TreeMatch().pairs(a, b)])
+        assert all(x == found[0] for x in found)
+
+
 # -- 6 --------------------------------------------------------------------------------------------------------
 
 
