@@ -23,14 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lavra.operators.skew import join_counted
-from lavra.session import Scratch
+from lavra.session import Scratch, spread
 
 #: A line that this share of all documents has, or of the documents of its source, is a running line.
 SHARE_ALL, SHARE_SOURCE = 0.01, 0.04
 #: The lexicon is sent to every task; it is a language's word list and has at most so many words.
 MOST_WORDS = 500_000
-#: The vectors are trained on about so many documents at most.
-SAMPLE_DOCS = 4_000
 #: Neighbours of a place are this share of the lexicon's words, the nearest; known words are hardly ever outside of it.
 NEAR = 0.9
 # Glyphs that scans confuse, each written as what all of its readings have in common.
@@ -306,21 +304,28 @@ def _read_lexicon(lexicon: DataFrame) -> dict[str, int]:
     return {r.word.lower(): r.freq or 0 for r in rows}
 
 
-def skip_gram(pdfs: DataFrame, words: dict[str, int], key: str, size: int = 32, seed: int = 7) -> tuple[dict[str, np.ndarray], np.ndarray | None]:
-    """Unit vectors of the lexicon's words, and the map from contexts to words, from the sentences of at most about
-    :data:`SAMPLE_DOCS` documents, chosen by a hash of their key; none where no word is frequent enough."""
+def skip_gram(pdfs: DataFrame, words: dict[str, int], size: int = 32, seed: int = 7) -> tuple[dict[str, np.ndarray], np.ndarray | None]:
+    """Unit vectors of the lexicon's words, and the map from contexts to words, from the sentences of all documents; none where no word is
+    frequent enough."""
     from pyspark.ml.feature import Word2Vec
 
     bodies = pdfs.where(F.length("body") > 0)
-    rate = SAMPLE_DOCS / max(1, pdfs.count())
-    bodies = bodies.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < rate * (1 << 20)) if rate < 1 else bodies
     text = F.regexp_replace(F.lower("body"), r"[-­¬]\s*\n|\n", " ")
     tokens = bodies.select(F.explode(F.split(text, r"(?<=[.;:])\s+")).alias("s"))
     tokens = tokens.select(F.filter(F.split("s", r"(?U)[^\w-]+"), lambda w: w != "").alias("w")).where(F.size("w") > 2)
+    scratch = Scratch(pdfs.sparkSession, "sentences")
+    tokens = scratch.write(spread(tokens), "tokens")
+    try:
+        return _trained(tokens, words, size, seed, Word2Vec)
+    finally:
+        scratch.drop()
+
+
+def _trained(tokens: DataFrame, words: dict[str, int], size: int, seed: int, Word2Vec) -> tuple[dict[str, np.ndarray], np.ndarray | None]:
     total = tokens.agg(F.sum(F.size("w"))).first()[0] or 0
     if not total:
         return {}, None
-    parts = max(1, min(bodies.sparkSession.sparkContext.defaultParallelism, total // 100_000))
+    parts = max(1, min(tokens.sparkSession.sparkContext.defaultParallelism, total // 100_000))
     model = Word2Vec(vectorSize=size, minCount=5, numPartitions=int(parts), maxIter=1, windowSize=4, seed=seed, inputCol="w", outputCol="v")
     try:
         vectors = model.fit(tokens).getVectors()
@@ -329,7 +334,7 @@ def skip_gram(pdfs: DataFrame, words: dict[str, int], key: str, size: int = 32,
             raise
         return {}, None
     out = {}
-    # As many rows as the sample has frequent words.
+    # As many rows as there are frequent words.
     for r in vectors.collect():
         if r.word in words:
             v = np.array(r.vector.toArray(), dtype=np.float32)
@@ -339,28 +344,39 @@ def skip_gram(pdfs: DataFrame, words: dict[str, int], key: str, size: int = 32,
         lex = Lexicon(words, out)
         xx, xy = np.zeros((size, size)), np.zeros((size, size))
         for batch in batches:
-            xs, ys = [], []
-            for sentence in batch["w"]:
-                at = [lex.place.get(w, -1) for w in sentence]
-                for i, k in enumerate(at):
-                    near = [x for x in at[max(0, i - 4) : i] + at[i + 1 : i + 5] if x >= 0]
-                    if k >= 0 and len(near) > 2:
-                        xs.append(lex.all[near].mean(axis=0))
-                        ys.append(k)
-            if xs:
-                x = np.array(xs, dtype=np.float64)
+            for k in range(0, len(batch), 1000):
+                x, y = _contexts(batch["w"].tolist()[k : k + 1000], lex)
                 xx += x.T @ x
-                xy += x.T @ lex.all[ys]
+                xy += x.T @ y
         yield pd.DataFrame({"sums": [np.concatenate([xx.ravel(), xy.ravel()])]})
 
-    # A tenth of the sentences is enough for a thousand numbers; one row of sums from each task.
-    part = tokens.where(F.pmod(F.xxhash64("w"), F.lit(10)) == 0)
-    added = np.sum([r.sums for r in part.mapInPandas(sums, "sums ARRAY<DOUBLE>").collect()] or [np.zeros(2 * size * size)], axis=0).reshape(2, size, size)
-    if not out or not added[0].any():
+    if not out:
+        return out, None
+    # One row of sums from each task.
+    added = np.sum([r.sums for r in tokens.mapInPandas(sums, "sums ARRAY<DOUBLE>").collect()] or [np.zeros(2 * size * size)], axis=0).reshape(2, size, size)
+    if not added[0].any():
         return out, None
     return out, np.linalg.solve(added[0] + 1e-3 * np.trace(added[0]) / size * np.eye(size), added[1]).astype(np.float32)
 
 
+def _contexts(sentences: list, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """For each word with a vector that has three such words or more around it: the mean of their vectors, and its own."""
+    # Four places without a word part the sentences.
+    flat = [-1] * 4
+    for sentence in sentences:
+        flat += [lexicon.place.get(w, -1) for w in sentence]
+        flat += [-1] * 4
+    at = np.array(flat)
+    mid, near = at[4:-4], [at[4 + d : len(at) - 4 + d] for d in (-4, -3, -2, -1, 1, 2, 3, 4)]
+    count = sum((x >= 0).astype(np.int64) for x in near)
+    use = (mid >= 0) & (count > 2)
+    vectors = np.vstack([lexicon.all, np.zeros((1, lexicon.all.shape[1]), dtype=np.float32)]).astype(np.float64)
+    x = np.zeros((int(use.sum()), vectors.shape[1]))
+    for n in near:
+        x += vectors[n[use]]
+    return x / count[use][:, None], vectors[mid[use]]
+
+
 def _with_known(pdfs: DataFrame, words: dict[str, int], scratch: Scratch, key: str) -> tuple[DataFrame, set[int]]:
     """The documents with the signatures of their source's running lines, and those of all documents."""
     own = pdfs.where(F.length("body") > 0).select(F.col(key).alias("key"), F.coalesce("source", F.lit("")).alias("source"), "body")
@@ -392,7 +408,7 @@ def _apply(pdfs: DataFrame, lexicon: DataFrame, key: str, make, schema: str) ->
     scratch = Scratch(pdfs.sparkSession, "scan")
     words = _read_lexicon(lexicon)
     read, shared = _with_known(pdfs, words, scratch, key)
-    vectors, context = skip_gram(pdfs.select(key, "body"), words, key)
+    vectors, context = skip_gram(pdfs.select("body"), words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex = Lexicon(words, vectors, context)

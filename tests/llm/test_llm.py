@@ -383,6 +383,28 @@ def test_vectors_decide_corrections():
     assert blind.correct("á", ["norte"]) == blind.correct("á", ["mar"]) and blind.correct("p1ano", ["norte"]) == "plano"
 
 
+def test_vectors_come_from_all_documents(spark):
+    """Words that stand in five of 4,500 documents have vectors, and the map from contexts fits the sentences of all."""
+    import numpy as np
+
+    rng = random.Random(4)
+    names = ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(900)]
+    texts = [f"norma segue {names[k % 900]} plano." for k in range(4500)]
+    words = dict.fromkeys([*names, "segue", "norma", "plano"], 1)
+    own = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id BIGINT, body STRING")
+    vectors, context = scan_repair.skip_gram(own, words)
+    assert set(vectors) == set(words)
+    xs, ys = [], []
+    for t in texts:
+        s = t.rstrip(".").split()
+        for i, w in enumerate(s):
+            xs.append(np.mean([vectors[x] for x in s[max(0, i - 4) : i] + s[i + 1 : i + 5]], axis=0))
+            ys.append(vectors[w])
+    x, y = np.array(xs, dtype=np.float64), np.array(ys, dtype=np.float64)
+    want = np.linalg.solve(x.T @ x + 1e-3 * np.trace(x.T @ x) / 32 * np.eye(32), x.T @ y)
+    assert np.allclose(context, want, atol=1e-3)
+
+
 # -- 4 --------------------------------------------------------------------------------------------------------
 
 
